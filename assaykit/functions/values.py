@@ -19,6 +19,12 @@ def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def text_literal(text: str) -> str:
+    """Text as a SQL literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def is_number(dtype: str) -> bool:
     """True for types that carry numeric statistics; booleans count as numbers."""
     return dtype in INTEGER_TYPES or dtype in FLOAT_TYPES or dtype.startswith("decimal") or dtype == "boolean"

@@ -1,21 +1,21 @@
 """Quality checks: what each one counts, and how counts become findings.
 
 A check names row predicates; the engine counts all predicates of all checks in one pass. The
-check then turns its counts into findings, as columns, so that the same plan validates one table
-or thousands of batches (one row of counts each) without going through the driver.
+check then describes its findings as SQL over those counts, so that the same plan validates one
+table or thousands of batches (one row of counts each) without going through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.config import NULL_POLICY, NULL_POLICY_DEFAULT, Settings
 from assaykit.functions.dates import parse_date
-from assaykit.functions.values import holds, ref, same_family, share, to_number
+from assaykit.functions.values import holds, ref, same_family, text_literal, to_number
 from assaykit.operators.measure import REPEATS, ROWS
 
 FINDING_FIELDS = {
@@ -55,67 +55,94 @@ class Table:
 
 
 class Counts:
-    """The counts of one check, as columns."""
+    """Names of the counts of one check, for use in SQL."""
+
+    rows = ROWS
+    repeats = REPEATS
 
     def __init__(self, prefix: str) -> None:
         self._prefix = prefix
-        self.rows = F.col(ROWS)
-        self.repeats = F.col(REPEATS)
 
-    def __getitem__(self, name: str) -> Column:
-        return ref(self._prefix + name)
+    def __getitem__(self, name: str) -> str:
+        return "`" + (self._prefix + name).replace("`", "``") + "`"
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """One possible result of a rule.
+
+    ``when``, ``rows``, ``args`` and the metadata values are SQL over counts; ``message`` has a
+    ``%s`` for each of ``args``. The last outcome of a rule has no condition.
+    """
+
+    status: str
+    severity: str
+    message: str
+    args: tuple[str, ...] = ()
+    when: str | None = None
+    rows: str = "0"
+    percentage: str | None = None
+    metadata: Mapping[str, str] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Finding:
+    """A named rule with its outcomes, first match wins. ``given`` leaves the finding out if false."""
+
+    check_name: str
+    category: str
+    outcomes: tuple[Outcome, ...]
+    given: str | None = None
 
 
 @dataclass(frozen=True)
 class Check:
-    """A check. ``predicates(table)`` names row conditions, ``findings(table, counts)`` returns a list
-    of finding columns (a null finding is left out). ``frame(df, by)`` is the alternative for a check
-    that needs its own plan: it returns finding rows with the ``by`` columns.
+    """A check. ``predicates(table)`` names row conditions, ``findings(table, counts)`` returns the
+    rules over their counts. ``frame(df, by)`` is the alternative for a check that needs its own
+    plan: it returns finding rows with the ``by`` columns.
     """
 
     name: str
     category: str
     predicates: Callable[[Table], Mapping[str, Column]] = lambda table: {}
-    findings: Callable[[Table, Counts], list[Column]] = lambda table, counts: []
+    findings: Callable[[Table, Counts], list[Finding]] = lambda table, counts: []
     needs_repeats: bool = False
     frame: Callable[[DataFrame, list[str]], DataFrame] | None = None
 
 
-def finding(
-    check_name: str,
-    category: str,
-    status: str,
-    severity: str,
-    message: Column | str,
-    rows: Column | int = 0,
-    percentage: Column | float = 0.0,
-    metadata: Mapping[str, Column | str] | None = None,
-) -> Column:
-    """One finding as a struct column."""
-    def column(value):
-        return value if isinstance(value, Column) else F.lit(value)
-
-    pairs = [c for k, v in (metadata or {}).items() for c in (F.lit(k), column(v).cast("string"))]
-    return F.struct(
-        F.lit(check_name).alias("check_name"),
-        F.lit(category).alias("category"),
-        F.lit(status).alias("status"),
-        F.lit(severity).alias("severity"),
-        column(message).alias("message"),
-        column(rows).cast("bigint").alias("affected_rows"),
-        column(percentage).cast("double").alias("affected_percentage"),
-        F.create_map(*pairs).cast("map<string,string>").alias("metadata"),
-    ).cast(FINDING_TYPE)
-
-
-def sentence(*parts: Column | str) -> Column:
-    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+def share_of_rows(count: str) -> str:
+    """SQL of a count as percentage of the rows, 2 decimals; 0 for an empty table."""
+    return f"if({ROWS} > 0, round({count} / {ROWS} * 100, 2), 0.0D)"
+
+
+def _outcome_sql(rule: Finding, outcome: Outcome) -> str:
+    if outcome.args:
+        message = f"format_string({text_literal(outcome.message)}, {', '.join(outcome.args)})"
+    else:
+        message = text_literal(outcome.message)
+    percentage = outcome.percentage or ("0.0D" if outcome.rows == "0" else share_of_rows(outcome.rows))
+    pairs = ", ".join(f"{text_literal(k)}, cast({v} as string)" for k, v in outcome.metadata.items())
+    return (
+        f"named_struct('check_name', {text_literal(rule.check_name)}, 'category', {text_literal(rule.category)},"
+        f" 'status', '{outcome.status}', 'severity', '{outcome.severity}', 'message', {message},"
+        f" 'affected_rows', cast({outcome.rows} as bigint), 'affected_percentage', cast({percentage} as double),"
+        f" 'metadata', cast(map({pairs}) as map<string,string>))"
+    )
+
+
+def finding_sql(rule: Finding) -> str:
+    """The finding as a struct, null where it does not apply."""
+    value = _outcome_sql(rule, rule.outcomes[-1])
+    whens = " ".join(f"WHEN {o.when} THEN {_outcome_sql(rule, o)}" for o in rule.outcomes[:-1])
+    if whens:
+        value = f"CASE {whens} ELSE {value} END"
+    return f"if({rule.given}, {value}, null)" if rule.given else value
 
 
 # Schema ------------------------------------------------------------------------------------------
 
 def _schema_findings(columns: list[str], dtypes: Mapping[str, str]):
-    def findings(table: Table, n: Counts) -> list[Column]:
+    def findings(table: Table, n: Counts) -> list[Finding]:
         limit = table.settings.unexpected_column_limit
         missing = [c for c in columns if c not in table.dtypes]
         extra = sorted(set(table.dtypes) - set(columns))
@@ -124,45 +151,39 @@ def _schema_findings(columns: list[str], dtypes: Mapping[str, str]):
             for c, t in dtypes.items()
             if c in table.dtypes and not same_family(table.dtypes[c], t)
         ]
+        expected = text_literal(str(columns))
 
+        presence = Outcome("PASS", "INFO", "All expected columns are present.", metadata={"expected": expected})
         if missing:
-            presence = finding(
-                "column_presence", "schema", "FAIL", "CRITICAL",
+            presence = Outcome(
+                "FAIL", "CRITICAL",
                 f"{len(missing)} expected column(s) are missing: {missing}. Downstream checks will be unreliable.",
-                n.rows, 100.0,
-                {"missing_columns": str(missing), "expected": str(columns), "actual": str(table.columns)},
-            )
-        else:
-            presence = finding(
-                "column_presence", "schema", "PASS", "INFO", "All expected columns are present.",
-                metadata={"expected": str(columns)},
-            )
+                rows=n.rows, percentage="100.0D",
+                metadata={"missing_columns": text_literal(str(missing)), "expected": expected,
+                          "actual": text_literal(str(table.columns))})
 
+        unexpected = Outcome("PASS", "INFO", "No unexpected columns detected.")
         if extra:
             status, severity = ("WARNING", "MEDIUM") if len(extra) > limit else ("INFO", "LOW")
-            unexpected = finding(
-                "unexpected_columns", "schema", status, severity,
+            unexpected = Outcome(
+                status, severity,
                 f"{len(extra)} unexpected column(s) found: {extra}. "
                 "These may indicate schema drift or intentional additions.",
-                metadata={"unexpected_columns": str(extra)},
-            )
-        else:
-            unexpected = finding(
-                "unexpected_columns", "schema", "PASS", "INFO", "No unexpected columns detected.")
+                metadata={"unexpected_columns": text_literal(str(extra))})
 
+        types = Outcome("PASS", "INFO", "All column data types match expectations.",
+                        metadata={"checked_columns": text_literal(str(list(dtypes)))})
         if wrong:
-            types = finding(
-                "dtype_compatibility", "schema", "WARNING", "MEDIUM",
+            types = Outcome(
+                "WARNING", "MEDIUM",
                 f"{len(wrong)} column(s) have unexpected data types. "
                 "This may cause arithmetic or join operations to fail.",
-                metadata={c: f"expected {t}, found {a}" for c, t, a in wrong},
-            )
-        else:
-            types = finding(
-                "dtype_compatibility", "schema", "PASS", "INFO", "All column data types match expectations.",
-                metadata={"checked_columns": str(list(dtypes))},
-            )
-        return [presence, unexpected, types]
+                metadata={c: text_literal(f"expected {t}, found {a}") for c, t, a in wrong})
+        return [
+            Finding("column_presence", "schema", (presence,)),
+            Finding("unexpected_columns", "schema", (unexpected,)),
+            Finding("dtype_compatibility", "schema", (types,)),
+        ]
 
     return findings
 
@@ -181,18 +202,16 @@ def _null_predicates(table: Table) -> dict[str, Column]:
     return {c: ref(c).isNull() for c in table.columns}
 
 
-def _null_findings(table: Table, n: Counts) -> list[Column]:
+def _null_findings(table: Table, n: Counts) -> list[Finding]:
     found = []
     for c in table.columns:
         status, severity, remark = NULL_POLICY.get(c, NULL_POLICY_DEFAULT)
-        name, pct = f"{c}_completeness", share(n[c], n.rows)
-        found.append(
-            F.when(n.rows == 0, None)
-            .when(n[c] == 0, finding(name, "completeness", "PASS", "INFO", f"{c} is 100% complete."))
-            .otherwise(finding(
-                name, "completeness", status, severity,
-                sentence(f"{c} is missing ", n[c], " values (", pct, f"%).{remark}"), n[c], pct))
-        )
+        shown = c.replace("%", "%%")
+        found.append(Finding(f"{c}_completeness", "completeness", (
+            Outcome("PASS", "INFO", f"{c} is 100% complete.", when=f"{n[c]} = 0"),
+            Outcome(status, severity, f"{shown} is missing %s values (%s%%).{remark}",
+                    (n[c], share_of_rows(n[c])), rows=n[c]),
+        ), given=f"{n.rows} > 0"))
     return found
 
 
@@ -223,73 +242,57 @@ def _validity_predicates(table: Table) -> dict[str, Column]:
         rules["price_negative"] = price < 0
         rules["price_zero"] = price == 0
     if table.has("Quantity", "InvoiceNo"):
-        quantity = table.number("Quantity")
+        quantity, is_cancelled = table.number("Quantity"), cancelled()
         negative = holds(quantity < 0)
         exempt = adjustment(table) if table.has("UnitPrice", "CustomerID") else F.lit(False)
         rules["quantity_zero"] = quantity == 0
-        rules["cancelled"] = cancelled()
+        rules["cancelled"] = is_cancelled
         rules["adjustment"] = exempt
-        rules["negative_sale"] = negative & ~cancelled() & ~exempt
-        rules["positive_cancellation"] = cancelled() & ~negative
+        rules["negative_sale"] = negative & ~is_cancelled & ~exempt
+        rules["positive_cancellation"] = is_cancelled & ~negative
     if table.has("InvoiceDate"):
         rules["bad_date"] = ref("InvoiceDate").isNotNull() & table.date("InvoiceDate").isNull()
     return rules
 
 
-def _validity_findings(table: Table, n: Counts) -> list[Column]:
-    def found(name, status, severity, message, count, metadata=None):
-        return finding(name, "validity", status, severity, message, count, share(count, n.rows), metadata)
+def _validity_findings(table: Table, n: Counts) -> list[Finding]:
+    out = []
 
-    def passed(name, message, metadata=None):
-        return finding(name, "validity", "PASS", "INFO", message, metadata=metadata)
+    def rule(name: str, *outcomes: Outcome) -> None:
+        out.append(Finding(name, "validity", outcomes, given=f"{n.rows} > 0"))
 
-    out = []
     if table.has("UnitPrice"):
         low, free = n["price_negative"], n["price_zero"]
-        out.append(
-            F.when(low > 0, found(
-                "unit_price_validity", "FAIL", "HIGH",
-                sentence("UnitPrice is negative in ", low, " rows. Prices must be >= 0."), low))
-            .when(free > 0, found(
-                "unit_price_validity", "WARNING", "LOW",
-                sentence("UnitPrice is zero in ", free,
-                         " rows. This may indicate free items or missing data."), free))
-            .otherwise(passed("unit_price_validity", "All UnitPrice values are > 0."))
-        )
+        rule("unit_price_validity",
+             Outcome("FAIL", "HIGH", "UnitPrice is negative in %s rows. Prices must be >= 0.",
+                     (low,), f"{low} > 0", low),
+             Outcome("WARNING", "LOW", "UnitPrice is zero in %s rows. This may indicate free items or missing data.",
+                     (free,), f"{free} > 0", free),
+             Outcome("PASS", "INFO", "All UnitPrice values are > 0."))
     if table.has("Quantity", "InvoiceNo"):
         zero = n["quantity_zero"]
-        out.append(
-            F.when(zero > 0, found(
-                "quantity_zero", "FAIL", "MEDIUM",
-                sentence("Quantity is zero in ", zero,
-                         " rows. Transactions must have non-zero quantity."), zero))
-            .otherwise(passed("quantity_zero", "No zero-quantity rows found."))
-        )
+        rule("quantity_zero",
+             Outcome("FAIL", "MEDIUM", "Quantity is zero in %s rows. Transactions must have non-zero quantity.",
+                     (zero,), f"{zero} > 0", zero),
+             Outcome("PASS", "INFO", "No zero-quantity rows found."))
         sales, cancels, adjusted = n["negative_sale"], n["positive_cancellation"], n["adjustment"]
-        out.append(
-            F.when(sales + cancels > 0, found(
-                "quantity_cancellation_logic", "FAIL", "HIGH",
-                sentence("Found ", sales, " negative quantities without 'C' invoice prefix, and ",
-                         cancels, " 'C' invoices without negative quantity."), sales + cancels))
-            .when(adjusted > 0, found(
-                "quantity_cancellation_logic", "WARNING", "MEDIUM",
-                sentence("Found ", adjusted, " negative, zero-price rows without a 'C' invoice prefix. "
-                         "They match an administrative-adjustment pattern and should be investigated."),
-                adjusted, {"administrative_adjustment_rows": adjusted}))
-            .otherwise(passed(
-                "quantity_cancellation_logic",
-                sentence("Cancellation logic is consistent. Found ", n["cancelled"], " valid cancellations."),
-                {"valid_cancellations": n["cancelled"]}))
-        )
+        invalid = f"({sales} + {cancels})"
+        rule("quantity_cancellation_logic",
+             Outcome("FAIL", "HIGH", "Found %s negative quantities without 'C' invoice prefix, and %s 'C' invoices "
+                     "without negative quantity.", (sales, cancels), f"{invalid} > 0", invalid),
+             Outcome("WARNING", "MEDIUM", "Found %s negative, zero-price rows without a 'C' invoice prefix. They "
+                     "match an administrative-adjustment pattern and should be investigated.",
+                     (adjusted,), f"{adjusted} > 0", adjusted,
+                     metadata={"administrative_adjustment_rows": adjusted}),
+             Outcome("PASS", "INFO", "Cancellation logic is consistent. Found %s valid cancellations.",
+                     (n["cancelled"],), metadata={"valid_cancellations": n["cancelled"]}))
     if table.has("InvoiceDate"):
         bad = n["bad_date"]
-        out.append(
-            F.when(bad > 0, found(
-                "invoice_date_validity", "FAIL", "HIGH",
-                sentence("Failed to parse ", bad, " InvoiceDate values as datetimes."), bad))
-            .otherwise(passed("invoice_date_validity", "All InvoiceDate values parsed successfully."))
-        )
-    return [F.when(n.rows > 0, c) for c in out]
+        rule("invoice_date_validity",
+             Outcome("FAIL", "HIGH", "Failed to parse %s InvoiceDate values as datetimes.",
+                     (bad,), f"{bad} > 0", bad),
+             Outcome("PASS", "INFO", "All InvoiceDate values parsed successfully."))
+    return out
 
 
 VALIDITY = Check("ValidityCheck", "validity", _validity_predicates, _validity_findings)
@@ -297,16 +300,12 @@ VALIDITY = Check("ValidityCheck", "validity", _validity_predicates, _validity_fi
 
 # Uniqueness --------------------------------------------------------------------------------------
 
-def _repeat_findings(table: Table, n: Counts) -> list[Column]:
-    pct = share(n.repeats, n.rows)
-    return [
-        F.when(n.rows == 0, None)
-        .when(n.repeats == 0, finding(
-            "duplicate_rows", "uniqueness", "PASS", "INFO", "No duplicate rows found."))
-        .otherwise(finding(
-            "duplicate_rows", "uniqueness", "WARNING", "MEDIUM",
-            sentence("Found ", n.repeats, " exact duplicate rows (", pct, "%)."), n.repeats, pct))
-    ]
+def _repeat_findings(table: Table, n: Counts) -> list[Finding]:
+    return [Finding("duplicate_rows", "uniqueness", (
+        Outcome("PASS", "INFO", "No duplicate rows found.", when=f"{n.repeats} = 0"),
+        Outcome("WARNING", "MEDIUM", "Found %s exact duplicate rows (%s%%).",
+                (n.repeats, share_of_rows(n.repeats)), rows=n.repeats),
+    ), given=f"{n.rows} > 0")]
 
 
 UNIQUENESS = Check("UniquenessCheck", "uniqueness", findings=_repeat_findings, needs_repeats=True)

@@ -46,26 +46,36 @@ def column_list(df: DataFrame, order_by: str | None = None) -> DataFrame:
 
 # Overview ----------------------------------------------------------------------------------------
 
-def data_bytes(df: DataFrame) -> Column:
-    """Bytes of the values: text by length, the rest by width."""
-    total = F.lit(0).cast("bigint")
-    for name, dtype in df.dtypes:
-        if dtype in ("string", "binary"):
-            total = total + F.coalesce(F.sum(F.octet_length(ref(name)).cast("bigint")), F.lit(0))
-        else:
-            total = total + F.count(F.lit(1)) * FIXED_WIDTHS.get(dtype, 8)
-    return total
+def _column_bytes(name: str, dtype: str) -> Column:
+    """Bytes of a column's values: text by length, the rest by width."""
+    if dtype in ("string", "binary"):
+        return F.coalesce(F.sum(F.octet_length(ref(name)).cast("bigint")), F.lit(0))
+    return F.count(F.lit(1)) * FIXED_WIDTHS.get(dtype, 8)
 
 
 def overview(df: DataFrame) -> DataFrame:
+    """Rows, columns and size of the values; one pass, no shuffle of rows."""
+    total = F.lit(0).cast("bigint")
+    for name, dtype in df.dtypes:
+        total = total + _column_bytes(name, dtype)
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.lit(len(df.columns)).cast("bigint").alias("columns"),
         F.lit(", ".join(df.columns)).alias("column_names"),
-        data_bytes(df).alias("data_bytes"),
+        total.alias("data_bytes"),
     ).withColumn("data_mb", F.round(F.col("data_bytes") / 1024 / 1024, 2))
 
 
+def structure(df: DataFrame) -> DataFrame:
+    """Position, type, rows and bytes of each column; one pass, no shuffle of rows."""
+    sizes = df.agg(F.count(F.lit(1)).alias("rows"),
+                   *[_column_bytes(n, t).alias(f"b_{i}") for i, (n, t) in enumerate(df.dtypes)])
+    cells = [c for i, (n, t) in enumerate(df.dtypes) for c in (
+        F.lit(i).cast("bigint"), F.lit(n), F.lit(t), F.col(f"b_{i}"))]
+    return sizes.select("rows", F.stack(F.lit(len(df.columns)), *cells).alias(
+        "position", "name", "dtype", "data_bytes"))
+
+
 # Distinct values ---------------------------------------------------------------------------------
 
 def _slots(name: str, dtype: str) -> list[Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.config import DASHBOARD_LABELS, Settings
-from assaykit.functions.values import ref
+from assaykit.functions.values import ref, text_literal
 from assaykit.operators.validation import RESULTS
 
 CRITICAL_REASON = "CRITICAL SCHEMA FAILURE"
@@ -18,17 +18,15 @@ BUSINESS_RULE = "quantity_cancellation_logic"
 POINTS = {"PASS": 1.0, "INFO": 1.0, "WARNING": 0.5, "FAIL": 0.0}
 
 
-def points(status: Column) -> Column:
-    return (
-        F.when(status.isin([s for s, p in POINTS.items() if p == 1.0]), 1.0)
-        .when(status == "WARNING", POINTS["WARNING"])
-        .otherwise(0.0)
-    )
+def points(status: str) -> str:
+    """SQL of the points of a status."""
+    whens = " ".join(f"WHEN '{s}' THEN {p}D" for s, p in POINTS.items())
+    return f"CASE {status} {whens} ELSE 0.0D END"
 
 
-def dimension(result: Column) -> Column:
-    return F.when(result["check_name"] == BUSINESS_RULE, "business_rules").otherwise(
-        F.coalesce(result["category"], F.lit("unknown")))
+def dimension(result: str) -> str:
+    """SQL of the score dimension of a finding."""
+    return f"if({result}.check_name = '{BUSINESS_RULE}', 'business_rules', coalesce({result}.category, 'unknown'))"
 
 
 def label(value: Column, cuts: Sequence[tuple[float, str]]) -> Column:
@@ -52,44 +50,42 @@ def run_state(status: Column) -> Column:
     )
 
 
-def _dimension_score(name: str, weight: float, critical: Column) -> Column:
-    checks = F.filter(RESULTS, lambda r: dimension(r) == name)
-    count = F.size(checks)
-    earned = F.aggregate(checks, F.lit(0.0), lambda total, r: total + points(r["status"]))
-    value = F.round(earned / count * weight, 2)
-    included = F.transform(checks, lambda r: F.struct(
-        F.coalesce(r["check_name"], F.lit("unnamed_check")).alias("check_name"),
-        F.coalesce(r["status"], F.lit("UNKNOWN")).alias("status"),
-        points(r["status"]).alias("points"),
-    ))
-    return F.struct(
-        F.lit(name).alias("dimension"),
-        F.when(critical | (count == 0), 0.0).otherwise(value).alias("score"),
-        F.lit(float(weight)).alias("max_score"),
-        F.when(critical, CRITICAL_REASON).when(count == 0, NOT_ASSESSED).otherwise(
-            F.concat(earned.cast("string"), F.lit("/"), count.cast("string"), F.lit(" rule points earned."))
-        ).alias("details"),
-        F.when(critical, F.filter(included, lambda r: F.lit(False))).otherwise(included).alias("included_checks"),
+def _dimension_score(name: str, weight: float) -> str:
+    """SQL of the score of one dimension, from ``graded`` findings and the ``critical`` gate."""
+    checks = f"filter(graded, g -> g.dimension = {text_literal(name)})"
+    earned = f"aggregate({checks}, 0.0D, (total, g) -> total + g.points)"
+    included = f"transform({checks}, g -> struct(g.check_name, g.status, g.points))"
+    return (
+        f"named_struct('dimension', {text_literal(name)},"
+        f" 'score', CASE WHEN critical OR size({checks}) = 0 THEN 0.0D"
+        f" ELSE round({earned} / size({checks}) * {float(weight)}D, 2) END,"
+        f" 'max_score', {float(weight)}D,"
+        f" 'details', CASE WHEN critical THEN '{CRITICAL_REASON}' WHEN size({checks}) = 0 THEN '{NOT_ASSESSED}'"
+        f" ELSE concat({earned}, '/', size({checks}), ' rule points earned.') END,"
+        f" 'included_checks', if(critical, filter({included}, c -> false), {included}))"
     )
 
 
 def score(report: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Reports with ``health_score``, ``health_label``, ``failure_reason`` and ``category_scores``."""
     settings = settings or Settings()
-    critical = F.exists(RESULTS, lambda r: (
-        F.coalesce((r["category"] == "schema") & (r["status"] == "FAIL") & (r["severity"] == "CRITICAL"),
-                   F.lit(False))))
-    gated = report.withColumn("__critical", critical)
-    scored = gated.withColumn("category_scores", F.array(*[
-        _dimension_score(name, weight, F.col("__critical")) for name, weight in settings.weights.items()
-    ]))
-    total = F.round(
-        F.aggregate("category_scores", F.lit(0.0), lambda total, d: total + d["score"]), 2)
-    return scored.withColumn("health_score", total).withColumns({
-        "health_label": F.when(F.col("__critical"), "Critical").otherwise(
-            label(F.col("health_score"), settings.labels)),
-        "failure_reason": F.when(F.col("__critical"), CRITICAL_REASON),
-    }).drop("__critical")
+    graded = report.select(
+        "*",
+        F.expr(f"""transform({RESULTS}, r -> named_struct(
+            'dimension', {dimension('r')}, 'check_name', coalesce(r.check_name, 'unnamed_check'),
+            'status', coalesce(r.status, 'UNKNOWN'), 'points', {points('r.status')}))""").alias("graded"),
+        F.expr(f"""exists({RESULTS}, r -> coalesce(
+            r.category = 'schema' AND r.status = 'FAIL' AND r.severity = 'CRITICAL', false))""").alias("critical"),
+    )
+    dimensions = ", ".join(_dimension_score(n, w) for n, w in settings.weights.items())
+    scored = graded.select(
+        *[ref(c) for c in report.columns], "critical", F.expr(f"array({dimensions})").alias("category_scores"))
+    total = F.expr("round(aggregate(category_scores, 0.0D, (total, d) -> total + d.score), 2)")
+    return scored.select("*", total.alias("health_score")).select(
+        *[ref(c) for c in report.columns], "category_scores", "health_score",
+        F.when(F.col("critical"), "Critical").otherwise(
+            label(F.col("health_score"), settings.labels)).alias("health_label"),
+        F.when(F.col("critical"), CRITICAL_REASON).alias("failure_reason"))
 
 
 def category_scores(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -8,20 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.config import Settings
-from assaykit.functions.values import nan_to_null, ref
-from assaykit.operators.checks import FINDING_TYPE, SORTABLE_FIELDS, Check, Counts, Table, default_checks, finding
+from assaykit.functions.values import nan_to_null, ref, text_literal
+from assaykit.operators.checks import (
+    FINDING_TYPE, SORTABLE_FIELDS, Check, Counts, Finding, Outcome, Table, default_checks, finding_sql)
 from assaykit.operators.measure import NONE, REPEATS, ROW, ROWS, measure
 
 RESULTS = "results"
 
 
-def crashed(check: Check, error: BaseException) -> Column:
+def crashed(check: Check, error: BaseException) -> Finding:
     """The finding that stands for a check that could not run."""
-    rows = F.col(ROWS)
-    return finding(
-        check.name, check.category, "FAIL", "CRITICAL", f"The check could not run: {error}",
-        rows, F.when(rows > 0, 100.0).otherwise(0.0), {"exception_type": type(error).__name__},
-    )
+    return Finding(check.name, check.category, (Outcome(
+        "FAIL", "CRITICAL", f"The check could not run: {error}", rows=ROWS,
+        percentage=f"if({ROWS} > 0, 100.0D, 0.0D)",
+        metadata={"exception_type": text_literal(type(error).__name__)}),))
 
 
 def validate(
@@ -46,8 +46,8 @@ def validate(
     table = Table({c: types[c] for c in data_columns}, settings)
 
     predicates: dict[str, Column] = {}
-    findings: list[Column] = []
-    frames: list[tuple[Check, int]] = []
+    findings: list[Finding] = []
+    frames: list[Check] = []
     repeats = False
     for i, check in enumerate(checks):
         prefix = f"__{i}_"
@@ -55,7 +55,7 @@ def validate(
             findings.append(crashed(check, broken[check.name]))
             continue
         if check.frame is not None:
-            frames.append((check, len(findings)))
+            frames.append(check)
             continue
         try:
             wanted = {prefix + n: p for n, p in check.predicates(table).items()}
@@ -69,12 +69,12 @@ def validate(
         repeats = repeats or check.needs_repeats
 
     counted = measure(df, data_columns, predicates, by, row_key if repeats else NONE)
-    listed = F.array_compact(F.array(*[f.cast(FINDING_TYPE) for f in findings])) if findings else F.array()
+    listed = ", ".join(finding_sql(f) for f in findings)
     report = counted.select(
-        *[ref(c) for c in by], F.col(ROWS), F.col(REPEATS),
-        listed.cast(f"array<{FINDING_TYPE}>").alias(RESULTS),
+        *[ref(c) for c in by], ROWS, REPEATS,
+        F.expr(f"cast(array_compact(array({listed})) as array<{FINDING_TYPE}>)").alias(RESULTS),
     )
-    for check, _ in frames:
+    for check in frames:
         report = _add_frame(report, check, df, list(by))
     return report
 
@@ -152,18 +152,13 @@ def as_records(rows: DataFrame) -> DataFrame:
 
 def summary(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Number of findings per outcome."""
-    def with_status(status: str) -> Column:
-        return F.size(F.filter(RESULTS, lambda r: r["status"] == status)).cast("bigint")
+    def with_status(name: str, status: str) -> str:
+        return f"cast(size(filter({RESULTS}, r -> r.status = '{status}')) as bigint) AS {name}"
 
     return report.select(
-        *[ref(c) for c in by],
-        F.col(ROWS),
-        F.size(RESULTS).cast("bigint").alias("total_checks"),
-        with_status("PASS").alias("passed"),
-        with_status("WARNING").alias("warnings"),
-        with_status("FAIL").alias("failed"),
-        with_status("INFO").alias("info"),
-    )
+        *[ref(c) for c in by], ROWS, F.expr(f"cast(size({RESULTS}) as bigint) AS total_checks"),
+        *[F.expr(with_status(n, s)) for n, s in (
+            ("passed", "PASS"), ("warnings", "WARNING"), ("failed", "FAIL"), ("info", "INFO"))])
 
 
 def acceptable_by_category(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:

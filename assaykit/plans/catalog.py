@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.functions.dates import elapsed_seconds, iso_text
 from assaykit.functions.values import ref
 from assaykit.operators import history, marts, measure, profiling
-from assaykit.operators.checks import Check, Counts, Table, adjustment, default_checks, finding, sentence
+from assaykit.operators.checks import (
+    Check, Counts, Finding, Outcome, Table, adjustment, default_checks)
 from assaykit.operators.scoring import category_scores, dashboard_label, run_state, score
 from assaykit.operators.transform import number_kinds, problems, to_snapshot, transform
 from assaykit.operators.validation import (
@@ -182,10 +183,9 @@ def adjustments(spark, folder):
 
 
 def _bulk_check() -> Check:
-    def findings(table: Table, n: Counts) -> list[Column]:
-        return [F.when(n["bulk"] > 0, finding(
-            "bulk_orders", "validity", "WARNING", "LOW", sentence(n["bulk"], " rows have 45 units or more."),
-            n["bulk"], F.round(n["bulk"] / n.rows * 100, 2)))]
+    def findings(table: Table, n: Counts) -> list[Finding]:
+        bulk = Outcome("WARNING", "LOW", "%s rows have 45 units or more.", (n["bulk"],), rows=n["bulk"])
+        return [Finding("bulk_orders", "validity", (bulk,), given=f"{n['bulk']} > 0")]
 
     return Check("BulkCheck", "validity", lambda table: {"bulk": table.number("Quantity") >= 45}, findings)
 
@@ -228,8 +228,7 @@ def profile_overview(spark, folder):
 
 @query
 def dataset_structure(spark, folder):
-    return profiling.column_list(clean(spark, folder)).select(
-        F.col("position").cast("bigint").alias("position"), F.col("column").alias("name"), "dtype")
+    return profiling.structure(clean(spark, folder))
 
 
 @query

@@ -298,8 +298,9 @@ TWINS: dict[str, str] = {
           SELECT count(*) AS rows, CAST(24 * count(*) + sum(strlen("InvoiceNo") + strlen("StockCode")
             + coalesce(strlen("Description"), 0) + strlen("InvoiceDate") + strlen("Country")) AS BIGINT) AS data_bytes
           FROM retail)""",
-    "dataset_structure": "\nUNION ALL ".join(
-        f"SELECT CAST({i} AS BIGINT) AS position, '{n}' AS name, '{t}' AS dtype"
+    "dataset_structure": CLEAN + "\nUNION ALL ".join(
+        f"SELECT count(*) AS rows, CAST({i} AS BIGINT) AS position, '{n}' AS name, '{t}' AS dtype, "
+        + (f"CAST(sum(strlen({_q(n)})) AS BIGINT)" if t == "string" else "count(*) * 8") + " AS data_bytes FROM retail"
         for i, (n, t) in enumerate(PROFILED.items())),
     "profile_columns": CLEAN + "\nUNION ALL ".join(
         f"""SELECT '{n}' AS name, '{t}' AS dtype, count(*) FILTER (WHERE {_q(n)} IS NULL) AS null_count,

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from assaykit.config import Settings
 from assaykit.functions.values import INTEGER_TEXT, NUMBER_TEXT, nan_to_null, ref, tokens_to_null
-from assaykit.operators.profiling import data_bytes
+from assaykit.operators.profiling import overview
 from assaykit.sources import workbook
 
 POSITION = "__position"
@@ -201,11 +201,11 @@ def load_excel(spark: SparkSession, path: str, sheet_name: str = "Online Retail"
 
 def dataset_info(df: DataFrame) -> dict:
     """Rows, columns, types and megabytes of values; one pass."""
-    row = df.agg(F.count(F.lit(1)).alias("rows"), data_bytes(df).alias("bytes")).first()
+    row = overview(df).first()
     return {
         "rows": row["rows"],
         "columns": len(df.columns),
         "column_names": df.columns,
         "dtypes": dict(df.dtypes),
-        "data_mb": round(row["bytes"] / 1024 / 1024, 2),
+        "data_mb": row["data_mb"],
     }
