@@ -10,46 +10,44 @@ from pyspark.sql import functions as F
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
 STAMP_FORMAT = "yyyyMMdd_HHmmss"
 
-# The accepted layouts. Month comes first unless it cannot be a month.
-ISO_TEXT = r"^\d{4}(-\d{1,2}(-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?)?)?$"
-DAY_FIRST = r"^(1[3-9]|2\d|3[01])[/-](\d{1,2})[/-](\d{4})(?!\d)"
-MONTH_FIRST = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})(?!\d)"
-YEAR_FIRST = r"^(\d{4})/(\d{1,2})/(\d{1,2})(?!\d)"
-COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
+# Layouts that are rewritten to ISO text. Month comes first unless it cannot be a month.
+MONTH_FIRST = (r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})(?!\d)", "$3-$1-$2")
+DAY_FIRST = (r"^(1[3-9]|2\d|3[01])[/-](\d{1,2})[/-](\d{4})(?!\d)", "$3-$2-$1")
+YEAR_FIRST = (r"^(\d{4})/(\d{1,2})/(\d{1,2})(?!\d)", "$1-$2-$3")
+COMPACT = (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+YEAR_ONLY = (r"^(\d{4})$", "$1-01-01")
 
 
-def _iso_layout(text: Column) -> Column:
-    text = F.regexp_replace(text, "Z$", "")
-    text = F.regexp_replace(text, DAY_FIRST, "$3-$2-$1")
-    text = F.regexp_replace(text, MONTH_FIRST, "$3-$1-$2")
-    text = F.regexp_replace(text, YEAR_FIRST, "$1-$2-$3")
-    return F.regexp_replace(text, COMPACT, "$1-$2-$3")
+def _iso_cast(text: Column) -> Column:
+    """Cast of ISO text. The dash after the year keeps plain numbers from being read as years."""
+    return F.when(F.substring(text, 5, 1) == "-", text.try_cast("timestamp_ntz"))
 
 
 def parse_date(column: Column, dtype: str = "string", extra_formats: Iterable[str] = ()) -> Column:
     """Timestamp without zone, null where the value is no date.
 
-    Other layouts are rewritten to ISO text first and then cast, because a cast rejects bad text
-    cheaply while each failed pattern of ``to_timestamp`` costs an exception per row.
+    ISO text is cast as it is. Other layouts are rewritten first, one after the other and only while
+    there is no result, because a cast rejects bad text cheaply while each failed pattern of
+    ``to_timestamp`` costs an exception per row.
     """
     if dtype in ("timestamp_ntz", "timestamp", "date"):
         return column.cast("timestamp_ntz")
     text = F.trim(column.cast("string"))
-    iso = F.when(text.rlike(ISO_TEXT), text).otherwise(_iso_layout(text))
-    parsed = F.when(iso.rlike(ISO_TEXT), iso.try_cast("timestamp_ntz"))
-    formats = list(extra_formats)
-    if not formats:
-        return parsed
-    return F.coalesce(parsed, *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats])
+    layouts = [
+        _iso_cast(F.regexp_replace(text, pattern, iso))
+        for pattern, iso in (MONTH_FIRST, DAY_FIRST, YEAR_FIRST, COMPACT, YEAR_ONLY)
+    ]
+    formats = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in extra_formats]
+    return F.coalesce(_iso_cast(text), *layouts, *formats)
 
 
 def date_shape(column: Column, dtype: str = "string") -> Column:
-    """The layout of a date text, for instance ``d/d/d d:d``: equal shape, equal format."""
+    """The layout of a date text, for instance ``d/d/y d:d``: equal shape, equal format."""
     if dtype in ("timestamp_ntz", "timestamp", "date"):
         return F.when(column.isNotNull(), F.lit(dtype))
     text = F.trim(column.cast("string"))
-    layout = F.regexp_replace(text, r"\d+", "d")
-    return F.when(text.rlike(DAY_FIRST), F.concat(F.lit("day first "), layout)).otherwise(layout)
+    layout = F.regexp_replace(F.regexp_replace(text, r"\d{4}", "y"), r"\d+", "d")
+    return F.when(text.rlike(DAY_FIRST[0]), F.concat(F.lit("day first "), layout)).otherwise(layout)
 
 
 def iso_text(ts: Column) -> Column:

@@ -98,5 +98,5 @@ def measure(
     return grouped.groupBy(*keys).agg(
         F.coalesce(F.sum(copies), zero).alias(ROWS),
         F.coalesce(F.sum(copies - 1), zero).alias(REPEATS),
-        *[F.coalesce(F.sum(F.when(p, copies)), zero).alias(n) for n, p in predicates.items()],
+        *[F.coalesce(F.sum(F.when(p, copies).otherwise(zero)), zero).alias(n) for n, p in predicates.items()],
     )

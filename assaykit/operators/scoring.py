@@ -89,5 +89,8 @@ def score(report: DataFrame, settings: Settings | None = None) -> DataFrame:
 
 
 def category_scores(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per dimension of each scored report."""
-    return scored.select(*[ref(c) for c in by], F.inline("category_scores"))
+    """One row per dimension of each scored report.
+
+    The outer form keeps the optimizer from filtering on the list, for which it would work it out twice.
+    """
+    return scored.select(*[ref(c) for c in by], F.inline_outer("category_scores"))

@@ -135,10 +135,13 @@ def run_isolated(
 
 
 def results(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The findings of a report as rows, numbered in report order."""
-    return report.select(
-        *[ref(c) for c in by], F.posexplode(RESULTS).alias("check_order", "__r")
-    ).select(*[ref(c) for c in by], "check_order", "__r.*")
+    """The findings of a report as rows, numbered in report order.
+
+    The outer form keeps the optimizer from filtering on the list before it is expanded, for which it
+    would work out every finding twice; the row of an empty list is dropped afterwards.
+    """
+    rows = report.select(*[ref(c) for c in by], F.posexplode_outer(RESULTS).alias("check_order", "__r"))
+    return rows.filter(F.col("check_order").isNotNull()).select(*[ref(c) for c in by], "check_order", "__r.*")
 
 
 def as_records(rows: DataFrame) -> DataFrame:

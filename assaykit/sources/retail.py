@@ -8,8 +8,28 @@ from pyspark.sql import functions as F
 from assaykit.functions.dates import iso_text
 
 
+# The columns that the retail view reads.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "part": "p_partkey bigint, p_name string, p_retailprice double",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_quantity double, l_returnflag string,"
+                " l_shipdate timestamp_ntz",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame, path: str, *keys: str) -> DataFrame:
+    """Distribute a table that has fewer files than there are cores; larger tables stay as they are."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getFileCount()
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if files < cores else df
 
 
 def retail(spark: SparkSession, folder: str, faulty: bool = False, batch: bool = False) -> DataFrame:
@@ -19,12 +39,9 @@ def retail(spark: SparkSession, folder: str, faulty: bool = False, batch: bool =
     broadcasting is left to Spark, which checks the sizes. Repeated rows come from one generator
     per row instead of a second read of the table.
     """
-    nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
-    customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    part = table(spark, folder, "part").select("p_partkey", "p_name", "p_retailprice")
-    lines = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate")
+    nation, customer, orders, part = (table(spark, folder, n) for n in ("nation", "customer", "orders", "part"))
+    lines = spread(table(spark, folder, "lineitem"), f"{folder.rstrip('/')}/lineitem.parquet",
+                   "l_orderkey", "l_partkey")
 
     buyers = orders.join(customer.join(nation, F.expr("c_nationkey = n_nationkey")), F.expr("o_custkey = c_custkey"))
     joined = lines.join(buyers, F.expr("l_orderkey = o_orderkey")).join(part, F.expr("l_partkey = p_partkey"))
