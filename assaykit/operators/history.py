@@ -17,6 +17,7 @@ DISPLAY_COLUMNS = ("check_name", "category", "status", "severity", "affected_row
 HISTORY_COLUMNS = ("run_id", "pipeline_name", "started_at", "status", "rows_processed", "duration_seconds",
                    "health_score")
 MAX_CHECKS = 1_000_000
+RUN_BLOCK = 10_000
 
 
 def result_id(run_id: Column, check_order: Column) -> Column:
@@ -72,17 +73,33 @@ def run_series(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", "duration_seconds", "rows_processed").orderBy("run_id")
 
 
+def _with_previous(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs with the score of the run before, found without ordering all runs in one task.
+
+    Runs are cut into blocks of numbers. Inside a block the previous run is a window; the first run
+    of a block takes the last score of the block before, and there is one such row per block.
+    """
+    blocks = runs.withColumn("block", F.expr(f"run_id div {RUN_BLOCK}"))
+    inside = Window.partitionBy(*keys, "block").orderBy("run_id")
+    series = Window.partitionBy(*keys).orderBy("block")
+    carried = blocks.groupBy(*keys, "block").agg(F.max_by("health_score", "run_id").alias("last")).select(
+        *keys, "block", F.lag("last").over(series).alias("carried"))
+    scored = blocks.withColumns({
+        "before": F.lag("health_score").over(inside), "place": F.row_number().over(inside)})
+    return scored.join(carried, [*keys, "block"]).withColumn(
+        "previous_score", F.when(F.col("place") == 1, F.col("carried")).otherwise(F.col("before")))
+
+
 def score_delta(runs: DataFrame, per_name: bool = False) -> DataFrame:
     """Score change against the previous run, null for the first one.
 
-    Runs are one row per execution of a job. Partitioning by name keeps several jobs apart; without
-    it all runs form one series, as they do on a run list.
+    Partitioning by name keeps several jobs apart; without it all runs form one series, as they do
+    on a run list.
     """
-    series = Window.partitionBy("pipeline_name") if per_name else Window.partitionBy()
-    previous = F.lag("health_score").over(series.orderBy("run_id"))
+    columns = runs.select("run_id", "pipeline_name", "health_score")
     delta = F.round(F.col("health_score") - F.col("previous_score"), 2)
-    return runs.select("run_id", "pipeline_name", "health_score", previous.alias("previous_score")).select(
-        "*", delta.alias("score_delta"),
+    return _with_previous(columns, ["pipeline_name"] if per_name else []).select(
+        "run_id", "pipeline_name", "health_score", "previous_score", delta.alias("score_delta"),
         F.when(delta > 0, "↑").when(delta < 0, "↓").when(delta == 0, "→").alias("direction"))
 
 

@@ -1,13 +1,13 @@
 """Profile of a table: columns, numbers, missing cells, copies, dates, business counters, flags.
 
-Every section is a lazy DataFrame. What has to be exact per distinct value (distinct counts,
-samples, medians, top values) starts from one relation, :func:`value_counts`; the rest are
-aggregates without a shuffle of rows.
+Every section is a lazy DataFrame. Figures that need no distinct values come from one pass over
+the rows, :func:`facts`. Distinct counts, samples, medians and top values are exact and come from
+one relation, :func:`value_counts`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,36 +44,81 @@ def column_list(df: DataFrame, order_by: str | None = None) -> DataFrame:
     ])
 
 
-# Overview ----------------------------------------------------------------------------------------
+# One pass over the rows --------------------------------------------------------------------------
 
-def _column_bytes(name: str, dtype: str) -> Column:
-    """Bytes of a column's values: text by length, the rest by width."""
-    if dtype in ("string", "binary"):
-        return F.coalesce(F.sum(F.octet_length(ref(name)).cast("bigint")), F.lit(0))
-    return F.count(F.lit(1)) * FIXED_WIDTHS.get(dtype, 8)
+def _number(name: str, dtypes: dict[str, str]) -> Column:
+    return to_number(name, dtypes[name])
 
 
-def overview(df: DataFrame) -> DataFrame:
-    """Rows, columns and size of the values; one pass, no shuffle of rows."""
-    total = F.lit(0).cast("bigint")
-    for name, dtype in df.dtypes:
-        total = total + _column_bytes(name, dtype)
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.lit(len(df.columns)).cast("bigint").alias("columns"),
-        F.lit(", ".join(df.columns)).alias("column_names"),
-        total.alias("data_bytes"),
-    ).withColumn("data_mb", F.round(F.col("data_bytes") / 1024 / 1024, 2))
+def _business_counters(columns: Sequence[str], dtypes: dict[str, str]) -> dict[str, Column]:
+    """Business counters that need no distinct values, in report order."""
+    out: dict[str, Column] = {}
+    if "CustomerID" in columns:
+        out["rows_without_customer_id"] = F.count_if(ref("CustomerID").isNull())
+    if "InvoiceNo" in columns:
+        out["cancellation_invoices"] = F.count_if(cancelled())
+        out["cancellation_percentage"] = share(F.count_if(cancelled()), F.count(F.lit(1)))
+    if "Quantity" in columns:
+        quantity = _number("Quantity", dtypes)
+        unexplained = holds(quantity < 0) & ~cancelled() if "InvoiceNo" in columns else F.lit(False)
+        out["negative_quantity_rows"] = F.count_if(quantity < 0)
+        out["zero_quantity_rows"] = F.count_if(quantity == 0)
+        out["negative_on_non_cancellation"] = F.count_if(unexplained)
+        out["min_quantity"] = F.min(quantity).cast("bigint")
+        out["max_quantity"] = F.max(quantity).cast("bigint")
+    if "UnitPrice" in columns:
+        price = _number("UnitPrice", dtypes)
+        out["zero_price_rows"] = F.count_if(price == 0)
+        out["negative_price_rows"] = F.count_if(price < 0)
+        out["min_price"] = F.round(F.min(price).cast("double"), 2)
+        out["max_price"] = F.round(F.max(price).cast("double"), 2)
+        out["mean_price"] = F.round(F.avg(price), 2)
+    return out
 
 
-def structure(df: DataFrame) -> DataFrame:
-    """Position, type, rows and bytes of each column; one pass, no shuffle of rows."""
-    sizes = df.agg(F.count(F.lit(1)).alias("rows"),
-                   *[_column_bytes(n, t).alias(f"b_{i}") for i, (n, t) in enumerate(df.dtypes)])
-    cells = [c for i, (n, t) in enumerate(df.dtypes) for c in (
-        F.lit(i).cast("bigint"), F.lit(n), F.lit(t), F.col(f"b_{i}"))]
-    return sizes.select("rows", F.stack(F.lit(len(df.columns)), *cells).alias(
-        "position", "name", "dtype", "data_bytes"))
+def facts(df: DataFrame, order_by: str | None = None) -> DataFrame:
+    """One row with every figure that needs neither distinct values nor a shuffle of rows.
+
+    The sections below select from it. Used on its own, a section makes Spark compute only the
+    figures it shows.
+    """
+    df, columns, dtypes = _prepared(df, order_by)
+    figures = [F.count(F.lit(1)).alias("rows")]
+    for i, name in enumerate(columns):
+        figures.append(F.count_if(ref(name).isNull()).alias(f"nulls_{i}"))
+        if dtypes[name] in ("string", "binary"):
+            figures.append(F.coalesce(F.sum(F.octet_length(ref(name)).cast("bigint")), F.lit(0)).alias(f"bytes_{i}"))
+        else:
+            figures.append((F.count(F.lit(1)) * FIXED_WIDTHS.get(dtypes[name], 8)).alias(f"bytes_{i}"))
+        if is_number(dtypes[name]):
+            value = _number(name, dtypes).cast("double")
+            figures += [F.min(value).alias(f"min_{i}"), F.max(value).alias(f"max_{i}"),
+                        F.avg(value).alias(f"mean_{i}"), F.stddev_samp(value).alias(f"std_{i}")]
+    figures += [c.alias(n) for n, c in _business_counters(columns, dtypes).items()]
+    return df.agg(*figures)
+
+
+def _facts(df: DataFrame, known: DataFrame | None, order_by: str | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
+    types = [(n, t) for n, t in df.dtypes if n != order_by]
+    return (facts(df, order_by) if known is None else known), types
+
+
+def overview(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Rows, columns and size of the values."""
+    known, types = _facts(df, known)
+    size = F.expr(" + ".join(f"bytes_{i}" for i in range(len(types))) or "0")
+    return known.select(
+        "rows", F.lit(len(types)).cast("bigint").alias("columns"),
+        F.lit(", ".join(n for n, _ in types)).alias("column_names"),
+        size.alias("data_bytes"), F.round(size / 1024 / 1024, 2).alias("data_mb"))
+
+
+def structure(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Position, type, rows and bytes of each column."""
+    known, types = _facts(df, known)
+    cells = [c for i, (n, t) in enumerate(types) for c in (
+        F.lit(i).cast("bigint"), F.lit(n), F.lit(t), F.col(f"bytes_{i}"))]
+    return known.select("rows", F.stack(F.lit(len(types)), *cells).alias("position", "name", "dtype", "data_bytes"))
 
 
 # Distinct values ---------------------------------------------------------------------------------
@@ -121,27 +166,29 @@ def _as_text(dtypes: dict[str, str]) -> Column:
     return F.coalesce(F.col("text"), whole, F.col("whole").cast("string"), F.col("real").cast("string"))
 
 
-def samples(df: DataFrame, order_by: str | None = None, size: int = SAMPLE_SIZE) -> DataFrame:
+def samples(df: DataFrame, order_by: str | None = None, size: int = SAMPLE_SIZE,
+            values: DataFrame | None = None) -> DataFrame:
     """First distinct values per column: by position if there is one, else the smallest values.
 
     Spark keeps only ``size`` rows per column and task before it shuffles for the ranking.
     """
-    values = value_counts(df, order_by=order_by).filter(_present())
+    values = value_counts(df, order_by=order_by) if values is None else values
     order = [F.col("first_seen")] if order_by else [F.col("whole"), F.col("real"), F.col("text")]
-    ranked = values.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(*order)))
+    ranked = values.filter(_present()).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("column").orderBy(*order)))
     return ranked.filter(F.col("rank") <= size).select(
         "column", F.col("rank").cast("bigint").alias("rank"), _as_text(dict(df.dtypes)).alias("value"))
 
 
-def columns_profile(df: DataFrame, order_by: str | None = None) -> DataFrame:
+def columns_profile(df: DataFrame, order_by: str | None = None, values: DataFrame | None = None) -> DataFrame:
     """Type, nulls, distinct values and sample values of each column."""
-    values = value_counts(df, order_by=order_by)
+    values = value_counts(df, order_by=order_by) if values is None else values
     per_column = values.groupBy("column").agg(
         F.sum("copies").alias("rows"),
         F.coalesce(F.sum(F.when(~_present(), F.col("copies"))), F.lit(0)).alias("null_count"),
         F.count_if(_present()).alias("unique_count"),
     )
-    shown = samples(df, order_by).groupBy("column").agg(
+    shown = samples(df, order_by, values=values).groupBy("column").agg(
         F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("__samples"))
     return (
         column_list(df, order_by)
@@ -160,34 +207,31 @@ def columns_profile(df: DataFrame, order_by: str | None = None) -> DataFrame:
 
 # Numbers -----------------------------------------------------------------------------------------
 
+def _located(counted: DataFrame, order: str) -> DataFrame:
+    """Of rows with a count ``n``, the one per target at which the running count reaches the rank."""
+    upto = f"below + sum(n) OVER (PARTITION BY column, target ORDER BY {order} ROWS UNBOUNDED PRECEDING)"
+    return counted.selectExpr("*", f"{upto} AS upto").filter("upto - n < rank AND rank <= upto")
+
+
 def _narrow(values: DataFrame, targets: DataFrame) -> DataFrame:
     """Shrink each target's value range to the bucket that holds its rank.
 
     The targets are two rows per numeric column, so broadcasting them is safe at any size of data,
     and the running count sees at most ``MEDIAN_BUCKETS`` rows per target.
     """
-    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
-    infinite = F.lit(float("inf"))
-    place = F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * MEDIAN_BUCKETS)
-    bucket = (
-        F.when(v == -infinite, -1)
-        .when(v == infinite, MEDIAN_BUCKETS)
-        .when(lo == hi, 0)
-        .otherwise(F.least(F.greatest(place, F.lit(0)), F.lit(MEDIAN_BUCKETS - 1)))
-    ).cast("bigint")
+    bucket = f"""cast(CASE WHEN v = double('-Infinity') THEN -1 WHEN v = double('Infinity') THEN {MEDIAN_BUCKETS}
+        WHEN lo = hi THEN 0
+        ELSE least(greatest(floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * {MEDIAN_BUCKETS}), 0), {MEDIAN_BUCKETS - 1})
+        END as bigint) AS bucket"""
     inside = values.join(F.broadcast(targets), "column").filter(
-        ((v >= lo) & (v <= hi)) | (F.col("first") & (F.abs(v) == infinite)))
-    buckets = inside.groupBy("column", "target", "rank", "below", bucket.alias("bucket")).agg(
-        F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    running = Window.partitionBy("column", "target").orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    counted = buckets.withColumn("upto", F.col("below") + F.sum("n").over(running))
-    return counted.filter((F.col("upto") - F.col("n") < F.col("rank")) & (F.col("rank") <= F.col("upto"))).select(
-        "column", "target", "rank", (F.col("upto") - F.col("n")).alias("below"), "lo", "hi",
-        F.lit(False).alias("first"))
-
-
-def medians(df: DataFrame) -> DataFrame:
+        "v BETWEEN lo AND hi OR (first AND abs(v) = double('Infinity'))")
+    buckets = inside.groupBy("column", "target", "rank", "below", F.expr(bucket)).agg(
+        F.expr("sum(n) AS n"), F.expr("min(v) AS lo"), F.expr("max(v) AS hi"))
+    return _located(buckets, "bucket").selectExpr(
+        "column", "target", "rank", "upto - n AS below", "lo", "hi", "false AS first")
+
+
+def medians(df: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """Exact median per numeric column without collecting the values of a column in one task.
 
     The distinct values are counted once. The two middle ranks are then located by counting
@@ -195,72 +239,58 @@ def medians(df: DataFrame) -> DataFrame:
     bucket are put in order.
     """
     numeric = [n for n, t in df.dtypes if is_number(t)]
-    values = value_counts(df, numeric).select(
-        "column", F.coalesce(F.col("real"), F.col("whole").cast("double")).alias("v"), F.col("copies").alias("n")
-    ).filter(F.col("v").isNotNull())
-    finite_value = F.when(F.abs("v") != float("inf"), F.col("v"))
+    values = value_counts(df, numeric) if values is None else values.filter(F.col("column").isin(numeric))
+    values = values.selectExpr(
+        "column", "coalesce(real, cast(whole as double)) AS v", "copies AS n").filter("v IS NOT NULL")
+    finite_value = "if(abs(v) != double('Infinity'), v, null)"
     targets = values.groupBy("column").agg(
-        F.sum("n").alias("total"),
-        F.coalesce(F.min(finite_value), F.lit(0.0)).alias("lo"),
-        F.coalesce(F.max(finite_value), F.lit(0.0)).alias("hi"),
-    ).select(
-        "column", "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.lit(True).alias("first"),
-        F.posexplode(F.array(F.expr("(total + 1) div 2"), F.expr("total div 2 + 1"))).alias("target", "rank"))
+        F.expr("sum(n) AS total"),
+        F.expr(f"coalesce(min({finite_value}), 0.0D) AS lo"),
+        F.expr(f"coalesce(max({finite_value}), 0.0D) AS hi"),
+    ).selectExpr("column", "lo", "hi", "cast(0 as bigint) AS below", "true AS first",
+                 "posexplode(array((total + 1) div 2, total div 2 + 1)) AS (target, rank)")
     for _ in range(MEDIAN_LEVELS):
         targets = _narrow(values, targets)
-    last = values.join(F.broadcast(targets), "column").filter(
-        (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-    running = Window.partitionBy("column", "target").orderBy("v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    placed = last.withColumn("upto", F.col("below") + F.sum("n").over(running)).filter(
-        (F.col("upto") - F.col("n") < F.col("rank")) & (F.col("rank") <= F.col("upto")))
-    return placed.groupBy("column").agg(F.avg("v").alias("median"))
-
-
-def moments(df: DataFrame) -> DataFrame:
-    """Minimum, maximum, mean and sample deviation per numeric column; one pass, no shuffle of rows."""
-    df, columns, dtypes = _prepared(df)
-    numeric = [n for n in columns if is_number(dtypes[n])]
-    aggregates, cells = [], []
-    for i, name in enumerate(numeric):
-        value = to_number(name, dtypes[name]).cast("double")
-        aggregates += [F.min(value).alias(f"min_{i}"), F.max(value).alias(f"max_{i}"),
-                       F.avg(value).alias(f"mean_{i}"), F.stddev_samp(value).alias(f"std_{i}")]
-        cells += [F.lit(name), *[F.col(f"{k}_{i}") for k in ("min", "max", "mean", "std")]]
-    return df.agg(*aggregates).select(
-        F.stack(F.lit(len(numeric)), *cells).alias("column", "min", "max", "mean", "std"))
-
-
-def numeric_profile(df: DataFrame) -> DataFrame:
+    last = values.join(F.broadcast(targets), "column").filter("v BETWEEN lo AND hi")
+    return _located(last, "v").groupBy("column").agg(F.expr("avg(v) AS median"))
+
+
+def moments(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Minimum, maximum, mean and sample deviation per numeric column."""
+    known, types = _facts(df, known)
+    numeric = [(i, n) for i, (n, t) in enumerate(types) if is_number(t)]
+    cells = [c for i, n in numeric for c in (F.lit(n), *[F.col(f"{k}_{i}") for k in ("min", "max", "mean", "std")])]
+    return known.select(F.stack(F.lit(len(numeric)), *cells).alias("column", "min", "max", "mean", "std"))
+
+
+def numeric_profile(df: DataFrame, known: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
     """Minimum, maximum, mean, deviation and median of each numeric column, 4 decimals."""
     df = nan_to_null(df)
     if not any(is_number(t) for _, t in df.dtypes):
         return df.sparkSession.range(0).select(
             F.lit("").alias("name"), *[F.lit(0.0).alias(k) for k in ("min", "max", "mean", "std", "median")])
-    return moments(df).join(medians(df), "column", "left").select(
+    return moments(df, known).join(medians(df, values), "column", "left").select(
         F.col("column").alias("name"), *[finite(F.col(k)).alias(k) for k in ("min", "max", "mean", "std", "median")])
 
 
 # Missing cells and copies ------------------------------------------------------------------------
 
-def null_counts(df: DataFrame, order_by: str | None = None) -> DataFrame:
-    """Rows and nulls per column; one pass, no shuffle of rows."""
-    df, columns, _ = _prepared(df, order_by)
-    counted = df.agg(F.count(F.lit(1)).alias("rows"),
-                     *[F.count_if(ref(c).isNull()).alias(f"n_{i}") for i, c in enumerate(columns)])
-    cells = [c for i, n in enumerate(columns) for c in (F.lit(n), F.col(f"n_{i}"))]
-    return counted.select("rows", F.stack(F.lit(len(columns)), *cells).alias("name", "missing_count"))
+def null_counts(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Rows and nulls per column."""
+    known, types = _facts(df, known)
+    cells = [c for i, (n, _) in enumerate(types) for c in (F.lit(n), F.col(f"nulls_{i}"))]
+    return known.select("rows", F.stack(F.lit(len(types)), *cells).alias("name", "missing_count"))
 
 
-def missing_per_column(df: DataFrame, order_by: str | None = None) -> DataFrame:
+def missing_per_column(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Columns that have missing values."""
-    return null_counts(df, order_by).filter("missing_count > 0").select(
+    return null_counts(df, known).filter("missing_count > 0").select(
         "name", "missing_count", share(F.col("missing_count"), F.col("rows")).alias("missing_percentage"))
 
 
-def missing_summary(df: DataFrame, order_by: str | None = None) -> DataFrame:
+def missing_summary(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Missing cells of the whole table."""
-    return null_counts(df, order_by).agg(
+    return null_counts(df, known).agg(
         F.sum("missing_count").alias("total_missing_cells"),
         share(F.sum("missing_count"), F.sum("rows")).alias("total_missing_percentage"),
         F.count_if(F.col("missing_count") > 0).alias("columns_with_missing"))
@@ -302,103 +332,81 @@ def dates_profile(df: DataFrame, column: str = "InvoiceDate", settings: Settings
     if column not in df.columns:
         return df.sparkSession.range(1).select(F.lit(f"{column} column not found").alias("error"))
     days = daily_volume(df, column, settings, order_by)
-    known = F.col("shape").isNotNull()
-    first = [F.min("first_seen").alias("first_seen")] if order_by else []
+    first = [F.expr("min(first_seen) AS first_seen")] if order_by else []
     shapes = days.groupBy("shape").agg(
-        F.sum("rows").alias("rows"), F.min("earliest").alias("earliest"), F.max("latest").alias("latest"),
-        F.min("rows").alias("low"), F.max("rows").alias("high"), F.avg("rows").alias("mean"),
-        F.count(F.lit(1)).alias("days"), *first)
-    packed = F.struct("rows", "earliest", "latest", "low", "high", "mean", "days")
+        F.expr("sum(rows) AS rows"), F.expr("min(earliest) AS earliest"), F.expr("max(latest) AS latest"),
+        F.expr("min(rows) AS low"), F.expr("max(rows) AS high"), F.expr("avg(rows) AS mean"),
+        F.expr("count(1) AS days"), *first)
+    packed = "struct(rows, earliest, latest, low, high, mean, days)"
     if order_by:
-        chosen = F.min_by(packed, F.when(known, F.col("first_seen")))
+        chosen = f"min_by({packed}, if(shape IS NOT NULL, first_seen, null)) AS d"
     else:
-        chosen = F.max_by(packed, F.when(known, F.struct("rows", "shape")))
-    return shapes.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("total"), chosen.alias("d")).select(
+        chosen = f"max_by({packed}, if(shape IS NOT NULL, struct(rows, shape), null)) AS d"
+    return shapes.agg(F.expr("coalesce(sum(rows), 0) AS total"), F.expr(chosen)).select(
         iso_text(F.col("d.earliest")).alias("earliest_date"),
         iso_text(F.col("d.latest")).alias("latest_date"),
-        F.expr("timestampdiff(DAY, d.earliest, d.latest)").alias("date_span_days"),
-        (F.col("total") - F.coalesce("d.rows", F.lit(0))).alias("invalid_dates"),
-        F.col("d.low").alias("min_transactions_per_day"),
-        F.col("d.high").alias("max_transactions_per_day"),
-        F.round("d.mean", 1).alias("mean_transactions_per_day"),
-        F.col("d.days").alias("total_trading_days"),
-        F.when(F.col("d").isNull(), "No valid dates could be parsed").alias("error"),
+        *[F.expr(e) for e in (
+            "timestampdiff(DAY, d.earliest, d.latest) AS date_span_days",
+            "total - coalesce(d.rows, 0) AS invalid_dates",
+            "d.low AS min_transactions_per_day",
+            "d.high AS max_transactions_per_day",
+            "round(d.mean, 1) AS mean_transactions_per_day",
+            "d.days AS total_trading_days",
+            "if(d IS NULL, 'No valid dates could be parsed', null) AS error",
+        )],
     )
 
 
 # Business counters -------------------------------------------------------------------------------
 
-def business_profile(df: DataFrame) -> DataFrame:
+# Distinct counter -> column, each before the counter that follows it in the report.
+DISTINCT_COUNTERS = {
+    "unique_customers": "CustomerID",
+    "unique_products": "StockCode",
+    "unique_countries": "Country",
+    "unique_invoices": "InvoiceNo",
+}
+BUSINESS_ORDER = (
+    "unique_customers", "rows_without_customer_id", "unique_products", "unique_countries", "unique_invoices",
+    "cancellation_invoices", "cancellation_percentage", "negative_quantity_rows", "zero_quantity_rows",
+    "negative_on_non_cancellation", "min_quantity", "max_quantity", "zero_price_rows", "negative_price_rows",
+    "min_price", "max_price", "mean_price",
+)
+
+
+def business_profile(df: DataFrame, known: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
     """Customers, products, countries, invoices, quantities and prices; absent columns are left out.
 
-    Distinct counts come from narrow distinct values, everything else from one pass without a
-    shuffle of rows; both meet as metric rows, so no join is needed.
+    Distinct counts come from the distinct values, the other figures from the one pass over the
+    rows; both meet as metric rows, so no join is needed.
     """
-    df, columns, dtypes = _prepared(df)
-    rows = F.count(F.lit(1))
-    plain: dict[str, Column] = {}
-    counted: dict[str, str] = {}
-    order: list[str] = []
-
-    def add(name: str, value: Column | None = None, distinct: str | None = None) -> None:
-        order.append(name)
-        if distinct is None:
-            plain[name] = value
-        else:
-            counted[name] = distinct
-
-    if "CustomerID" in columns:
-        add("unique_customers", distinct="CustomerID")
-        add("rows_without_customer_id", F.count_if(ref("CustomerID").isNull()))
-    if "StockCode" in columns:
-        add("unique_products", distinct="StockCode")
-    if "Country" in columns:
-        add("unique_countries", distinct="Country")
-    if "InvoiceNo" in columns:
-        add("unique_invoices", distinct="InvoiceNo")
-        add("cancellation_invoices", F.count_if(cancelled()))
-        add("cancellation_percentage", share(F.count_if(cancelled()), rows))
-    if "Quantity" in columns:
-        quantity = to_number("Quantity", dtypes["Quantity"])
-        unexplained = holds(quantity < 0) & ~cancelled() if "InvoiceNo" in columns else F.lit(False)
-        add("negative_quantity_rows", F.count_if(quantity < 0))
-        add("zero_quantity_rows", F.count_if(quantity == 0))
-        add("negative_on_non_cancellation", F.count_if(unexplained))
-        add("min_quantity", F.min(quantity).cast("bigint"))
-        add("max_quantity", F.max(quantity).cast("bigint"))
-    if "UnitPrice" in columns:
-        price = to_number("UnitPrice", dtypes["UnitPrice"])
-        add("zero_price_rows", F.count_if(price == 0))
-        add("negative_price_rows", F.count_if(price < 0))
-        add("min_price", F.round(F.min(price).cast("double"), 2))
-        add("max_price", F.round(F.max(price).cast("double"), 2))
-        add("mean_price", F.round(F.avg(price), 2))
-
-    wide = df.agg(rows.alias("__rows"), *[v.alias(n) for n, v in plain.items()])
-    whole = {n for n, t in wide.dtypes if t == "bigint"}
-    cells = [c for n in plain for c in (
-        F.lit(n), F.col(n).cast("bigint") if n in whole else F.lit(None).cast("bigint"), F.col(n).cast("double"))]
-    metrics = wide.select(F.stack(F.lit(max(len(plain), 1)), *(cells or [
-        F.lit(""), F.lit(None).cast("bigint"), F.lit(None).cast("double")])).alias("metric", "whole", "real"))
+    known, types = _facts(df, known)
+    columns = [n for n, _ in types]
+    plain = list(_business_counters(columns, dict(types)))
+    counted = {m: c for m, c in DISTINCT_COUNTERS.items() if c in columns}
+    whole = {n for n, t in known.dtypes if t == "bigint"}
+    cells = ", ".join(
+        f"'{n}', {n if n in whole else 'cast(null as bigint)'}, cast({n} as double)" for n in [*plain, "rows"])
+    metrics = known.selectExpr(f"stack({len(plain) + 1}, {cells}) AS (metric, whole, real)")
     if counted:
-        names = {c: m for m, c in counted.items()}
-        per_column = value_counts(df, list(names)).groupBy("column").agg(F.count_if(_present()).alias("whole"))
-        metric = F.create_map(*[F.lit(x) for c, m in names.items() for x in (c, m)])
-        metrics = metrics.unionByName(per_column.select(
-            metric[F.col("column")].alias("metric"), "whole", F.col("whole").cast("double").alias("real")))
+        if values is None:
+            values = value_counts(df, list(counted.values()))
+        names = ", ".join(f"'{c}', '{m}'" for m, c in counted.items())
+        per_column = values.filter(F.col("column").isin(list(counted.values()))).groupBy("column").agg(
+            F.count_if(_present()).alias("whole"))
+        metrics = metrics.unionByName(per_column.selectExpr(
+            f"map({names})[column] AS metric", "whole", "cast(whole as double) AS real"))
     return metrics.agg(*[
-        F.max(F.when(F.col("metric") == n, F.col("whole" if n in whole or n in counted else "real"))).alias(n)
-        for n in order
+        F.expr(f"max(if(metric = '{n}', {'whole' if n in whole or n in counted else 'real'}, null)) AS {n}")
+        for n in BUSINESS_ORDER if n in plain or n in counted
     ])
 
 
-def top_countries(df: DataFrame, size: int = TOP_COUNTRIES) -> DataFrame:
+def top_countries(df: DataFrame, size: int = TOP_COUNTRIES, values: DataFrame | None = None) -> DataFrame:
     """Countries with the most rows; equal counts by name."""
-    return (
-        df.filter(ref("Country").isNotNull()).groupBy(ref("Country").alias("country"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .orderBy(F.desc("rows"), "country").limit(size)
-    )
+    values = value_counts(df, ["Country"]) if values is None else values.filter(F.col("column") == "Country")
+    return values.filter(F.col("text").isNotNull()).select(
+        F.col("text").alias("country"), F.col("copies").alias("rows")).orderBy(F.desc("rows"), "country").limit(size)
 
 
 # Flags -------------------------------------------------------------------------------------------
@@ -440,23 +448,30 @@ def flags(df: DataFrame, settings: Settings | None = None, row_key: str = ROW,
 
 # Report ------------------------------------------------------------------------------------------
 
-def profile(df: DataFrame, settings: Settings | None = None, row_key: str = ROW,
-            order_by: str | None = None) -> dict[str, DataFrame]:
-    """All sections by name. ``order_by`` names a position column (see ``load_csv(keep_order=True)``)."""
+def profile(df: DataFrame, settings: Settings | None = None, row_key: str = ROW, order_by: str | None = None,
+            stage: Callable[[DataFrame, str], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """All sections by name. ``order_by`` names a position column (see ``load_csv(keep_order=True)``).
+
+    ``stage(rows, name)`` may store the two relations that several sections share, so that the table
+    is read once for each instead of once per section.
+    """
     data = df.drop(order_by) if order_by else df
+    known, values = facts(data), value_counts(df, order_by=order_by)
+    if stage:
+        known, values = stage(known, "facts"), stage(values, "values")
     sections = {
-        "overview": overview(data),
-        "columns": columns_profile(df, order_by),
-        "numeric": numeric_profile(data),
-        "missing_values": missing_summary(data),
-        "missing_per_column": missing_per_column(data),
+        "overview": overview(data, known),
+        "columns": columns_profile(df, order_by, values),
+        "numeric": numeric_profile(data, known, values),
+        "missing_values": missing_summary(data, known),
+        "missing_per_column": missing_per_column(data, known),
         "duplicates": duplicates_profile(data, row_key),
         "date_analysis": dates_profile(df, settings=settings, order_by=order_by),
-        "business_analysis": business_profile(data),
+        "business_analysis": business_profile(data, known, values),
         "quality_flags": flags(data, settings, row_key),
     }
     if "Country" in data.columns:
-        sections["top_countries"] = top_countries(data)
+        sections["top_countries"] = top_countries(data, values=values)
     return sections
 
 

@@ -88,15 +88,19 @@ def _findings_of(lists: Column) -> Column:
 
 
 def _add_frame(report: DataFrame, check: Check, df: DataFrame, by: list[str]) -> DataFrame:
-    """Append the finding rows of a check that has a plan of its own."""
-    rows = check.frame(df, by)
-    if not by:
-        rows, report = rows.withColumn("__one", F.lit(1)), report.withColumn("__one", F.lit(1))
-    keys = by or ["__one"]
-    extra = rows.groupBy(*[ref(k) for k in keys]).agg(
-        F.array_sort(F.collect_list(F.struct(*[ref(n) for n in SORTABLE_FIELDS]))).alias("__more"))
-    joined = report.join(extra, keys, "left")
-    return joined.withColumn(RESULTS, F.concat(RESULTS, _findings_of(F.col("__more")))).drop("__more", "__one")
+    """Append the finding rows of a check that has a plan of its own.
+
+    Both sides have one row per batch and meet by grouping, so a batch key may be null and a table
+    without batches needs no join of its two single rows.
+    """
+    keys = [ref(k) for k in by]
+    extra = check.frame(df, by).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(*[ref(n) for n in SORTABLE_FIELDS]))).alias("__list"))
+    both = report.unionByName(extra.select(*keys, _findings_of(F.col("__list")).alias("__more")), True)
+    merged = both.groupBy(*keys).agg(
+        *[F.any_value(c, True).alias(c) for c in (ROWS, REPEATS, RESULTS, "__more")])
+    found = F.concat(RESULTS, F.coalesce("__more", F.array().cast(f"array<{FINDING_TYPE}>")))
+    return merged.filter(F.col(ROWS).isNotNull()).select(*keys, ROWS, REPEATS, found.alias(RESULTS))
 
 
 def diagnose(

@@ -18,6 +18,7 @@ from assaykit.operators.measure import ROW
 from assaykit.operators.profiling import profile, profile_document
 from assaykit.operators.scoring import score
 from assaykit.operators.validation import run_isolated, summary
+from assaykit.session import stored
 from assaykit.sources.readers import POSITION, Extraction, extract_csv
 from assaykit.sources.sinks import (
     quality_document, score_document, stamp, write_json, write_lineage_sidecar)
@@ -55,10 +56,17 @@ def _extract(spark: SparkSession, source: DataFrame | str, keep_order: bool = Fa
 
 def profile_job(spark: SparkSession, source: DataFrame | str, output: str | None = None,
                 dataset: str = DATASET, settings: Settings | None = None, row_key: str = ROW) -> str:
-    """Profile a source and write the report; samples come in file order for a CSV path."""
+    """Profile a source and write the report; samples come in file order for a CSV path.
+
+    CSV text is parsed once into columns; figures and distinct values are then stored for the
+    sections that share them.
+    """
     extraction = _extract(spark, source, keep_order=True, settings=settings)
-    order = POSITION if POSITION in extraction.df.columns else None
-    sections = profile(extraction.df, settings, row_key, order)
+    df = extraction.df
+    order = POSITION if POSITION in df.columns else None
+    if order:
+        df = stored(df, "profile-source")
+    sections = profile(df, settings, row_key, order, stored)
     return write_json(profile_document(sections, dataset), output, "profile")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "assaykit", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,3 +42,10 @@ def workspace(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="assaykit-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder and read back: worked out once, safe against lost executors."""
+    path = workspace(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)

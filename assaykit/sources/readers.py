@@ -98,7 +98,8 @@ def extract_csv(
 
     Without ``schema`` the column types follow from the values, which takes one pass over the text
     and lets the schema check see drift. With ``schema`` there is no such pass, and a value that does
-    not fit makes the job fail. ``keep_order`` adds the position of each row in its files.
+    not fit makes the job fail. ``keep_order`` adds a number to each row that grows along a file;
+    with several files, their pieces follow each other in the order in which Spark reads them.
     ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
     """
     settings = settings or Settings()
@@ -107,9 +108,7 @@ def extract_csv(
         "header": "true", "encoding": ENCODINGS.get(encoding.lower(), encoding), "quote": '"', "escape": '"',
         "multiLine": str(multi_line).lower(),
     }
-    position = F.struct(
-        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-        F.monotonically_increasing_id().alias("id")).alias(POSITION)
+    position = F.monotonically_increasing_id().alias(POSITION)
     added = [position] if keep_order else []
 
     if schema is not None:

@@ -100,7 +100,8 @@ class HistoryStore:
     def _append(self, rows: DataFrame, name: str) -> None:
         """Write rows; a run that was started again replaces what its failed attempt left."""
         if name in BY_RUN:
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            one_file_per_run = rows.repartition("run_id")
+            one_file_per_run.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
                 "run_id").parquet(self.path(name))
         else:
             rows.write.mode("append").parquet(self.path(name))

@@ -16,7 +16,7 @@ def spark():
     from assaykit import get_spark
 
     session = get_spark(
-        "assaykit-tests", "local[8]", spark__ui__enabled="false", spark__sql__shuffle__partitions="8",
+        "assaykit-tests", "local[4]", spark__ui__enabled="false", spark__sql__shuffle__partitions="4",
         spark__driver__memory="4g", spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("OFF")
     yield session
