@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaykit.config import Settings
 from assaykit.functions.dates import elapsed_seconds, iso_text
 from assaykit.functions.values import ref
 from assaykit.operators import history, marts, measure, profiling
@@ -16,9 +17,8 @@ from assaykit.operators.scoring import category_scores, dashboard_label, run_sta
 from assaykit.operators.transform import number_kinds, problems, to_snapshot, transform
 from assaykit.operators.validation import (
     acceptable_by_category, as_records, report_from_results, results, summary, validate)
-from assaykit.config import Settings
 from assaykit.plans import jobs
-from assaykit.session import workspace
+from assaykit.session import stored, workspace
 from assaykit.sources.readers import dataset_info, load_csv
 from assaykit.sources.retail import retail
 from assaykit.sources.store import HistoryStore
@@ -381,20 +381,36 @@ def _clocked(reports: DataFrame) -> DataFrame:
     return reports.withColumns({"started_at": started, "finished_at": finished})
 
 
-def monthly_runs(spark: SparkSession, folder: str) -> DataFrame:
-    reports = _clocked(monthly_reports(spark, folder))
-    return reports.select(
+def runs_of(reports: DataFrame) -> DataFrame:
+    return _clocked(reports).select(
         "run_id", F.lit("online_retail_quality_pipeline").alias("pipeline_name"), "started_at", "finished_at",
         elapsed_seconds(F.col("started_at"), F.col("finished_at")).alias("duration_seconds"),
         F.lit("COMPLETED").alias("status"), F.col("total_rows").alias("rows_processed"), "health_score")
 
 
-def monthly_results(spark: SparkSession, folder: str) -> DataFrame:
-    reports = validate(retail(spark, folder, faulty=True, batch=True), by=RUN)
+def results_of_reports(reports: DataFrame) -> DataFrame:
     return _order(results(reports, RUN)).select(
         history.result_id(F.col("run_id"), F.col("check_order")).alias("result_id"), "run_id", "check_order", *FOUND)
 
 
+def monthly_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs_of(monthly_reports(spark, folder))
+
+
+def monthly_results(spark: SparkSession, folder: str) -> DataFrame:
+    return results_of_reports(validate(retail(spark, folder, faulty=True, batch=True), by=RUN))
+
+
+def monthly_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Runs and findings for queries that need both.
+
+    The reports, one row per run, are written once, so that the table is not validated a second time
+    for the other side.
+    """
+    reports = stored(monthly_reports(spark, folder).select("run_id", "total_rows", "health_score", "results"), "reports")
+    return runs_of(reports), results_of_reports(reports)
+
+
 def _timed(runs: DataFrame) -> DataFrame:
     return runs.withColumns({c: iso_text(F.col(c)) for c in ("started_at", "finished_at") if c in runs.columns})
 
@@ -422,9 +438,8 @@ def batch_summary(spark, folder):
 @query
 def rescored_runs(spark, folder):
     """Scores worked out again from stored findings."""
-    found = monthly_results(spark, folder)
-    runs = found.select("run_id").distinct()
-    return score(report_from_results(found, runs, RUN)).select("run_id", "health_score", "health_label")
+    runs, found = monthly_tables(spark, folder)
+    return score(report_from_results(found, runs.select("run_id"), RUN)).select("run_id", "health_score", "health_label")
 
 
 @query
@@ -464,12 +479,12 @@ def score_trend(spark, folder):
 
 @query
 def score_delta(spark, folder):
-    return history.score_delta(monthly_runs(spark, folder))
+    return history.score_delta(monthly_tables(spark, folder)[0])
 
 
 @query
 def score_delta_by_name(spark, folder):
-    return history.score_delta(monthly_runs(spark, folder), per_name=True)
+    return history.score_delta(monthly_tables(spark, folder)[0], per_name=True)
 
 
 @query
@@ -499,32 +514,32 @@ def warning_checks(spark, folder):
 
 @query
 def check_details(spark, folder):
-    found = monthly_results(spark, folder)
-    return history.latest_details(found, found)
+    runs, found = monthly_tables(spark, folder)
+    return history.latest_details(found, runs)
 
 
 @query
 def attention(spark, folder):
-    found = monthly_results(spark, folder)
-    return history.attention(found, found)
+    runs, found = monthly_tables(spark, folder)
+    return history.attention(found, runs)
 
 
 @query
 def status_mix(spark, folder):
-    found = monthly_results(spark, folder)
-    return history.status_mix(found, found)
+    runs, found = monthly_tables(spark, folder)
+    return history.status_mix(found, runs)
 
 
 @query
 def category_status(spark, folder):
-    found = monthly_results(spark, folder)
-    return history.category_status(found, found)
+    runs, found = monthly_tables(spark, folder)
+    return history.category_status(found, runs)
 
 
 @query
 def latest_cards(spark, folder):
-    found = monthly_results(spark, folder)
-    return history.latest_cards(found, found)
+    runs, found = monthly_tables(spark, folder)
+    return history.latest_cards(found, runs)
 
 
 @query
@@ -534,7 +549,7 @@ def results_per_run(spark, folder):
 
 @query
 def runs_with_results(spark, folder):
-    joined = history.runs_with_results(monthly_runs(spark, folder), monthly_results(spark, folder))
+    joined = history.runs_with_results(*monthly_tables(spark, folder))
     listed = F.array_join(F.transform("quality_results", lambda r: F.concat(
         r["check_name"], F.lit(":"), r["status"])), ",")
     return joined.select("run_id", "rows_processed", "health_score", listed.alias("quality_results"))
@@ -542,7 +557,7 @@ def runs_with_results(spark, folder):
 
 @query
 def run_results(spark, folder):
-    joined = history.run_results(monthly_runs(spark, folder), monthly_results(spark, folder))
+    joined = history.run_results(*monthly_tables(spark, folder))
     return joined.select("result_id", "run_id", "pipeline_name", "run_status", "health_score", "check_name", "status")
 
 
@@ -553,14 +568,14 @@ def _kept_runs(runs: DataFrame) -> DataFrame:
 @query
 def orphan_results(spark, folder):
     """Findings whose run has been removed from the run table."""
-    kept = _kept_runs(monthly_runs(spark, folder))
-    return history.orphan_results(monthly_results(spark, folder), kept).groupBy("run_id").agg(
+    runs, found = monthly_tables(spark, folder)
+    return history.orphan_results(found, _kept_runs(runs)).groupBy("run_id").agg(
         F.count(F.lit(1)).alias("results"))
 
 
 @query
 def runs_after_removal(spark, folder):
-    return _kept_runs(monthly_runs(spark, folder)).select("run_id", "rows_processed", "health_score")
+    return _kept_runs(monthly_tables(spark, folder)[0]).select("run_id", "rows_processed", "health_score")
 
 
 @query

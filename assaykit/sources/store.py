@@ -131,6 +131,11 @@ class HistoryStore:
         return self._read("results").join(self.runs().select("run_id"), "run_id", "left_semi").select(
             *RESULT_ROWS)
 
+    def latest_results(self) -> DataFrame:
+        """Findings of the newest run; only its partition is read."""
+        newest = self.runs().agg(F.max("run_id")).first()[0]
+        return history.results_of(self.results(), newest if newest is not None else 0)
+
     def lineage(self) -> DataFrame:
         return self._read("lineage")
 

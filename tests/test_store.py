@@ -1,4 +1,3 @@
-import json
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -60,6 +59,7 @@ def test_order_of_runs(store, scored):
     assert history.failed_checks(store.results(), 1).count() == 1
     assert history.warning_checks(store.results(), 1).count() == 1
     assert history.failed_checks(store.results()).count() == 2
+    assert {r.run_id for r in store.latest_results().collect()} == {2}
 
 
 def test_runs_carry_their_results(store, scored):
