@@ -24,7 +24,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, path: str, *keys: str) -> DataFrame:
-    """Distribute a table that has fewer files than there are cores; larger tables stay as they are."""
+    """Distribute rows read from fewer files than there are cores; larger tables stay as they are."""
     spark = df.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getFileCount()
@@ -39,12 +39,12 @@ def retail(spark: SparkSession, folder: str, faulty: bool = False, batch: bool =
     broadcasting is left to Spark, which checks the sizes. Repeated rows come from one generator
     per row instead of a second read of the table.
     """
-    nation, customer, orders, part = (table(spark, folder, n) for n in ("nation", "customer", "orders", "part"))
-    lines = spread(table(spark, folder, "lineitem"), f"{folder.rstrip('/')}/lineitem.parquet",
-                   "l_orderkey", "l_partkey")
-
+    nation, customer, orders, part, lines = (
+        table(spark, folder, n) for n in ("nation", "customer", "orders", "part", "lineitem"))
     buyers = orders.join(customer.join(nation, F.expr("c_nationkey = n_nationkey")), F.expr("o_custkey = c_custkey"))
-    joined = lines.join(buyers, F.expr("l_orderkey = o_orderkey")).join(part, F.expr("l_partkey = p_partkey"))
+    joined = spread(
+        lines.join(buyers, F.expr("l_orderkey = o_orderkey")).join(part, F.expr("l_partkey = p_partkey")),
+        f"{folder.rstrip('/')}/lineitem.parquet", "l_orderkey", "l_partkey")
 
     order, returned = F.col("l_orderkey"), F.col("l_returnflag") == "R"
     adjusted = ~returned & (order % 50 == 7)

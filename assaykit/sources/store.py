@@ -139,14 +139,31 @@ class HistoryStore:
     def lineage(self) -> DataFrame:
         return self._read("lineage")
 
+    def _current_snapshot(self) -> str | None:
+        committed = self._read("snapshots").join(self.runs().select("run_id"), "run_id", "left_semi")
+        return committed.agg(F.max_by("path", "run_id").alias("path")).first()["path"]
+
     def snapshot(self) -> DataFrame:
         """The snapshot of the newest committed run that has one."""
-        committed = self._read("snapshots").join(self.runs().select("run_id"), "run_id", "left_semi")
-        newest = committed.agg(F.max_by("path", "run_id").alias("path")).first()["path"]
+        newest = self._current_snapshot()
         if newest is None:
             raise FileNotFoundError(f"no snapshot has been published below {self.root}")
         return self.spark.read.parquet(newest)
 
+    def remove_old_snapshots(self) -> int:
+        """Delete snapshots that are not current, with the reports staged on the way; returns their number.
+
+        Call it between runs: the snapshot of a run in progress is not current yet.
+        """
+        current = self._current_snapshot()
+        files, folder = self._files(self.path("transactions"))
+        old = [str(f.getPath()) for f in files.listStatus(folder)
+               if current is None or f.getPath().getName().split(".")[0] != current.rsplit("/", 1)[-1]]
+        for path in old:
+            self._delete(path)
+        self._delete(self.path("_staged"))
+        return sum(not path.endswith(".json") for path in old)
+
     def next_run_id(self) -> int:
         return self.runs().agg(F.coalesce(F.max("run_id"), F.lit(0)) + 1).first()[0]
 

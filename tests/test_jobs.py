@@ -123,6 +123,8 @@ def test_new_snapshot_replaces_the_old_one(spark, csv, root):
     result = jobs.run_etl(spark, csv(rows=ROWS[:1]), root)
     store = HistoryStore(spark, root)
     assert result.run_id == 2 and store.snapshot().count() == 1 and store.runs().count() == 2
+    assert store.remove_old_snapshots() == 1 and store.snapshot().count() == 1
+    assert store.remove_old_snapshots() == 0
 
 
 def test_no_snapshot_yet(spark, root):
