@@ -14,7 +14,7 @@ from assaykit.operators import history, marts, measure, profiling
 from assaykit.operators.checks import (
     Check, Counts, Finding, Outcome, Table, adjustment, default_checks)
 from assaykit.operators.scoring import category_scores, dashboard_label, run_state, score
-from assaykit.operators.transform import number_kinds, problems, to_snapshot, transform
+from assaykit.operators.transform import problems, to_snapshot, transform
 from assaykit.operators.validation import (
     acceptable_by_category, as_records, report_from_results, results, summary, validate)
 from assaykit.plans import jobs
