@@ -7,10 +7,12 @@ The global order of n-grams is that of their 64-bit hashes. It is cut into fragm
   Spare fragments make up for empty ones: a set with at most that many empty fragments need not offer them.
 * To count, into ``PARTS`` fragments of fixed width. Partial overlaps are counted fragment by fragment and summed per pair.
 
-Equal sets are one node (told apart by 64-bit digests). All members of a group of equal fragments are compared with its
-least member; groups whose members then still lie in different components are gone through again with twice as many
-members each round, until every pair of a group is compared or in one component. So large groups of near copies cost
-rows in proportion to their size, and no link between components is lost.
+Equal sets are one node (told apart by 64-bit digests). Groups of equal fragments are never paired out. All members of a group
+are compared with one, the member that shares most fragments in all. If some are not linked to it, their differences from it
+tell which pairs can be linked at all: x and y differ by at least |Dx| + |Dy| - 2 min(sx, sy), where Dx is what x and the
+leader do not share and sx is how much of Dx occurs in another member's difference, too. Members that can still be linked with one of
+another component go through the next round, with twice as many leaders, until every pair of a group is compared, impossible or
+within one component. So no link between components is lost.
 
 Words are runs of characters other than ASCII white space, with A-Z in lower case. A text of fewer words is one n-gram,
 a null text or one without words has none and is linked with nothing. Rows that repeat id and text are one document; rows
@@ -139,16 +141,15 @@ def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of groups of at least two from rows sorted by signature and node: group, node and least member.
+    """Members of groups of at least two from rows sorted by signature and node: group and node.
 
     Groups with the same members get the same number, unless they are longer than ``HELD``.
     """
     sig, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    passing = None  # signature and least member of a long group that has begun
+    passing = None  # signature of a long group that has begun
 
-    def rows(group, members, least):
-        return pa.RecordBatch.from_arrays([pa.array(group), pa.array(members), pa.array(least)],
-                                          names=["group", "node", "leader"])
+    def rows(group, members):
+        return pa.RecordBatch.from_arrays([pa.array(group), pa.array(members)], names=["group", "node"])
 
     def closed(s, n):
         begins = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
@@ -156,14 +157,14 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.add.reduceat(mix(n.view(np.uint64)), begins)
         number = mix(total + counts.astype(np.uint64)).view(np.int64)
         many = np.repeat(counts > 1, counts)
-        return rows(np.repeat(number, counts)[many], n[many], np.repeat(n[begins], counts)[many])
+        return rows(np.repeat(number, counts)[many], n[many])
 
     for batch in batches:
         s, n = (batch.column(x).to_numpy() for x in ("signature", "node"))
-        if passing and len(s):
-            same = s == passing[0]
+        if passing is not None and len(s):
+            same = s == passing
             if same.any():
-                yield rows(s[same], n[same], np.full(same.sum(), passing[1]))
+                yield rows(s[same], n[same])
             s, n = s[~same], n[~same]
             if len(s):
                 passing = None
@@ -177,25 +178,24 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield closed(sig[:last], node[:last])
             sig, node = sig[last:], node[last:]
         if len(sig) > HELD:
-            passing = (sig[0], node[0])
-            yield rows(sig, node, np.full(len(sig), node[0]))
+            passing = sig[0]
+            yield rows(sig, node)
             sig, node = sig[:0], node[:0]
     if len(sig):
         yield closed(sig, node)
 
 
 def segments(docs: DataFrame, words: int) -> DataFrame:
-    """node, part, n and n-grams of each counting fragment that is not empty. Takes rows with node and text."""
+    """node, part, n and n-grams of each counting fragment. Takes rows with node and text."""
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         nodes, parts, sizes, held = [], [], [], []
         for node, grams in zip(part.column("node").to_pylist(), ngrams(part.column("text"), words)):
             ends = np.searchsorted(grams >> np.uint64(61), np.arange(PARTS + 1, dtype=np.uint64))
             for i in range(PARTS):
-                if ends[i] < ends[i + 1]:
-                    nodes.append(node)
-                    parts.append(i)
-                    sizes.append(len(grams))
-                    held.append(grams[ends[i]:ends[i + 1]].view(np.int64))
+                nodes.append(node)
+                parts.append(i)
+                sizes.append(len(grams))
+                held.append(grams[ends[i]:ends[i + 1]].view(np.int64))
         ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
         return pa.RecordBatch.from_arrays(
             [pa.array(nodes, pa.int64()), pa.array(parts, pa.int32()), pa.array(sizes, pa.int64()),
@@ -204,15 +204,46 @@ def segments(docs: DataFrame, words: int) -> DataFrame:
     return mapped(docs, work, "node long, part int, n long, grams array<long>").dropDuplicates(["node", "part"])
 
 
-def linked(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose partial overlaps add up to the similarity."""
-    left = held.select(F.col("node").alias("a"), "part", F.col("n").alias("n_a"), F.col("grams").alias("grams_a"))
-    right = held.select(F.col("node").alias("b"), "part", F.col("n").alias("n_b"), F.col("grams").alias("grams_b"))
-    return (pairs.join(left, "a").join(right, ["b", "part"])
-            .select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
-            .groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common"))
-            .where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common")))
-            .select("a", "b"))
+def compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """n_node, n_leader, and per fragment how many n-grams the two have in common and which only one of them has."""
+    left = held.select("node", "part", F.col("n").alias("n_node"), F.col("grams").alias("own"))
+    right = held.select(F.col("node").alias("leader"), "part", F.col("n").alias("n_leader"), F.col("grams").alias("other"))
+    return (pairs.join(right, "leader").join(left, ["node", "part"])
+            .select("node", "leader", "n_node", "n_leader", F.size(F.array_intersect("own", "other")).alias("common"),
+                    F.concat(F.array_except("own", "other"), F.array_except("other", "own")).alias("differ")))
+
+
+def summed(parts: DataFrame, percent: int) -> DataFrame:
+    """node, leader, n, d (size of the difference) and whether they are linked, from the overlaps of all fragments."""
+    total = parts.groupBy("node", "leader", "n_node", "n_leader").agg(F.sum("common").alias("common"))
+    return total.select(
+        "node", "leader", F.col("n_node").alias("n"), (F.col("n_node") + F.col("n_leader") - 2 * F.col("common")).alias("d"),
+        (100 * F.col("common") >= percent * (F.col("n_node") + F.col("n_leader") - F.col("common"))).alias("linked"))
+
+
+def possible(left: DataFrame, parts: DataFrame, sums: DataFrame, percent: int) -> DataFrame:
+    """Members (group, node, leader, label) that can be linked with a member of their group in another component.
+
+    They are compared by classes of their sizes: n and s rounded up, d rounded down, so that no possible pair is ruled out.
+    """
+    alone = (parts.select("leader", "node", F.explode("differ").alias("gram")).groupBy("leader", "gram")
+             .agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+             .groupBy("leader", "node").agg(F.count("*").alias("alone")))
+    step = lambda c: F.greatest(F.lit(1), F.pow(2, F.floor(F.log2(F.greatest(c, F.lit(1)))) - 3)).cast("long")
+    down = lambda c: c - F.pmod(c, step(c))
+    up = lambda c: F.ceil(c / step(c)) * step(c)
+    shared = F.col("d") - F.coalesce("alone", F.lit(0))
+    rated = (left.join(sums.join(alone, ["leader", "node"], "left"), ["leader", "node"])
+             .select("group", "leader", "node", "label", up(F.col("n")).alias("n"), down(F.col("d")).alias("d"), up(shared).alias("s")))
+    classes = (rated.groupBy("group", "leader", "n", "d", "s")
+               .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")))
+    x, y = classes.alias("x"), classes.alias("y")
+    most = (F.col("x.n") + F.col("y.n")) * (100 - percent) / (100 + percent)
+    fits = ((F.col("x.group") == F.col("y.group")) & (F.col("x.leader") == F.col("y.leader"))
+            & (F.least("x.low", "y.low") != F.greatest("x.high", "y.high"))
+            & (F.col("x.d") + F.col("y.d") - 2 * F.least("x.s", "y.s") <= most))
+    open_ = x.join(y, fits, "left_semi").select("group", "leader", "n", "d", "s")
+    return rated.join(open_, ["group", "leader", "n", "d", "s"], "left_semi").select("group", "leader", "node", "label")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -243,7 +274,7 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_
     offered = found.where(F.size("signatures") > 0).select("node", F.explode("signatures").alias("signature"))
     members = stored(
         offered.repartition("signature").sortWithinPartitions("signature", "node").select("signature", "node")
-        .mapInArrow(groups, "group long, node long, leader long").dropDuplicates(["group", "node"]), "groups")
+        .mapInArrow(groups, "group long, node long").distinct(), "groups")
     key = F.coalesce("doc_id", F.lit(NO_ID))
     place = F.struct(key.alias("key"), "text_key")
     nodes = (found.where("node is not null").groupBy("node")
@@ -262,31 +293,44 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_
 
 
 def resolve(members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Labels of the nodes, from comparisons within groups: round after round with more members of unresolved groups."""
-    pair = (F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    pairs = members.where("node <> leader").select(*pair).distinct()
-    done = members.select("group", F.col("leader").alias("node")).distinct()
-    compared, links, taken = None, None, 1
+    """Labels of the nodes with links, from comparisons of group members with leaders, round after round."""
+    sizes = members.groupBy("group").agg((F.count("*") - 1).alias("others"))
+    weights = stored(members.join(sizes, "group").groupBy("node").agg(F.sum("others").alias("weight")), "weights")
+    left, links, taken = members.withColumn("label", F.col("node")), None, 1
+    rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("weight"), "node"))
     while True:
-        pairs = stored(pairs, "pairs")
-        new = stored(linked(pairs, held, percent), "links")
-        compared = pairs if compared is None else compared.union(pairs)
+        leaders = stored(left.join(weights, "node").withColumn("rank", rank).where(F.col("rank") <= taken)
+                         .select("group", F.col("node").alias("leader"), F.col("label").alias("own")), "leaders")
+        tried = left.join(leaders, "group").where("node <> leader and label <> own")
+        parts = stored(compared(tried.select("node", "leader").distinct(), held), "compared")
+        sums = stored(summed(parts, percent), "sums")
+        new = sums.where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b"))
         links = new if links is None else links.union(new)
         labels = components(links)
-        left = (members.select("group", "node").join(done, ["group", "node"], "left_anti").join(labels, "node", "left")
-                .withColumn("label", F.coalesce("label", "node")))
-        several = left.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        left = stored(left.join(several.select("group"), "group", "left_semi"), "unresolved")
+        rest = (left.join(leaders.select("group", F.col("leader").alias("node")), ["group", "node"], "left_anti").drop("label")
+                .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        rest = stored(unresolved(rest), "rest")
+        if rest.isEmpty():
+            return labels
+        # A member stays if no leader that its group was compared with rules all its pairs out.
+        own = rest.join(leaders.select("group", "leader"), "group")
+        known = own.join(sums.select("node", "leader"), ["node", "leader"], "left_semi")
+        balls = known.select("leader").distinct()
+        ruled = known.select("group", "leader", "node").join(
+            possible(known, parts.join(balls, "leader", "left_semi"), sums, percent), ["group", "leader", "node"], "left_anti")
+        # members that were not compared with a leader (they share its component) may pair with any other
+        free = own.join(sums.select("node", "leader"), ["node", "leader"], "left_anti").select("group", "leader").distinct()
+        ruled = ruled.join(free, ["group", "leader"], "left_anti")
+        left = stored(unresolved(rest.join(ruled.select("group", "node").distinct(), ["group", "node"], "left_anti")), "left")
         if left.isEmpty():
             return labels
         taken *= 2
-        sized = left.join(left.groupBy("group", "label").agg(F.count("*").alias("size")), ["group", "label"])
-        rank = F.row_number().over(Window.partitionBy("group").orderBy("size", "node"))
-        leaders = stored(sized.withColumn("rank", rank).where(F.col("rank") <= taken)
-                         .select("group", F.col("node").alias("leader"), F.col("label").alias("own")), "leaders")
-        pairs = (left.join(leaders, "group").where("label <> own").select(*pair).distinct()
-                 .join(compared, ["a", "b"], "left_anti"))
-        done = done.union(leaders.select("group", F.col("leader").alias("node")))
+
+
+def unresolved(members: DataFrame) -> DataFrame:
+    """Members of groups that reach over several components."""
+    several = members.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return members.join(several.select("group"), "group", "left_semi")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
