@@ -85,9 +85,6 @@ def finite(value: Column, digits: int = 4) -> Column:
 def exact_sum(value: Column) -> Column:
     """Sum in decimals, so that the order of addition cannot change the result.
 
-    Amounts beyond the decimal range are added as doubles instead of being lost.
+    One type for all amounts; an amount of more than 24 digits before the point is an error.
     """
-    limit = 9e13
-    small = F.sum(F.when(F.abs(value) < limit, value).cast("decimal(18,4)")).cast("double")
-    huge = F.sum(F.when(F.abs(value) >= limit, value).cast("double"))
-    return F.coalesce(small + huge, small, huge)
+    return F.sum(value.cast("decimal(28,4)")).cast("double")
