@@ -8,11 +8,10 @@ The global order of n-grams is that of their 64-bit hashes. It is cut into fragm
 * To count, into ``PARTS`` fragments of fixed width. Partial overlaps are counted fragment by fragment and summed per pair.
 
 Equal sets are one node (told apart by 64-bit digests). Groups of equal fragments are never paired out. All members of a group
-are compared with one, the member that shares most fragments in all. If some are not linked to it, their differences from it
-tell which pairs can be linked at all: x and y differ by at least |Dx| + |Dy| - 2 min(sx, sy), where Dx is what x and the
-leader do not share and sx is how much of Dx occurs in another member's difference, too. Members that can still be linked with one of
-another component go through the next round, with twice as many leaders, until every pair of a group is compared, impossible or
-within one component. So no link between components is lost.
+are compared with one, the leader, which is the member that shares most fragments in all. What is left are pairs of members x and y
+in different components: they differ by |Dx| + |Dy| - 2 |Dx and Dy|, where Dx is what x and the leader do not share. Differences
+are short, so blocks of them are held against each other within a task, by products of counts that bound the overlap from above;
+only pairs that the bound leaves open come out, and are counted exactly by fragments. So no link between components is lost.
 
 Words are runs of characters other than ASCII white space, with A-Z in lower case. A text of fewer words is one n-gram,
 a null text or one without words has none and is linked with nothing. Rows that repeat id and text are one document; rows
@@ -30,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm.common import NO_ID, flat, mapped, mix, slices, text_key, texts
@@ -40,6 +39,8 @@ PARTS = 8
 #: Rows of one group held at a time in a task; a longer group is passed on as it comes.
 HELD = 1 << 16
 SEEN = 1 << 20
+#: Differences of a block, in bytes; a task holds two blocks of a ball.
+BLOCK_BYTES = 8 << 20
 
 
 def ngrams(column: pa.Array, words: int) -> list[np.ndarray]:
@@ -221,29 +222,83 @@ def summed(parts: DataFrame, percent: int) -> DataFrame:
         (100 * F.col("common") >= percent * (F.col("n_node") + F.col("n_leader") - F.col("common"))).alias("linked"))
 
 
-def possible(left: DataFrame, parts: DataFrame, sums: DataFrame, percent: int) -> DataFrame:
-    """Members (group, node, leader, label) that can be linked with a member of their group in another component.
+def balls(parts: DataFrame, sums: DataFrame, labels: DataFrame) -> DataFrame:
+    """Differences of the members of balls that reach over several components, laid out in cells of two blocks of a ball.
 
-    They are compared by classes of their sizes: n and s rounded up, d rounded down, so that no possible pair is ruled out.
+    A ball is a leader and all that were compared with it. Blocks hold about ``BLOCK_BYTES`` of differences; members of the
+    leader's own component are in blocks of their own, which are not held against each other.
     """
-    alone = (parts.select("leader", "node", F.explode("differ").alias("gram")).groupBy("leader", "gram")
-             .agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
-             .groupBy("leader", "node").agg(F.count("*").alias("alone")))
-    step = lambda c: F.greatest(F.lit(1), F.pow(2, F.floor(F.log2(F.greatest(c, F.lit(1)))) - 3)).cast("long")
-    down = lambda c: c - F.pmod(c, step(c))
-    up = lambda c: F.ceil(c / step(c)) * step(c)
-    shared = F.col("d") - F.coalesce("alone", F.lit(0))
-    rated = (left.join(sums.join(alone, ["leader", "node"], "left"), ["leader", "node"])
-             .select("group", "leader", "node", "label", up(F.col("n")).alias("n"), down(F.col("d")).alias("d"), up(shared).alias("s")))
-    classes = (rated.groupBy("group", "leader", "n", "d", "s")
-               .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")))
-    x, y = classes.alias("x"), classes.alias("y")
-    most = (F.col("x.n") + F.col("y.n")) * (100 - percent) / (100 + percent)
-    fits = ((F.col("x.group") == F.col("y.group")) & (F.col("x.leader") == F.col("y.leader"))
-            & (F.least("x.low", "y.low") != F.greatest("x.high", "y.high"))
-            & (F.col("x.d") + F.col("y.d") - 2 * F.least("x.s", "y.s") <= most))
-    open_ = x.join(y, fits, "left_semi").select("group", "leader", "n", "d", "s")
-    return rated.join(open_, ["group", "leader", "n", "d", "s"], "left_semi").select("group", "leader", "node", "label")
+    own = labels.select(F.col("node").alias("leader"), F.col("label").alias("home"))
+    rated = (sums.select("node", "leader", "d").join(labels, "node", "left").join(own, "leader", "left")
+             .select("node", "leader", "d", F.coalesce("label", "node").alias("label"), F.coalesce("home", "leader").alias("home")))
+    far = F.col("label") != F.col("home")
+    blocks = lambda c: F.ceil(F.coalesce(F.sum(F.when(c, F.col("d"))), F.lit(0)) * 8 / BLOCK_BYTES).cast("int")
+    counts = (rated.groupBy("leader").agg(blocks(far).alias("outer"), blocks(~far).alias("inner"),
+                                          F.count_if(far).alias("strangers"), F.count("*").alias("all"))
+              .where("strangers > 0 and all > 1").drop("strangers", "all"))
+    block = lambda count: F.pmod(F.xxhash64("node"), F.greatest(F.col(count), F.lit(1))).cast("int")
+    placed = rated.join(counts, "leader").withColumn(
+        "block", F.when(far, block("outer")).otherwise(F.col("outer") + block("inner")))
+    other = F.sequence(F.lit(0), F.when(far, F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1))
+    cells = placed.select("node", "leader", "label", "block", F.explode(other).alias("other"))
+    return parts.where(F.size("differ") > 0).join(cells, ["leader", "node"]).select(
+        "leader", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label",
+        F.col("n_node").alias("n"), "differ")
+
+
+def counted(grams: np.ndarray, owner: np.ndarray, members: int, width: int) -> np.ndarray:
+    """How many grams of each member fall into each of ``width`` columns."""
+    at = owner * width + (mix(grams.view(np.uint64)) % np.uint64(width)).astype(np.int64)
+    return np.bincount(at, minlength=members * width).reshape(members, width).astype(np.float32)
+
+
+def near(percent: int):
+    """Pairs of one cell, of different labels, whose differences from the leader may overlap enough for a link.
+
+    Columns are shared by several grams, so that products of counts are never less than the overlap: no link is ruled out.
+    """
+    schema = pa.schema([("node", pa.int64()), ("leader", pa.int64())])
+
+    def cell(table: pa.Table) -> pa.Table:
+        lists = table.column("differ").combine_chunks()
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        grams = lists.flatten().to_numpy()
+        value = {c: table.column(c).to_numpy() for c in ("node", "label", "n", "block", "low", "high")}
+        node, first, member = np.unique(value["node"], return_index=True, return_inverse=True)
+        label, n, block = value["label"][first], value["n"][first], value["block"][first]
+        d = np.bincount(member, weights=sizes, minlength=len(node))
+        low, high = int(value["low"][0]), int(value["high"][0])
+        width = 1 << max(8, min(16, int(np.ceil(np.log2(16 * d.max())))))
+        owner = np.repeat(member, sizes)
+        order = np.argsort(owner, kind="stable")
+        grams, ends = grams[order], np.concatenate([[0], np.cumsum(d)]).astype(np.int64)
+
+        def slabs(of: int):
+            rows = np.flatnonzero(block == of)
+            step = max(1, (1 << 20) // width)
+            for i in range(0, len(rows), step):
+                yield rows[i:i + step]
+
+        def matrix(rows: np.ndarray) -> np.ndarray:
+            held = np.concatenate([grams[ends[r]:ends[r + 1]] for r in rows])
+            return counted(held, np.repeat(np.arange(len(rows)), d[rows].astype(np.int64)), len(rows), width)
+
+        found = []
+        for left in slabs(low):
+            a = matrix(left)
+            for right in slabs(high):
+                if low == high and right[-1] < left[0]:
+                    continue
+                most = (n[left][:, None] + n[right][None]) * (100 - percent) / (100 + percent)
+                fits = d[left][:, None] + d[right][None] - 2 * (a @ matrix(right).T) <= most
+                fits &= label[left][:, None] != label[right][None]
+                i, j = np.nonzero(fits)
+                i, j = left[i], right[j]
+                found.append(np.stack([i, j])[:, i < j] if low == high else np.stack([i, j]))
+        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table([pa.array(node[both].max(axis=0)), pa.array(node[both].min(axis=0))], schema=schema)
+
+    return cell
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -293,44 +348,21 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_
 
 
 def resolve(members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Labels of the nodes with links, from comparisons of group members with leaders, round after round."""
+    """Labels of the nodes with links: each group against its leader, then what its differences from the leader leave open."""
     sizes = members.groupBy("group").agg((F.count("*") - 1).alias("others"))
-    weights = stored(members.join(sizes, "group").groupBy("node").agg(F.sum("others").alias("weight")), "weights")
-    left, links, taken = members.withColumn("label", F.col("node")), None, 1
-    rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("weight"), "node"))
-    while True:
-        leaders = stored(left.join(weights, "node").withColumn("rank", rank).where(F.col("rank") <= taken)
-                         .select("group", F.col("node").alias("leader"), F.col("label").alias("own")), "leaders")
-        tried = left.join(leaders, "group").where("node <> leader and label <> own")
-        parts = stored(compared(tried.select("node", "leader").distinct(), held), "compared")
-        sums = stored(summed(parts, percent), "sums")
-        new = sums.where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-        links = new if links is None else links.union(new)
-        labels = components(links)
-        rest = (left.join(leaders.select("group", F.col("leader").alias("node")), ["group", "node"], "left_anti").drop("label")
-                .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        rest = stored(unresolved(rest), "rest")
-        if rest.isEmpty():
-            return labels
-        # A member stays if no leader that its group was compared with rules all its pairs out.
-        own = rest.join(leaders.select("group", "leader"), "group")
-        known = own.join(sums.select("node", "leader"), ["node", "leader"], "left_semi")
-        balls = known.select("leader").distinct()
-        ruled = known.select("group", "leader", "node").join(
-            possible(known, parts.join(balls, "leader", "left_semi"), sums, percent), ["group", "leader", "node"], "left_anti")
-        # members that were not compared with a leader (they share its component) may pair with any other
-        free = own.join(sums.select("node", "leader"), ["node", "leader"], "left_anti").select("group", "leader").distinct()
-        ruled = ruled.join(free, ["group", "leader"], "left_anti")
-        left = stored(unresolved(rest.join(ruled.select("group", "node").distinct(), ["group", "node"], "left_anti")), "left")
-        if left.isEmpty():
-            return labels
-        taken *= 2
-
-
-def unresolved(members: DataFrame) -> DataFrame:
-    """Members of groups that reach over several components."""
-    several = members.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    return members.join(several.select("group"), "group", "left_semi")
+    weights = members.join(sizes, "group").groupBy("node").agg(F.sum("others").alias("weight"))
+    leaders = (members.join(weights, "node").groupBy("group")
+               .agg(F.min(F.struct((-F.col("weight")).alias("weight"), "node"))["node"].alias("leader")))
+    tried = members.join(leaders, "group").where("node <> leader").select("node", "leader").distinct()
+    parts = stored(compared(tried, held), "compared")
+    sums = stored(summed(parts, percent), "sums")
+    links = sums.where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    labels = stored(components(links), "labels")
+    open_ = (balls(parts, sums, labels).groupBy("leader", "low", "high").applyInArrow(near(percent), "node long, leader long"))
+    more = stored(summed(compared(stored(open_.distinct(), "open"), held), percent).where("linked"), "more")
+    if more.isEmpty():
+        return labels
+    return components(links.union(more.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,8 +9,9 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
-from assaykit.llm import (bpe, decontamination, fingerprints, line_dedup, ngram_join, pii, quality, token_files, toxicity)
+from assaykit.llm import (bpe, decontamination, fingerprints, language, line_dedup, ngram_join, pii, quality, token_files, toxicity)
 from assaykit.session import workspace
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -118,6 +119,35 @@ def test_ngram_join_against_all_pairs(spark, empty):
     assert order((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == order(expected)
 
 
+@pytest.mark.parametrize("block_bytes", [2_000, 8 << 20])
+def test_members_that_miss_their_leader_still_meet(spark, monkeypatch, block_bytes):
+    """One group of a leader, four clusters too far from it, and members at all distances, in many blocks and in one."""
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block_bytes)
+    rng = np.random.default_rng(4)
+
+    def text(edits):
+        return " ".join(f"new{edits[i]}x{i}" if i in edits else f"w{i}" for i in range(300))
+
+    far = [{int(p): 1 for p in rng.choice(300, 14, replace=False)} for _ in range(4)]
+    given = {0: text({})}
+    for i in range(1, 41):
+        given[i] = text({**far[i % 4], int(rng.integers(300)): i})
+    for i in range(41, 61):
+        given[i] = text({int(p): i for p in rng.choice(300, i - 38, replace=False)})
+    sets = {i: shingles(t, 3) for i, t in given.items()}
+    label = {i: i for i in given}
+    for i in given:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = {k: min(a, b) if x in (a, b) else x for k, x in label.items()}
+    members = spark.createDataFrame([(1, i) for i in given], "group long, node long")
+    held = ngram_join.segments(spark.createDataFrame(list(given.items()), "node long, text string"), 3)
+    found = {r.node: r.label for r in ngram_join.resolve(members, held, 90).collect()}
+    assert {i: found.get(i, i) for i in given} == label
+    assert len({label[i] for i in range(1, 41)}) == 4
+
+
 def test_line_dedup(spark):
     passage = "\n".join(prose(30, s) for s in (1, 2))
     given = [(1, f"first\n{passage}\nlast"), (2, f"other\n\n{passage}\ntail"), (3, prose(49, 5)), (4, prose(49, 5)), (5, None), (6, "")]
@@ -176,3 +206,23 @@ def test_quality(spark):
     assert len(out) == 152 and sum(out[i] == (i % 3 != 0) for i in range(150)) > 140
     none = quality.scored(docs, labels.where("false")).collect()
     assert len(none) == 152 and all(r.quality_kept for r in none)
+
+
+def test_language(spark):
+    """Texts of two vocabularies; markup decides where the text says nothing, and rows without anything still get a row."""
+    words = {"aa": "kaleni morut sivapo dareth", "bb": "quixo bremza fjolt gryndu"}
+    rng = np.random.default_rng(8)
+    known = [(i, " ".join(rng.choice(words[lang].split(), 30)), lang) for i, lang in enumerate(["aa", "bb"] * 40)]
+    docs = spark.createDataFrame([*known, (100, None, None), (101, "", "aa"), (None, "quixo bremza", "bb"), (0, *known[0][1:])],
+                                 "doc_id long, text string, lang string").withColumns({"source": F.lit("s"), "kind": F.lit("clash")})
+    pages = spark.createDataFrame([(1, "http://a.example/x", f"<html lang='aa'><p>{known[0][1]}</p></html>"), (2, None, None),
+                                   (3, "http://a.example/y", f"<html><p>{known[1][1]}</p></html>")],
+                                  "page_id long, url string, html string")
+    rows = language.of_documents(docs).unionByName(language.of_pages(pages))
+    found = language.identify(rows, docs.select("doc_id", F.col("lang").alias("label"), "text")).collect()
+    assert len(found) == docs.count() + 3 and all(0 <= r.posterior <= 1 for r in found)
+    by = {r.id: r.lang for r in found if r.kind == "document"}
+    assert all(by[i] == lang for i, _, lang in known) and by[None] == "bb"
+    assert {r.id: r.lang for r in found if r.kind == "page" and r.id != 2} == {1: "aa", 3: "bb"}
+    nothing = language.identify(rows.limit(0), docs.select("doc_id", F.col("lang").alias("label"), "text"))
+    assert nothing.collect() == []
