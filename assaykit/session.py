@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def get_spark(app: str = "assaykit", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the jobs expect: UTC, ANSI casts, adaptive execution.
 
@@ -39,8 +43,8 @@ def workspace(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="assaykit-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="assaykit-")
+        _LOCAL[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

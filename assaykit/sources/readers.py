@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from time import perf_counter
 
@@ -100,7 +101,8 @@ def extract_csv(
     and lets the schema check see drift. With ``schema`` there is no such pass, and a value that does
     not fit makes the job fail. ``keep_order`` adds a number to each row that grows along a file;
     with several files, their pieces follow each other in the order in which Spark reads them.
-    ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
+    ``multi_line`` allows line breaks inside quotes, at the price of one task per file; without it they
+    are an error. So are files whose headers differ.
     """
     settings = settings or Settings()
     started = perf_counter()
@@ -125,13 +127,20 @@ def extract_csv(
         raise ValueError(f"The dataset at {path} is empty.")
     broken = "__broken"
     raw_schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, broken]])
-    raw = spark.read.options(**options, columnNameOfCorruptRecord=broken).schema(raw_schema).csv(path)
+    # Spark compares the header of each file with the names; columns without a name get one from Spark
+    named = len({n.lower() for n in names}) == len(names) and not any(re.fullmatch(r".*_c\d+|", n) for n in names)
+    raw = (spark.read.options(**options, columnNameOfCorruptRecord=broken, enforceSchema=str(not named).lower())
+           .schema(raw_schema).csv(path))
     raw = tokens_to_null(raw.select("*", *added), settings.null_tokens)
     too_long = F.count_if(F.regexp_count(broken, F.lit(COMMA_OUTSIDE_QUOTES)) >= len(names)).alias("too_long")
+    open_quotes = F.count_if(F.regexp_count(broken, F.lit('"')) % 2 == 1).alias("open_quotes")
     try:
-        typed, counts = typed_by_content(raw, names, [too_long])
+        typed, counts = typed_by_content(raw, names, [too_long, open_quotes])
     except Exception as error:
         raise ValueError(f"Failed to read CSV file: {error}") from error
+    if counts["open_quotes"]:
+        raise ValueError(f"{path}: quotes stay open at the end of {counts['open_quotes']} line(s). Cells with line breaks need "
+                         "multi_line=True.")
     if counts["too_long"]:
         raise ValueError(f"Failed to read CSV file: {counts['too_long']} line(s) with more fields than the header.")
     if counts["rows"] == 0:

@@ -1,10 +1,12 @@
 import io
 import warnings
 import zipfile
+from csv import reader as csv_rows
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assaykit import dataset_info, load_csv, load_excel, load_parquet
 from assaykit.functions.dates import elapsed_seconds, parse_date, parse_instant
@@ -227,3 +229,22 @@ def test_workbook_errors(spark, tmp_path):
     (tmp_path / "b.xlsx").write_bytes(b"no workbook")
     with pytest.raises(ValueError):
         load_excel(spark, str(tmp_path / "b.xlsx"))
+
+
+@pytest.mark.parametrize("schema", [None, "A string, B string"])
+def test_headers_in_another_order_are_an_error(spark, tmp_path, schema):
+    (tmp_path / "1.csv").write_text("A,B\nx,y\n")
+    (tmp_path / "2.csv").write_text("B,A\nz,w\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        load_csv(spark, str(tmp_path), schema=schema and T.StructType.fromDDL(schema)).collect()
+
+
+@pytest.mark.parametrize("text", ['A,B,C\n1,"two\nlines",3\n4,5,6\n', 'A,B,C\n1,2,"two\nlines"\n', 'A,B,C\n"o\nn\ne",2,3\n'])
+def test_line_breaks_in_quotes_are_read_or_refused(spark, tmp_path, text):
+    path = tmp_path / "quoted.csv"
+    path.write_text(text)
+    with pytest.raises(ValueError, match="multi_line"):
+        load_csv(spark, str(path))
+    assert load_csv(spark, str(path), multi_line=True).count() == len(list(csv_rows(io.StringIO(text)))) - 1
+    with pytest.raises(Exception):
+        load_csv(spark, str(path), schema=T.StructType.fromDDL("A string, B string, C string")).collect()
