@@ -425,9 +425,9 @@ TWINS: dict[str, str] = {
     "run_results": HISTORY + """SELECT result_id, run_id, pipeline_name, r.status AS run_status, health_score,
           check_name, f.status FROM result_rows f JOIN runs r USING (run_id)""",
     "orphan_results": HISTORY + """SELECT run_id, count(*) AS results FROM found WHERE run_id IN (
-          SELECT run_id FROM runs WHERE rows_processed < 700) GROUP BY run_id""",
+          SELECT run_id FROM runs WHERE run_id % 7 = 0) GROUP BY run_id""",
     "runs_after_removal": HISTORY + """SELECT run_id, rows_processed, health_score FROM runs
-          WHERE rows_processed >= 700""",
+          WHERE run_id % 7 <> 0""",
     "run_contracts": HISTORY + """SELECT count(*) FILTER (WHERE duration_seconds < 0) AS duration_negative,
           count(*) FILTER (WHERE rows_processed < 0) AS rows_negative,
           count(*) FILTER (WHERE health_score NOT BETWEEN 0 AND 100) AS score_out_of_range,
