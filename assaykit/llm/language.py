@@ -92,7 +92,7 @@ def shrunk(own: str, prior: Column, size: float) -> Column:
 def identify(rows: DataFrame, labelled: DataFrame, most: int = MOST) -> DataFrame:
     """id columns, lang and posterior of every row of (kind, id, text, declared, host).
 
-    ``labelled`` has doc_id, label and text.
+    ``labelled`` has doc_id, label and text. Where it has no label at all, lang and posterior are null.
     """
     importable(rows.sparkSession)
     known = labelled.where("label is not null").orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(most).distinct()
@@ -100,7 +100,7 @@ def identify(rows: DataFrame, labelled: DataFrame, most: int = MOST) -> DataFram
     languages, table = model(sample.select("label", F.coalesce("text", F.lit("")).alias("text")))
     count = len(languages)
     if not count:
-        return rows.sparkSession.createDataFrame([], "kind string, id long, lang string, posterior double")
+        return rows.select("kind", "id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"))
     rows = rows.select("kind", "id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("declared", F.lit("")).alias("declared"),
                        F.coalesce("host", F.lit("")).alias("host"))
     judged = stored(likelihoods(rows, table, "kind string, id long, declared string, host string"), "judged")

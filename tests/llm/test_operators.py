@@ -226,3 +226,5 @@ def test_language(spark):
     assert {r.id: r.lang for r in found if r.kind == "page" and r.id != 2} == {1: "aa", 3: "bb"}
     nothing = language.identify(rows.limit(0), docs.select("doc_id", F.col("lang").alias("label"), "text"))
     assert nothing.collect() == []
+    unlabelled = language.identify(rows, docs.select("doc_id", F.lit(None).cast("string").alias("label"), "text")).collect()
+    assert len(unlabelled) == len(found) and {(r.lang, r.posterior) for r in unlabelled} == {(None, None)}
