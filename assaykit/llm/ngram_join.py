@@ -8,12 +8,13 @@ The global order of n-grams is that of their 64-bit hashes. It is cut into fragm
 * To count, into ``PARTS`` fragments of fixed width. Partial overlaps are counted fragment by fragment and summed per pair.
 
 Equal sets are one node (told apart by 64-bit digests). Groups of equal fragments are never paired out. All members of a group
-are compared with one, the leader, which is the member that shares most fragments in all. What is left are pairs of members x and y
-in different components: they differ by |Dx| + |Dy| - 2 |Dx and Dy|, where Dx is what x and the leader do not share. Differences
-are short, so blocks of them are held against each other within a task, by products of counts that bound the overlap from above;
-only pairs that the bound leaves open come out, and are counted exactly by fragments. So no link between components is lost.
+are compared with one, the leader, which is the member that shares most fragments in all. What is left are pairs of members in
+different components; blocks of a leader's members are held against each other within a task. Both times a sketch goes first:
+a bit a slot that says whether an odd number of n-grams falls into it. Two sets differ by at least as many n-grams as
+their sketches do in bits, so no link is ruled out, and only pairs that the sketches leave open are counted by fragments.
 
-Words are runs of characters other than ASCII white space, with A-Z in lower case. A text of fewer words is one n-gram,
+The percentage is at least 50. Words are runs of characters other than ASCII white space, with A-Z in lower case. A text of
+fewer words is one n-gram,
 a null text or one without words has none and is linked with nothing. Rows that repeat id and text are one document; rows
 that share an id but not the text are separate nodes. Other columns are left out of the result.
 """
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,8 +40,8 @@ PARTS = 8
 #: Rows of one group held at a time in a task; a longer group is passed on as it comes.
 HELD = 1 << 16
 SEEN = 1 << 20
-#: Differences of a block, in bytes; a task holds two blocks of a ball.
-BLOCK_BYTES = 8 << 20
+#: Sketches of a block, in bytes; a task holds two blocks of a ball.
+BLOCK_BYTES = 2 << 20
 
 
 def ngrams(column: pa.Array, words: int) -> list[np.ndarray]:
@@ -113,15 +114,33 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """Parity of the number of n-grams in each slot, four to eight slots for an n-gram; the first slot is the lowest bit."""
+    slots = 1 << max(6, (4 * len(grams) - 1).bit_length())
+    counts = np.bincount((grams & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def narrowed(sketches: np.ndarray) -> np.ndarray:
+    """Sketches (one a row) in half as many slots."""
+    half = sketches.shape[1] // 2
+    return sketches[:, :half] ^ sketches[:, half:]
+
+
+def most_apart(n, other, percent: int):
+    """How many n-grams two linked sets of these sizes can differ by."""
+    return (n + other) * (100 - percent) // (100 + percent)
+
+
 def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """key, text_key, doc_id, n, node (digest of the set, null without n-grams) and signatures of each text.
+    """doc_id, text_key, n, node (digest of the set, null without n-grams), signatures and sketch of each text.
 
-    A task gives the signatures of a set only once.
+    A task gives the signatures and the sketch of a set only once.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part in slices(batches, "text"):
-            nodes, sizes, offered = [], [], []
+            nodes, sizes, offered, sketches = [], [], [], []
             for grams in ngrams(part.column("text"), words):
                 node = int(mix(np.array([mix(grams).sum(dtype=np.uint64) + np.uint64(len(grams))]))[0]) if len(grams) else None
                 new = node is not None and node not in seen
@@ -132,13 +151,14 @@ def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 nodes.append(node)
                 sizes.append(len(grams))
                 offered.append(signatures(grams, percent).view(np.int64) if new else np.zeros(0, np.int64))
+                sketches.append(sketch(grams) if new else None)
             ends = np.cumsum([0, *map(len, offered)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("text_key"), pa.array(sizes, pa.int64()),
                  pa.array([None if x is None else x - (1 << 64) if x >> 63 else x for x in nodes], pa.int64()),
-                 pa.ListArray.from_arrays(ends, pa.array(np.concatenate(offered)))],
-                names=["doc_id", "text_key", "n", "node", "signatures"])
-    return docs.mapInArrow(run, "doc_id long, text_key long, n long, node long, signatures array<long>")
+                 pa.ListArray.from_arrays(ends, pa.array(np.concatenate(offered))), pa.array(sketches, pa.binary())],
+                names=["doc_id", "text_key", "n", "node", "signatures", "sketch"])
+    return docs.mapInArrow(run, "doc_id long, text_key long, n long, node long, signatures array<long>, sketch binary")
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,34 +225,56 @@ def segments(docs: DataFrame, words: int) -> DataFrame:
     return mapped(docs, work, "node long, part int, n long, grams array<long>").dropDuplicates(["node", "part"])
 
 
-def compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """n_node, n_leader, and per fragment how many n-grams the two have in common and which only one of them has."""
+def open_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (node, leader) that sketches do not rule out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, other = (batch.column(c).to_numpy() for c in ("n", "n_leader"))
+            room = most_apart(n, other, percent).tolist()
+            fits = []
+            for x, y, most in zip(batch.column("sketch").to_pylist(), batch.column("leader_sketch").to_pylist(), room):
+                a, b = (int.from_bytes(z, "little") for z in (x, y))
+                slots = 8 * min(len(x), len(y))
+                while max(a, b) >> slots:
+                    a, b = ((z & ((1 << slots) - 1)) ^ (z >> slots) for z in (a, b))
+                fits.append((a ^ b).bit_count() <= most)
+            yield batch.select(["node", "leader"]).filter(pa.array(fits, pa.bool_()))
+
+    leaders = sketches.select(F.col("node").alias("leader"), F.col("n").alias("n_leader"), F.col("sketch").alias("leader_sketch"))
+    sized = (pairs.join(sketches.select("node", "n"), "node").join(leaders.select("leader", "n_leader"), "leader")
+             .where(100 * F.least("n", "n_leader") >= percent * F.greatest("n", "n_leader")))
+    return (sized.select("node", "leader").join(sketches, "node").join(leaders, "leader")
+            .select("node", "leader", "n", "n_leader", "sketch", "leader_sketch").mapInArrow(run, "node long, leader long"))
+
+
+def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (node, leader) whose overlaps, counted fragment by fragment and summed, make a link.
+
+    ``nodes`` says which row of ``docs`` has the text of a node; only the texts of these pairs are taken apart.
+    """
+    wanted = pairs.select("node").union(pairs.select("leader")).distinct()
+    chosen = stored(nodes.join(wanted, "node", "left_semi").select("node", "first.key", "first.text_key"), "chosen")
+    held = stored(segments(docs.join(chosen, ["key", "text_key"]).select("node", "text"), words), "segments")
     left = held.select("node", "part", F.col("n").alias("n_node"), F.col("grams").alias("own"))
     right = held.select(F.col("node").alias("leader"), "part", F.col("n").alias("n_leader"), F.col("grams").alias("other"))
-    return (pairs.join(right, "leader").join(left, ["node", "part"])
-            .select("node", "leader", "n_node", "n_leader", F.size(F.array_intersect("own", "other")).alias("common"),
-                    F.concat(F.array_except("own", "other"), F.array_except("other", "own")).alias("differ")))
-
-
-def summed(parts: DataFrame, percent: int) -> DataFrame:
-    """node, leader, n, d (size of the difference) and whether they are linked, from the overlaps of all fragments."""
+    parts = (pairs.join(right, "leader").join(left, ["node", "part"])
+             .select("node", "leader", "n_node", "n_leader", F.size(F.array_intersect("own", "other")).alias("common")))
     total = parts.groupBy("node", "leader", "n_node", "n_leader").agg(F.sum("common").alias("common"))
-    return total.select(
-        "node", "leader", F.col("n_node").alias("n"), (F.col("n_node") + F.col("n_leader") - 2 * F.col("common")).alias("d"),
-        (100 * F.col("common") >= percent * (F.col("n_node") + F.col("n_leader") - F.col("common"))).alias("linked"))
+    return total.where(100 * F.col("common") >= percent * (F.col("n_node") + F.col("n_leader") - F.col("common"))).select("node", "leader")
 
 
-def balls(parts: DataFrame, sums: DataFrame, labels: DataFrame) -> DataFrame:
-    """Differences of the members of balls that reach over several components, laid out in cells of two blocks of a ball.
+def balls(tried: DataFrame, sketches: DataFrame, labels: DataFrame) -> DataFrame:
+    """Sketches of the members of balls that reach over several components, laid out in cells of two blocks of a ball.
 
-    A ball is a leader and all that were compared with it. Blocks hold about ``BLOCK_BYTES`` of differences; members of the
+    A ball is a leader and all that were compared with it. Blocks hold about ``BLOCK_BYTES`` of sketches; members of the
     leader's own component are in blocks of their own, which are not held against each other.
     """
     own = labels.select(F.col("node").alias("leader"), F.col("label").alias("home"))
-    rated = (sums.select("node", "leader", "d").join(labels, "node", "left").join(own, "leader", "left")
-             .select("node", "leader", "d", F.coalesce("label", "node").alias("label"), F.coalesce("home", "leader").alias("home")))
+    bytes_ = sketches.select("node", F.length("sketch").alias("bytes"))
+    rated = (tried.join(bytes_, "node").join(labels, "node", "left").join(own, "leader", "left")
+             .select("node", "leader", "bytes", F.coalesce("label", "node").alias("label"), F.coalesce("home", "leader").alias("home")))
     far = F.col("label") != F.col("home")
-    blocks = lambda c: F.ceil(F.coalesce(F.sum(F.when(c, F.col("d"))), F.lit(0)) * 8 / BLOCK_BYTES).cast("int")
+    blocks = lambda c: F.ceil(F.coalesce(F.sum(F.when(c, F.col("bytes"))), F.lit(0)) / BLOCK_BYTES).cast("int")
     counts = (rated.groupBy("leader").agg(blocks(far).alias("outer"), blocks(~far).alias("inner"),
                                           F.count_if(far).alias("strangers"), F.count("*").alias("all"))
               .where("strangers > 0 and all > 1").drop("strangers", "all"))
@@ -240,63 +282,49 @@ def balls(parts: DataFrame, sums: DataFrame, labels: DataFrame) -> DataFrame:
     placed = rated.join(counts, "leader").withColumn(
         "block", F.when(far, block("outer")).otherwise(F.col("outer") + block("inner")))
     other = F.sequence(F.lit(0), F.when(far, F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1))
-    cells = placed.select("node", "leader", "label", "block", F.explode(other).alias("other"))
-    return parts.where(F.size("differ") > 0).join(cells, ["leader", "node"]).select(
+    return (placed.select("node", "leader", "label", "block", F.explode(other).alias("other")).join(sketches, "node").select(
         "leader", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label",
-        F.col("n_node").alias("n"), "differ")
-
-
-def counted(grams: np.ndarray, owner: np.ndarray, members: int, width: int) -> np.ndarray:
-    """How many grams of each member fall into each of ``width`` columns."""
-    at = owner * width + (mix(grams.view(np.uint64)) % np.uint64(width)).astype(np.int64)
-    return np.bincount(at, minlength=members * width).reshape(members, width).astype(np.float32)
+        "n", "sketch"))
 
 
 def near(percent: int):
-    """Pairs of one cell, of different labels, whose differences from the leader may overlap enough for a link.
+    """Pairs of one cell, of different labels, whose sketches differ by no more bits than linked sets of their sizes can.
 
-    Columns are shared by several grams, so that products of counts are never less than the overlap: no link is ruled out.
+    Sets of which one has more than twice as many slots as the other are not linked, so neighbouring widths are compared.
     """
     schema = pa.schema([("node", pa.int64()), ("leader", pa.int64())])
 
     def cell(table: pa.Table) -> pa.Table:
-        lists = table.column("differ").combine_chunks()
-        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        grams = lists.flatten().to_numpy()
-        value = {c: table.column(c).to_numpy() for c in ("node", "label", "n", "block", "low", "high")}
-        node, first, member = np.unique(value["node"], return_index=True, return_inverse=True)
-        label, n, block = value["label"][first], value["n"][first], value["block"][first]
-        d = np.bincount(member, weights=sizes, minlength=len(node))
-        low, high = int(value["low"][0]), int(value["high"][0])
-        width = 1 << max(8, min(16, int(np.ceil(np.log2(16 * d.max())))))
-        owner = np.repeat(member, sizes)
-        order = np.argsort(owner, kind="stable")
-        grams, ends = grams[order], np.concatenate([[0], np.cumsum(d)]).astype(np.int64)
-
-        def slabs(of: int):
-            rows = np.flatnonzero(block == of)
-            step = max(1, (1 << 20) // width)
-            for i in range(0, len(rows), step):
-                yield rows[i:i + step]
-
-        def matrix(rows: np.ndarray) -> np.ndarray:
-            held = np.concatenate([grams[ends[r]:ends[r + 1]] for r in rows])
-            return counted(held, np.repeat(np.arange(len(rows)), d[rows].astype(np.int64)), len(rows), width)
-
+        node, label, n, block = (table.column(c).to_numpy() for c in ("node", "label", "n", "block"))
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        column = table.column("sketch").combine_chunks()
+        widths = pc.binary_length(column).to_numpy()
         found = []
-        for left in slabs(low):
-            a = matrix(left)
-            for right in slabs(high):
-                if low == high and right[-1] < left[0]:
-                    continue
-                most = (n[left][:, None] + n[right][None]) * (100 - percent) / (100 + percent)
-                fits = d[left][:, None] + d[right][None] - 2 * (a @ matrix(right).T) <= most
-                fits &= label[left][:, None] != label[right][None]
-                i, j = np.nonzero(fits)
-                i, j = left[i], right[j]
-                found.append(np.stack([i, j])[:, i < j] if low == high else np.stack([i, j]))
+
+        def rows(width: int, of: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
+            at = np.flatnonzero((widths == width) & (block == of))
+            bits = np.frombuffer(b"".join(column.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), width)
+            bits = np.ascontiguousarray(bits if width == slots else narrowed(bits))
+            return at, bits.view(np.uint64)
+
+        def against(mine: int, width: int, other: int, wide: int) -> None:
+            left, a = rows(width, mine, width)
+            right, b = rows(wide, other, width)
+            same = mine == other and width == wide
+            for i, bits in zip(left, a):
+                j, c = (right[right > i], b[right > i]) if same else (right, b)
+                j, c = j[label[j] != label[i]], c[label[j] != label[i]]
+                far = np.bitwise_count(c ^ bits).sum(axis=1, dtype=np.int64)
+                j = j[far <= most_apart(n[j], n[i], percent)]
+                found.append(np.stack([node[j], np.full(len(j), node[i])]))
+
+        for width in np.unique(widths).tolist():
+            against(low, width, high, width)
+            against(low, width, high, 2 * width)
+            if low != high:
+                against(high, width, low, 2 * width)
         both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table([pa.array(node[both].max(axis=0)), pa.array(node[both].min(axis=0))], schema=schema)
+        return pa.table([pa.array(both.max(axis=0)), pa.array(both.min(axis=0))], schema=schema)
 
     return cell
 
@@ -332,12 +360,11 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_
         .mapInArrow(groups, "group long, node long").distinct(), "groups")
     key = F.coalesce("doc_id", F.lit(NO_ID))
     place = F.struct(key.alias("key"), "text_key")
-    nodes = (found.where("node is not null").groupBy("node")
-             .agg(F.min(place).alias("first"), F.min("doc_id").alias("doc_id")))
-    chosen = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first.key", "first.text_key")
-    held = stored(segments(docs.withColumn("key", key).join(chosen.hint("shuffle_hash"), ["key", "text_key"])
-                           .select("node", "text"), words), "segments")
-    labels = resolve(members, held, percent)
+    nodes = stored(found.where("node is not null").groupBy("node")
+                   .agg(F.min(place).alias("first"), F.min("doc_id").alias("doc_id")), "nodes")
+    sketches = stored(found.where("sketch is not null").select("node", "n", "sketch")
+                      .join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sketches")
+    labels = resolve(members, sketches, lambda pairs: linked(pairs, docs.withColumn("key", key), nodes, words, percent), percent)
     labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of_label = labelled.groupBy("label").agg(F.min("first").alias("chosen"), F.min("doc_id").alias("component_id"))
     of_node = labelled.join(of_label, "label").select("node", "chosen", "component_id")
@@ -347,28 +374,27 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_
                     F.coalesce(F.col("chosen") == place, F.lit(True)).alias("kept")))
 
 
-def resolve(members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Labels of the nodes with links: each group against its leader, then what its differences from the leader leave open."""
+def resolve(members: DataFrame, sketches: DataFrame, links_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Labels of the nodes with links: each group against its leader, then the pairs of members that this leaves open."""
     sizes = members.groupBy("group").agg((F.count("*") - 1).alias("others"))
     weights = members.join(sizes, "group").groupBy("node").agg(F.sum("others").alias("weight"))
     leaders = (members.join(weights, "node").groupBy("group")
                .agg(F.min(F.struct((-F.col("weight")).alias("weight"), "node"))["node"].alias("leader")))
-    tried = members.join(leaders, "group").where("node <> leader").select("node", "leader").distinct()
-    parts = stored(compared(tried, held), "compared")
-    sums = stored(summed(parts, percent), "sums")
-    links = sums.where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    labels = stored(components(links), "labels")
-    open_ = (balls(parts, sums, labels).groupBy("leader", "low", "high").applyInArrow(near(percent), "node long, leader long"))
-    more = stored(summed(compared(stored(open_.distinct(), "open"), held), percent).where("linked"), "more")
+    tried = stored(members.join(leaders, "group").where("node <> leader").select("node", "leader").distinct(), "tried")
+    first = stored(links_of(stored(open_pairs(tried, sketches, percent), "first")), "near_leader")
+    labels = stored(components(first.toDF("a", "b")), "labels")
+    more = (balls(tried, sketches, labels).groupBy("leader", "low", "high").applyInArrow(near(percent), "node long, leader long"))
+    more = stored(links_of(stored(more.distinct(), "open")), "more")
     if more.isEmpty():
         return labels
-    return components(links.union(more.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
+    return components(first.union(more).toDF("a", "b"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that another one of their component stands for; all columns stay."""
     gone = (join(docs, words, percent, id_col, text_col).where("not kept")
             .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_gone_key"), F.col("text_key").alias("_gone_text")).distinct())
+    gone = stored(gone, "gone")  # its size is known then, and decides how the rows are joined
     same = ((F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == gone["_gone_key"])
             & (text_key(docs[text_col]) == gone["_gone_text"]))
     return docs.join(gone, same, "left_anti")

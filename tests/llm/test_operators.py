@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -142,12 +143,29 @@ def test_members_that_miss_their_leader_still_meet(spark, monkeypatch, block_byt
                 a, b = label[i], label[j]
                 label = {k: min(a, b) if x in (a, b) else x for k, x in label.items()}
     members = spark.createDataFrame([(1, i) for i in given], "group long, node long")
-    held = ngram_join.segments(spark.createDataFrame(list(given.items()), "node long, text string"), 3)
-    found = {r.node: r.label for r in ngram_join.resolve(members, held, 90).collect()}
+    docs = spark.createDataFrame([(i, 0, t) for i, t in given.items()], "key long, text_key long, text string")
+    nodes = docs.select(F.col("key").alias("node"), F.struct("key", "text_key").alias("first"))
+    grams = ngram_join.ngrams(pa.array(given.values()), 3)
+    sketches = spark.createDataFrame([(i, len(g), ngram_join.sketch(g)) for i, g in zip(given, grams)], "node long, n long, sketch binary")
+    links = lambda pairs: ngram_join.linked(pairs, docs, nodes, 3, 90)
+    found = {r.node: r.label for r in ngram_join.resolve(members, sketches, links, 90).collect()}
     assert {i: found.get(i, i) for i in given} == label
     assert len({label[i] for i in range(1, 41)}) == 4
 
 
+def test_sketches_differ_by_no_more_than_the_sets():
+    """Also those of sizes of two widths; the bound is close where sets differ as little as linked ones."""
+    rng = np.random.default_rng(5)
+    for size, more in ((1, 1), (60, 9), (500, 24), (1000, 60), (4000, 900)):
+        grams = np.unique(rng.integers(0, 1 << 63, size + more).astype(np.uint64))
+        some, other = grams[:size], grams[more // 3:]
+        a, b = (np.frombuffer(ngram_join.sketch(x), np.uint8)[None] for x in (some, other))
+        while a.shape != b.shape:
+            a, b = (ngram_join.narrowed(x) if x.shape[1] == max(a.shape[1], b.shape[1]) else x for x in (a, b))
+        apart = len(np.setxor1d(some, other))
+        assert 0.8 * apart <= np.bitwise_count(a ^ b).sum() <= apart
+
+
 def test_line_dedup(spark):
     passage = "\n".join(prose(30, s) for s in (1, 2))
     given = [(1, f"first\n{passage}\nlast"), (2, f"other\n\n{passage}\ntail"), (3, prose(49, 5)), (4, prose(49, 5)), (5, None), (6, "")]
