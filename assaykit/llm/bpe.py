@@ -26,8 +26,8 @@ from assaykit.llm.common import mapped, texts
 from assaykit.llm.tokens import KEPT, Pieces, ids_of
 
 LONGEST = 128
-#: Words per recursive query and ids per decoding query; they bound the memory of a query.
-WORDS, IDS = 20_000, 1 << 19
+#: Words per recursive query, ids per decoding query, and text worked on at once in bytes; they bound the memory of a task.
+WORDS, IDS, TEXT_BYTES = 5_000, 1 << 17, 1 << 20
 
 # A key is rank * 65536 + position, so that its minimum is the leftmost pair of least rank. Ranks are token ids.
 ENCODE = """
@@ -158,7 +158,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = ids_of(batch.column("text"), codec(path, pattern).pieces)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
-    return mapped(texts(docs, id_col, text_col), work, "doc_id long, ids array<int>")
+    return mapped(texts(docs, id_col, text_col), work, "doc_id long, ids array<int>", limit=TEXT_BYTES)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -167,23 +167,36 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"),
                                            pa.array(codec(path, pattern).decode(arrays(batch.column("ids"))), pa.binary())],
                                           names=["doc_id", "ids", "bytes"])
-    return mapped(encoded.select("doc_id", "ids"), work, "doc_id long, ids array<int>, bytes binary", by="ids")
+    return mapped(encoded.select("doc_id", "ids"), work, "doc_id long, ids array<int>, bytes binary", by="ids", limit=TEXT_BYTES)
+
+
+def digest(doc_id: pa.Array, lists: pa.ListArray, tables: Codec) -> pa.RecordBatch:
+    back = tables.decode(arrays(lists))
+    lists = pa.concat_arrays([lists])
+    said = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, lists.values.cast(pa.string())), " ").to_pylist()
+    return pa.RecordBatch.from_arrays(
+        [doc_id, pc.list_value_length(lists).cast(pa.int64()),
+         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in said]),
+         pa.array([hashlib.sha256(x).hexdigest() for x in back])],
+        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by a space), decoded_sha256 (of the decoded bytes)."""
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.column("ids")
-        back = codec(path, pattern).decode(arrays(lists))
-        lists = pa.concat_arrays([lists])
-        said = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, lists.values.cast(pa.string())), " ").to_pylist()
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pc.list_value_length(lists).cast(pa.int64()),
-             pa.array([hashlib.sha256(x.encode()).hexdigest() for x in said]),
-             pa.array([hashlib.sha256(x).hexdigest() for x in back])],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return mapped(encoded.select("doc_id", "ids"), work,
-                  "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", by="ids")
+        return digest(batch.column("doc_id"), batch.column("ids"), codec(path, pattern))
+    return mapped(encoded.select("doc_id", "ids"), work, DIGESTS, by="ids", limit=TEXT_BYTES)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``digests`` of ``encode`` in one pass, so that a task has one worker with one set of tables."""
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tables = codec(path, pattern)
+        return digest(batch.column("doc_id"), ids_of(batch.column("text"), tables.pieces), tables)
+    return mapped(texts(docs, id_col, text_col), work, DIGESTS, limit=TEXT_BYTES)
 
 
 def arrays(lists: pa.ListArray) -> list[np.ndarray]:

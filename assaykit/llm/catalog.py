@@ -66,8 +66,7 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    ranks = vocabulary("byte_bpe_50k.tiktoken")
-    return bpe.digests(bpe.encode(documents(spark, folder), ranks, pattern()), ranks, pattern())
+    return bpe.round_trip(documents(spark, folder), vocabulary("byte_bpe_50k.tiktoken"), pattern())
 
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:

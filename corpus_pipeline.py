@@ -49,7 +49,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, folder: str) ->
 def bpe_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids and of the bytes that they decode to."""
     ranks = vocabulary("byte_bpe_50k.tiktoken")
-    return bpe.digests(bpe.encode(docs, ranks, pattern()), ranks, pattern())
+    return bpe.round_trip(docs, ranks, pattern())
 
 
 STAGES: list[tuple[str, Stage]] = [

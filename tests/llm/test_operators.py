@@ -56,6 +56,11 @@ def test_bpe_equals_the_library_and_round_trips(docs, rows, empty):
     assert order((r.doc_id, list(r.ids)) for r in own.collect()) == order((i, tk.encode_ordinary(t or "")) for i, t in rows)
     back = bpe.decode(own, RANKS, P.PATTERN).collect()
     assert order((r.doc_id, bytes(r.bytes).decode()) for r in back) == order((i, t or "") for i, t in rows)
+    at_once = bpe.round_trip(docs, RANKS, P.PATTERN).collect()
+    assert order(at_once) == order(bpe.digests(own, RANKS, P.PATTERN).collect())
+    assert order((r.doc_id, r.decoded_sha256) for r in at_once) == order(
+        (i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    assert bpe.round_trip(empty, RANKS, P.PATTERN).count() == 0
     assert bpe.digests(bpe.encode(empty, RANKS, P.PATTERN), RANKS, P.PATTERN).count() == 0
 
 
