@@ -4,13 +4,15 @@ CGK: a random walk reads a window; each step writes the present byte and then mo
 step and byte says. Windows at edit distance k come out at Hamming distance O(k^2), whatever the edits are. Bit sampling:
 some steps of a walk make one hash key; windows that agree in one of many such keys are candidates.
 
-Windows are sized to the items: three fifths of the shortest one. Texts are cut at every ``stride`` bytes, items at every
-byte, so that every copy of an item holds a whole window of the text, and longer items hold several. Keys of text windows are
+Windows have ``WIDTH`` bytes, or three fifths of the shortest item if that is less, however long items are: edits grow with the
+length of a window, and keys find fewer of those with more edits. Texts are cut at every ``stride`` bytes, items at every
+byte, so that every copy of an item holds three whole windows of the text or more. Keys of text windows are
 sifted by a bitmap of fixed size made from the keys of the items, then joined with them. Each candidate is checked by
 the exact edit distance of the whole item to the part of the text around it, of at most ``max_edit`` times the item's length.
 
 Both are compared as UTF-8 bytes, A-Z in lower case and ASCII white space as spaces; distances are in bytes. Items that are
-null or empty match nothing; those of fewer than ``shortest`` bytes are too short for windows and are looked for as they are.
+null or empty match nothing. Those of fewer than ``shortest`` bytes are too short for windows: cut into one part more than they
+may have edits, one part at least stands unchanged in every copy, so that none is missed.
 Equal items share their matches. A null or short text has no matches, rows that repeat id and text have the same ones.
 """
 
@@ -25,7 +27,13 @@ from assaykit.llm.common import NO_ID, flat, mapped, mix, slices, text_key, text
 from assaykit.session import stored
 
 #: Walks, keys of each walk, and steps sampled for a key; together they set the recall (see the tests).
-WALKS, KEYS, SAMPLED = 2, 8, 14
+WALKS, KEYS, SAMPLED = 4, 8, 14
+#: Most bytes of a window and most bytes between the begins of two.
+WIDTH, STRIDE = 32, 16
+#: Bytes of the n-grams that rule out parts of texts before distances.
+GRAM = 5
+#: Text whose windows are walked at once in a task, in bytes.
+WALKED = 1 << 20
 MAX_EDIT = 0.1
 SHORTEST = 32
 #: Bits of the bitmap that sifts the keys of windows, whatever the number of items: 16 MB.
@@ -56,10 +64,11 @@ class Walks:
             for step in range(self.steps):
                 inside = at < ends
                 seen = np.where(inside, padded[at], 0)
+                added = seen.astype(np.uint64) + np.uint64(1) if of[step] else None
                 for k in of[step]:
                     row = out[w * KEYS + k]
                     row *= np.uint64(0x100000001B3)
-                    row += seen.astype(np.uint64) + np.uint64(1)
+                    row += added
                 at += self.moves[w, step][seen] & inside
         return mix(out + np.arange(1, len(out) + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15))
 
@@ -73,6 +82,12 @@ def plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _PLAIN[raw[offsets[0]:offsets[-1]]], offsets - offsets[0]
 
 
+def windows(shortest: int) -> tuple[int, int]:
+    """Width and stride of windows for items of that many bytes and more."""
+    width = min(WIDTH, shortest * 3 // 5)
+    return width, max(1, min(STRIDE, (shortest - width) // 3))
+
+
 def begins_of(offsets: np.ndarray, width: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
     """Text number and begin of each window."""
     counts = np.maximum(0, (np.diff(offsets) - width) // stride + 1)
@@ -109,14 +124,24 @@ def distance(item: bytes, text: bytes) -> int:
     return best
 
 
+def grams(raw: bytes) -> list[bytes]:
+    return [raw[i:i + GRAM] for i in range(len(raw) - GRAM + 1)]
+
+
+def may_hold(region: set[bytes], item: list[bytes], most: int) -> bool:
+    """Whether enough of the item's n-grams stand in the region: an edit changes at most ``GRAM`` of them."""
+    return sum(x in region for x in item) >= len(item) - GRAM * most
+
+
 def bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
     """Which of ``bits`` remainders occur among the keys: at most bits / 63 numbers come to the driver."""
     bit = F.pmod("lsh", F.lit(bits))
     words = (keys.select(F.floor(bit / 63).cast("long").alias("word"), F.pmod(bit, F.lit(63)).cast("int").alias("bit"))
-             .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")).toPandas())
+             .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")).toArrow())
+    number, mask = (words.column(c).to_numpy() for c in ("word", "mask"))
     out = np.zeros(bits // 8 + 8, np.uint8)
     for i in range(63):
-        at = words.word.to_numpy()[(words["mask"].to_numpy() >> i) & 1 == 1] * 63 + i
+        at = number[(mask >> i) & 1 == 1] * 63 + i
         np.bitwise_or.at(out, at >> 3, (128 >> (at & 7)).astype(np.uint8))
     return out
 
@@ -143,7 +168,7 @@ def text_keys(docs: DataFrame, width: int, stride: int, sift: np.ndarray) -> Dat
     """key, text_key, begin and lsh of the windows of texts whose keys pass the bitmap."""
     def run(batches):
         walks = Walks(width)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", WALKED):
             buffer, offsets = plain(part.column("text"))
             text, begins = begins_of(offsets, width, stride)
             keys = walks.keys(buffer, begins).view(np.int64)
@@ -168,10 +193,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, sho
     schema = "key long, text_key long, item long, distance int"
     hits = docs.sparkSession.createDataFrame([], schema)
     if width is not None:
-        hits = by_windows(docs, items.where(F.octet_length("item_text") >= shortest), width * 3 // 5,
-                          width - width * 3 // 5 + 1, max_edit, schema)
+        hits = by_windows(docs, items.where(F.octet_length("item_text") >= shortest), *windows(width), max_edit, schema)
     if items.where(F.octet_length("item_text") < shortest).limit(1).count():
-        hits = hits.union(by_search(docs, items.where(F.octet_length("item_text") < shortest), schema))
+        hits = hits.union(by_search(docs, items.where(F.octet_length("item_text") < shortest), max_edit, schema))
     found = hits.join(given.select("item", "item_id"), "item").withColumn(
         "doc_id", F.when(F.col("key") != NO_ID, F.col("key")))
     return found.select("doc_id", "text_key", "item_id", "distance").distinct()
@@ -180,6 +204,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, sho
 def by_windows(docs: DataFrame, items: DataFrame, width: int, stride: int, max_edit: float, schema: str) -> DataFrame:
     keys = stored(item_keys(items, width).distinct(), "item-keys")
     sifted = text_keys(docs.select("key", "text_key", "text"), width, stride, bitmap(keys))
+    return verified(docs, sifted, keys, items, width, max_edit, schema)
+
+
+def verified(docs: DataFrame, sifted: DataFrame, keys: DataFrame, items: DataFrame, width: int, max_edit: float,
+             schema: str) -> DataFrame:
+    """Least distance of each item to the parts of texts around its candidates, if it is small enough."""
     # A passage has several windows with several keys; one candidate is enough for each 64 bytes of its begin.
     at = F.floor((F.col("begin") - F.col("shift")) / 64).cast("int").alias("at")
     candidates = stored(sifted.join(keys, "lsh").select("key", "text_key", "item", at).distinct()
@@ -187,7 +217,7 @@ def by_windows(docs: DataFrame, items: DataFrame, width: int, stride: int, max_e
                         .agg(F.collect_list(F.struct("item", "item_text", "at")).alias("candidates")), "candidates")
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
+        rows, known = [], {}
         buffer, offsets = plain(part.column("text"))
         for i, (key, of, listed) in enumerate(zip(*(part.column(c).to_pylist() for c in ("key", "text_key", "candidates")))):
             raw = buffer[offsets[i]:offsets[i + 1]].tobytes()
@@ -196,7 +226,11 @@ def by_windows(docs: DataFrame, items: DataFrame, width: int, stride: int, max_e
                 item = _PLAIN[np.frombuffer(c["item_text"].encode(), np.uint8)].tobytes()
                 most = int(max_edit * len(item))
                 if found.get(c["item"], most + 1) > 0:
+                    if c["item"] not in known:
+                        known[c["item"]] = grams(item)
                     region = raw[max(0, c["at"] * 64 - width - most):c["at"] * 64 + 64 + len(item) + width + most]
+                    if not may_hold(set(grams(region)), known[c["item"]], most):
+                        continue
                     found[c["item"]] = min(found.get(c["item"], most + 1), distance(item, region))
             rows.extend((key, of, item, d) for item, d in found.items()
                         if d <= int(max_edit * next(len(c["item_text"].encode()) for c in listed if c["item"] == item)))
@@ -214,31 +248,47 @@ def parts(buffer: np.ndarray, length: int) -> np.ndarray:
     return mix(out).view(np.int64)
 
 
-def by_search(docs: DataFrame, items: DataFrame, schema: str) -> DataFrame:
-    """Short items as they are: parts of texts that are as long as one of them and pass a bitmap, joined with them."""
-    def own(part: pa.RecordBatch) -> pa.RecordBatch:
-        given = [_PLAIN[np.frombuffer(x.encode(), np.uint8)] for x in part.column("item_text").to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [part.column("item"), pa.array([x.tobytes() for x in given], pa.binary()),
-             pa.array([int(parts(x, len(x))[0]) for x in given], pa.int64())], names=["item", "bytes", "lsh"])
+def part_keys(items: DataFrame, max_edit: float) -> DataFrame:
+    """item, shift, lsh and length of each of the parts of short items, one more than the edits that they may have."""
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        buffer, offsets = plain(part.column("item_text"))
+        for i, item in enumerate(part.column("item").to_pylist()):
+            x = buffer[offsets[i]:offsets[i + 1]]
+            count = int(max_edit * len(x)) + 1
+            ends = [len(x) * j // count for j in range(count + 1)]
+            rows.extend((item, at, int(parts(x[at:end], end - at)[0]), end - at) for at, end in zip(ends, ends[1:]))
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in
+                                           enumerate([pa.int64(), pa.int32(), pa.int64(), pa.int32()])],
+                                          names=["item", "shift", "lsh", "length"])
+    return mapped(items.select("item", "item_text"), work, "item long, shift int, lsh long, length int", by="item_text")
 
-    keys = stored(mapped(items.select("item", "item_text"), own, "item long, bytes binary, lsh long", by="item_text"), "short-items")
-    lengths = [r[0] for r in keys.select(F.length("bytes")).distinct().collect()]  # all below the least length of windows
+
+def by_search(docs: DataFrame, items: DataFrame, max_edit: float, schema: str) -> DataFrame:
+    """Short items by their parts: places of texts whose bytes pass a bitmap of the parts, joined with them."""
+    keys = stored(part_keys(items, max_edit), "short-items")
+    lengths = [r[0] for r in keys.select("length").distinct().collect()]  # all below the least length of windows
     sift = bitmap(keys)
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
         buffer, offsets = plain(part.column("text"))
-        for i, (key, of) in enumerate(zip(part.column("key").to_pylist(), part.column("text_key").to_pylist())):
-            text = buffer[offsets[i]:offsets[i + 1]]
-            found = {text[at:at + n].tobytes() for n in lengths if n <= len(text)
-                     for at in np.flatnonzero(passing(parts(text, n), sift)).tolist()}
-            rows.extend((key, of, x) for x in found)
-        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in
-                                           enumerate([pa.int64(), pa.int64(), pa.binary()])], names=["key", "text_key", "bytes"])
+        text, begins, lsh = [], [], []
+        for n in lengths:
+            hashes = parts(buffer, n) if n <= len(buffer) else np.zeros(0, np.int64)
+            at = np.flatnonzero(passing(hashes, sift))
+            of = np.searchsorted(offsets, at, side="right") - 1
+            inside = at + n <= offsets[of + 1]
+            text.append(of[inside])
+            begins.append((at - offsets[of])[inside])
+            lsh.append(hashes[at[inside]])
+        found = pa.array(np.concatenate(text))
+        return pa.RecordBatch.from_arrays(
+            [part.column("key").take(found), part.column("text_key").take(found),
+             pa.array(np.concatenate(begins).astype(np.int32)), pa.array(np.concatenate(lsh))],
+            names=["key", "text_key", "begin", "lsh"])
 
-    found = mapped(docs.select("key", "text_key", "text"), work, "key long, text_key long, bytes binary")
-    return found.join(keys, "bytes").select("key", "text_key", "item", F.lit(0).alias("distance"))
+    sifted = mapped(docs.select("key", "text_key", "text"), work, "key long, text_key long, begin int, lsh long", limit=WALKED)
+    return verified(docs, sifted, keys.drop("length"), items, 0, max_edit, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

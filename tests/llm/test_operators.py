@@ -200,6 +200,42 @@ def test_decontamination_recall_at_a_twentieth_of_edits():
     assert hit / 150 >= 0.95
 
 
+def with_edits(item, count, rng):
+    """As many random bytes inserted, removed or replaced."""
+    out = list(item)
+    for _ in range(count):
+        at, new = int(rng.integers(len(out))), int(rng.integers(97, 123))
+        out[at:at + 1] = ([new, out[at]], [], [new])[int(rng.integers(3))]
+    return bytes(out)
+
+
+@pytest.mark.parametrize("length", [32, 50, 81, 162, 324])
+def test_decontamination_recall_at_the_most_edits(length):
+    """Inserted, removed and replaced bytes, as many as are accepted, in items of all lengths."""
+    width, stride = decontamination.windows(length)
+    rng, hit, walks = np.random.default_rng(6), 0, decontamination.Walks(width)
+    for k in range(100):
+        item = prose(80, 2000 + k).encode()[:length]
+        text = bytes(rng.integers(97, 123, int(rng.integers(stride)), dtype=np.uint8)) + with_edits(item, length // 10, rng) + b"x" * 60
+        a, b = (walks.keys(np.frombuffer(x, np.uint8), np.arange(0, len(x) - width + 1, s)) for x, s in ((item, 1), (text, stride)))
+        hit += any(np.isin(x, y).any() for x, y in zip(a, b))
+    assert hit / 100 >= 0.9
+
+
+def test_decontamination_of_short_and_long_items_with_edits(spark):
+    """Short items miss no copy within the accepted distance, and copies with too many edits or parts of items are no match."""
+    rng = np.random.default_rng(7)
+    items = {i: prose(60, 3000 + i)[:n].strip() for i, n in enumerate((9, 10, 14, 19, 20, 25, 31, 400))}
+    given = [(100 * i + k, f"{k} 0 " * 15 + with_edits(t.encode(), len(t) // 10, rng).decode() + " 1 0" * 9)
+             for i, t in items.items() for k in range(12)]
+    given += [(9000, items[6][:22] + " 0 0 0"), (9001, "".join(c + "0" * (j % 2) for j, c in enumerate(items[6])))]
+    found = decontamination.leaks(spark.createDataFrame(given, "doc_id long, text string"),
+                                  spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    expected = {(i, item) for i, t in given for item, x in items.items()
+                if decontamination.distance(x.encode(), t.encode()) <= len(x) // 10}
+    assert {(r.doc_id, r.item_id) for r in found} == expected and len(expected) >= 96
+
+
 def test_pii_base_spans(spark):
     given = [(1, "é a@b.c 😀 +1 (234) 555-1234, 1.2.3.4.5.6.7.8 300.1.1.1"), (2, "4111 1111 1111 1111 and 4111 1111 1111 1112"),
              (3, None), (4, ""), (5, "x.y@a-b.c.d_e@f.g.h"), (6, "1" * 20000 + "a" * 20000 + "@")]
