@@ -1,8 +1,9 @@
 """Merkle trees over the sections, paragraphs and pieces of whole texts.
 
 A paragraph is a line with its line break. A section ends with a blank paragraph, or with one whose hash is divisible by
-four. A long paragraph is cut into pieces after spaces that the eight bytes before them select, about every sixteenth,
-so that an edit moves no later cut. Hashes of pieces make that of the paragraph, those of paragraphs that of the
+four. A paragraph is cut into pieces after spaces and other bytes that the eight bytes before them select, and wherever a
+piece would become too long, on borders of code points. Pieces are small where a paragraph begins and larger further on
+(``RULES``), so that short paragraphs have several. An edit moves later cuts up to the next selected one. Hashes of pieces make that of the paragraph, those of paragraphs that of the
 section, and those of sections the root, which is equal for equal texts only (128 bits).
 
 A fingerprint is written as ``root:section;section``, a section as ``hash=paragraph/paragraph``, a paragraph as
@@ -15,6 +16,7 @@ repeated rows follow each other, a single document is its own next one, and othe
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +31,42 @@ SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string,
           "near_edited double, near_next double")
 
 
+#: From which byte of a paragraph on, how long pieces are at most, and one of how many spaces and of how many bytes ends one.
+RULES = ((0, 8, 4, 32), (64, 32, 4, 32), (256, 128, 8, 128), (1024, 256, 16, 256))
+_FROM = [r[0] for r in RULES]
+
+
 def cuts(raw: bytes) -> np.ndarray:
     """Where pieces end."""
     b = np.frombuffer(raw, np.uint8)
     ends = np.flatnonzero(b == 10) + 1
-    spaces = np.flatnonzero(b == 32)
-    spaces = spaces[spaces >= 8]
-    before = b[spaces[:, None] + np.arange(-8, 0)].view(np.uint64).ravel()
-    chosen = spaces[(before * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60) == 0] + 1
-    return np.unique(np.concatenate([ends, chosen, [len(raw)]]))
+    paragraphs = np.unique(np.concatenate([ends, [len(raw)]]))
+    at = np.arange(8, len(raw))
+    at = at[b[at] & 0xC0 != 0x80]
+    begins = np.concatenate([[0], paragraphs])[np.searchsorted(paragraphs, at, side="left")]
+    rule = np.array(RULES)[np.searchsorted(_FROM, at - begins, side="right") - 1]
+    space = b[at - 1] == 32
+    before = np.lib.stride_tricks.sliding_window_view(b, 8)[at - 8 - (space & (at > 8))] if len(at) else np.zeros((0, 8), np.uint8)
+    hashed = (np.ascontiguousarray(before).view(np.uint64).ravel() * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+    chosen = at[hashed % np.where(space, rule[:, 2], rule[:, 3]).astype(np.uint64) == 0]
+    wanted, last = set(paragraphs.tolist()), 0
+    begin, out = 0, [x for x in (1, 2, 4) if x < len(raw) and b[x] & 0xC0 != 0x80 and x not in wanted]  # tiny texts too
+    for end in np.union1d(paragraphs, chosen).tolist():
+        while True:
+            most = RULES[bisect_right(_FROM, last - begin) - 1][1]
+            if end - last <= most:
+                break
+            last += most
+            while raw[last] & 0xC0 == 0x80:
+                last -= 1
+            out.append(last)
+        if end in wanted:
+            begin = end
+        elif 16 * (end - last) < most:  # repetitive text would be cut everywhere
+            continue
+        out.append(end)
+        last = end
+    return np.unique(np.array(out, np.int64))
 
 
 def tree(raw: bytes) -> tuple[str, np.ndarray, np.ndarray]:

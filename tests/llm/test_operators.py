@@ -101,6 +101,25 @@ def test_fingerprints(docs, rows, empty):
     assert begin > 0 and end == len(b)
 
 
+@pytest.mark.parametrize("text", [
+    "ab cd", "twice the same row", "日本語の短い文です", "x" * 5000, "ab " * 2000, "".join(map(chr, range(0x4E00, 0x5A00))), prose(12, 5),
+    "".join(prose(900, 6).split()), prose(900, 7)], ids=range(9))
+def test_fingerprints_of_short_unspaced_and_repetitive_texts(text):
+    """The half that is left is found, an insertion is located, pieces are bounded and end on borders of code points."""
+    raw = text.encode()
+    own = fingerprints.tree(raw)
+    changed = fingerprints.tree(fingerprints.edited(text, "QZ" * len(text)).encode())
+    assert fingerprints.likeness(own[1:], changed[1:]) >= 0.25
+    ends = fingerprints.cuts(raw).tolist()
+    assert ends[-1] == len(raw) and all(len(raw[a:b].decode()) and b - a <= 256 for a, b in zip([0, *ends], ends))
+    if len(raw) > 1000:
+        middle = len(text) // 2
+        other = fingerprints.tree((text[:middle] + "!?" + text[middle:]).encode())
+        assert fingerprints.likeness(own[1:], other[1:]) >= 0.4
+        found = fingerprints.differences(own[0], other[0])
+        assert any(a <= len(text[:middle].encode()) < b for a, b in found)
+
+
 def shingles(text, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
