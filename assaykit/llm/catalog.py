@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import (bpe, decontamination, fingerprints, language, line_dedup, ngram_join, pii, quality, token_files, toxicity)
+from assaykit.llm import (bpe, decontamination, fingerprints, language, lexical_search, line_dedup, ngram_join, pii, quality, token_files,
+                          toxicity)
 from assaykit.llm.common import documents
 from assaykit.session import workspace
 
@@ -80,8 +81,38 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "quality_evidence", "quality_site", "quality_score", "quality_kept")
 
 
+def op13_search(spark: SparkSession, folder: str) -> DataFrame:
+    path = workspace(spark, "lexical-index")
+    lexical_search.build(documents(spark, folder), path)
+    return lexical_search.search(spark, path, spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (op1_pii, op2_toxicity, op3_ngram_join, op4_language, op5_fingerprints, op6_token_files,
-                            op7_decontamination, op8_bpe, op9_line_dedup, op10_quality)}
-#: None of them can be said in SQL over whole tables; tests hold them against brute force, round trips or held-out rows.
-TWINS: dict[str, str] = {}
+                            op7_decontamination, op8_bpe, op9_line_dedup, op10_quality, op13_search)}
+SEARCH = r"""
+WITH docs AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
+items AS (SELECT row_number() OVER () AS item, item_id, coalesce(text, '') AS text FROM benchmark),
+doc_terms AS (
+    SELECT doc, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+item_terms AS (
+    SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items),
+tf AS (SELECT doc, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM doc_terms GROUP BY doc, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+n AS (SELECT doc, count(*) AS n FROM doc_terms GROUP BY doc),
+total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM n),
+m AS (SELECT doc, 100 - 75 + (75 * n * n_docs) // n_terms AS m FROM n, total),
+wanted AS (SELECT item, any_value(item_id) AS item_id, term, count(*) AS times FROM item_terms GROUP BY item, term),
+weighted AS (SELECT item, item_id, term, times * floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS weight
+             FROM wanted JOIN df USING (term), total),
+scored AS (SELECT item, any_value(item_id) AS item_id, doc, any_value(doc_id) AS doc_id,
+                  sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+           FROM weighted JOIN tf USING (term) JOIN m USING (doc) GROUP BY item, doc)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
+#: The others can't be said in SQL over whole tables; tests hold them against brute force, round trips or held-out rows.
+TWINS: dict[str, str] = {"op13_search": SEARCH}
