@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm import (bpe, decontamination, fingerprints, language, lexical_search, line_dedup, ngram_join, pii, quality, token_files,
-                          toxicity)
+                          toxicity, whitening)
 from assaykit.llm.common import documents
 from assaykit.session import workspace
 
@@ -81,6 +81,10 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "quality_evidence", "quality_site", "quality_score", "quality_kept")
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 def op13_search(spark: SparkSession, folder: str) -> DataFrame:
     path = workspace(spark, "lexical-index")
     lexical_search.build(documents(spark, folder), path)
@@ -89,7 +93,8 @@ def op13_search(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (op1_pii, op2_toxicity, op3_ngram_join, op4_language, op5_fingerprints, op6_token_files,
-                            op7_decontamination, op8_bpe, op9_line_dedup, op10_quality, op13_search)}
+                            op7_decontamination, op8_bpe, op9_line_dedup, op10_quality, op12_whitening,
+                            op13_search)}
 SEARCH = r"""
 WITH docs AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
 items AS (SELECT row_number() OVER () AS item, item_id, coalesce(text, '') AS text FROM benchmark),
