@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import (bpe, decontamination, fingerprints, language, lexical_search, line_dedup, ngram_join, pii, quality, token_files,
-                          toxicity, whitening)
+from assaykit.llm import (bpe, decontamination, fingerprints, html_extraction, language, lexical_search, line_dedup, ngram_join, pii, quality,
+                          token_files, toxicity, whitening)
 from assaykit.llm.common import documents
 from assaykit.session import workspace
 
@@ -81,6 +81,10 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "quality_evidence", "quality_site", "quality_score", "quality_kept")
 
 
+def op11_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extraction.extract(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(spark.read.parquet(f"{folder}/embeddings.parquet"))
 
@@ -93,7 +97,7 @@ def op13_search(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (op1_pii, op2_toxicity, op3_ngram_join, op4_language, op5_fingerprints, op6_token_files,
-                            op7_decontamination, op8_bpe, op9_line_dedup, op10_quality, op12_whitening,
+                            op7_decontamination, op8_bpe, op9_line_dedup, op10_quality, op11_html, op12_whitening,
                             op13_search)}
 SEARCH = r"""
 WITH docs AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
