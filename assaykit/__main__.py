@@ -17,7 +17,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("job", choices=["profile", "quality", "score", "store", "etl"])
     parser.add_argument("--source", default=settings.raw_data_path, help="CSV file, folder or pattern")
     parser.add_argument("--output", help="report path, or store root for store and etl")
-    parser.add_argument("--row-key", default="row", choices=["row", "digest"])
+    parser.add_argument("--row-key", default="exact", choices=["exact", "row", "digest"])
     args = parser.parse_args(argv)
     spark = get_spark(f"assaykit-{args.job}")
     root = args.output or f"{settings.reports_path}/store"

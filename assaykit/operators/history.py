@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assaykit.operators.checks import SORTABLE_FIELDS
 from assaykit.operators.scoring import dashboard_label, run_state
 
+# Stored columns, in the order of the reports.
 RUN_COLUMNS = ("run_id", "pipeline_name", "started_at", "finished_at", "duration_seconds", "status",
                "rows_processed", "health_score")
 RESULT_COLUMNS = ("result_id", "run_id", "check_name", "category", "status", "severity", "affected_rows",
@@ -32,7 +33,7 @@ def available(df: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
 
 def _positive(limit: int) -> int:
     if limit < 1:
-        raise ValueError("limit must be at least 1")
+        raise ValueError(f"at least one row must be asked for, not {limit}")
     return limit
 
 
@@ -142,10 +143,14 @@ def warning_checks(results: DataFrame, run_id: int | None = None) -> DataFrame:
     return with_status(results, "WARNING", run_id)
 
 
+def newest_run_id(runs: DataFrame) -> int | None:
+    """Highest run number, looked up at once; null without runs."""
+    return runs.agg(F.max("run_id").alias("run_id")).first()["run_id"]
+
+
 def latest_results(results: DataFrame, runs: DataFrame) -> DataFrame:
-    """Findings of the newest run."""
-    newest = runs.agg(F.max("run_id").alias("run_id"))
-    return results.join(newest, "run_id", "left_semi")
+    """Findings of the newest run. Its number goes into the plan as a literal, so only its partition is read."""
+    return results.filter(F.col("run_id") == F.lit(newest_run_id(runs)).cast("bigint"))
 
 
 def latest_details(results: DataFrame, runs: DataFrame) -> DataFrame:

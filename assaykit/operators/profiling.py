@@ -16,12 +16,11 @@ from assaykit.config import Settings
 from assaykit.functions.dates import date_shape, iso_text, parse_date
 from assaykit.functions.values import finite, holds, is_number, nan_to_null, ref, share, to_number
 from assaykit.operators.checks import cancelled
-from assaykit.operators.measure import REPEATS, ROW, ROWS, measure
+from assaykit.operators.measure import EXACT, REPEATS, ROWS, measure
+from assaykit.session import stored
 
 SAMPLE_SIZE = 5
 TOP_COUNTRIES = 5
-MEDIAN_BUCKETS = 8192
-MEDIAN_LEVELS = 2
 FIXED_WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "date": 4, "float": 4}
 
 
@@ -205,6 +204,12 @@ def columns_profile(df: DataFrame, order_by: str | None = None, values: DataFram
     )
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str], values: DataFrame | None = None) -> DataFrame:
+    """Number of different values per column, nulls not counted."""
+    values = value_counts(df, columns) if values is None else values.filter(F.col("column").isin(list(columns)))
+    return values.groupBy("column").agg(F.count_if(_present()).alias("unique_count"))
+
+
 # Numbers -----------------------------------------------------------------------------------------
 
 def _located(counted: DataFrame, order: str) -> DataFrame:
@@ -213,46 +218,37 @@ def _located(counted: DataFrame, order: str) -> DataFrame:
     return counted.selectExpr("*", f"{upto} AS upto").filter("upto - n < rank AND rank <= upto")
 
 
-def _narrow(values: DataFrame, targets: DataFrame) -> DataFrame:
-    """Shrink each target's value range to the bucket that holds its rank.
+def value_ranges(values: DataFrame) -> DataFrame:
+    """Distinct values (column, v, n) dealt out by order: ``part`` numbers consecutive ranges of about equal size.
 
-    The targets are two rows per numeric column, so broadcasting them is safe at any size of data,
-    and the running count sees at most ``MEDIAN_BUCKETS`` rows per target.
+    Bounds are quantiles of the values themselves, so neither a long tail nor an outlier fills a range; a value occurs
+    once however often its rows do, so no value is too frequent for one either.
     """
-    bucket = f"""cast(CASE WHEN v = double('-Infinity') THEN -1 WHEN v = double('Infinity') THEN {MEDIAN_BUCKETS}
-        WHEN lo = hi THEN 0
-        ELSE least(greatest(floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * {MEDIAN_BUCKETS}), 0), {MEDIAN_BUCKETS - 1})
-        END as bigint) AS bucket"""
-    inside = values.join(F.broadcast(targets), "column").filter(
-        "v BETWEEN lo AND hi OR (first AND abs(v) = double('Infinity'))")
-    buckets = inside.groupBy("column", "target", "rank", "below", F.expr(bucket)).agg(
-        F.expr("sum(n) AS n"), F.expr("min(v) AS lo"), F.expr("max(v) AS hi"))
-    return _located(buckets, "bucket").selectExpr(
-        "column", "target", "rank", "upto - n AS below", "lo", "hi", "false AS first")
-
-
-def medians(df: DataFrame, values: DataFrame | None = None) -> DataFrame:
-    """Exact median per numeric column without collecting the values of a column in one task.
-
-    The distinct values are counted once. The two middle ranks are then located by counting
-    buckets of the value range, then buckets of the one bucket hit, and only the values of the last
-    bucket are put in order.
+    return values.repartitionByRange("column", "v").withColumn("part", F.spark_partition_id())
+
+
+def medians(df: DataFrame, values: DataFrame | None = None,
+            stage: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
+    """Exact median per numeric column; a task puts at most one range of the distinct values in order.
+
+    Ranges are written once by ``stage``. Running counts over the ranges (as many rows as there are ranges) tell which of
+    them holds a middle rank, and only the values of those are read again. Infinities are values like any other.
     """
     numeric = [n for n, t in df.dtypes if is_number(t)]
     values = value_counts(df, numeric) if values is None else values.filter(F.col("column").isin(numeric))
     values = values.selectExpr(
         "column", "coalesce(real, cast(whole as double)) AS v", "copies AS n").filter("v IS NOT NULL")
-    finite_value = "if(abs(v) != double('Infinity'), v, null)"
-    targets = values.groupBy("column").agg(
-        F.expr("sum(n) AS total"),
-        F.expr(f"coalesce(min({finite_value}), 0.0D) AS lo"),
-        F.expr(f"coalesce(max({finite_value}), 0.0D) AS hi"),
-    ).selectExpr("column", "lo", "hi", "cast(0 as bigint) AS below", "true AS first",
-                 "posexplode(array((total + 1) div 2, total div 2 + 1)) AS (target, rank)")
-    for _ in range(MEDIAN_LEVELS):
-        targets = _narrow(values, targets)
-    last = values.join(F.broadcast(targets), "column").filter("v BETWEEN lo AND hi")
-    return _located(last, "v").groupBy("column").agg(F.expr("avg(v) AS median"))
+    ranges = stage(value_ranges(values), "value-ranges")
+    counted = ranges.groupBy("column", "part").agg(F.sum("n").alias("n"))
+    middle = "array_distinct(array((total + 1) div 2, total div 2 + 1))"
+    targets = counted.selectExpr("*", "sum(n) OVER (PARTITION BY column) AS total").selectExpr(
+        "column", "part", "n", f"explode({middle}) AS target").withColumn("rank", F.col("target"))
+    hit = _located(targets.withColumn("below", F.lit(0)), "part").select(
+        "column", "part", "target", "rank", (F.col("upto") - F.col("n")).alias("below")).collect()  # two rows a column
+    found = ranges.sparkSession.createDataFrame(
+        hit, "column string, part int, target bigint, rank bigint, below bigint")
+    last = ranges.filter(F.col("part").isin(sorted({r["part"] for r in hit}))).join(F.broadcast(found), ["column", "part"])
+    return _located(last, "v").groupBy("column").agg(F.avg("v").alias("median"))
 
 
 def moments(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -263,13 +259,14 @@ def moments(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return known.select(F.stack(F.lit(len(numeric)), *cells).alias("column", "min", "max", "mean", "std"))
 
 
-def numeric_profile(df: DataFrame, known: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
+def numeric_profile(df: DataFrame, known: DataFrame | None = None, values: DataFrame | None = None,
+                    stage: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """Minimum, maximum, mean, deviation and median of each numeric column, 4 decimals."""
     df = nan_to_null(df)
     if not any(is_number(t) for _, t in df.dtypes):
         return df.sparkSession.range(0).select(
             F.lit("").alias("name"), *[F.lit(0.0).alias(k) for k in ("min", "max", "mean", "std", "median")])
-    return moments(df, known).join(medians(df, values), "column", "left").select(
+    return moments(df, known).join(medians(df, values, stage), "column", "left").select(
         F.col("column").alias("name"), *[finite(F.col(k)).alias(k) for k in ("min", "max", "mean", "std", "median")])
 
 
@@ -296,10 +293,18 @@ def missing_summary(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
         F.count_if(F.col("missing_count") > 0).alias("columns_with_missing"))
 
 
-def duplicates_profile(df: DataFrame, row_key: str = ROW, order_by: str | None = None) -> DataFrame:
-    """Rows that repeat an earlier row, all columns compared."""
+def copies(df: DataFrame, row_key: str = EXACT, order_by: str | None = None) -> DataFrame:
+    """One row: rows, repeated rows and rows without a customer, for the sections on copies and flags."""
     df, columns, _ = _prepared(df, order_by)
-    return measure(df, columns, {}, row_key=row_key).select(
+    predicates = {"no_customer": ref("CustomerID").isNull()} if "CustomerID" in columns else {}
+    return measure(df, columns, predicates, row_key=row_key)
+
+
+def duplicates_profile(df: DataFrame, row_key: str = EXACT, order_by: str | None = None,
+                       counted: DataFrame | None = None) -> DataFrame:
+    """Rows that repeat an earlier row, all columns compared."""
+    counted = copies(df, row_key, order_by) if counted is None else counted
+    return counted.select(
         F.col(REPEATS).alias("duplicate_row_count"),
         share(F.col(REPEATS), F.col(ROWS)).alias("duplicate_percentage"),
         (F.col(ROWS) - F.col(REPEATS)).alias("unique_rows"))
@@ -392,10 +397,9 @@ def business_profile(df: DataFrame, known: DataFrame | None = None, values: Data
         if values is None:
             values = value_counts(df, list(counted.values()))
         names = ", ".join(f"'{c}', '{m}'" for m, c in counted.items())
-        per_column = values.filter(F.col("column").isin(list(counted.values()))).groupBy("column").agg(
-            F.count_if(_present()).alias("whole"))
+        per_column = distinct_counts(df, list(counted.values()), values)
         metrics = metrics.unionByName(per_column.selectExpr(
-            f"map({names})[column] AS metric", "whole", "cast(whole as double) AS real"))
+            f"map({names})[column] AS metric", "unique_count AS whole", "cast(unique_count as double) AS real"))
     return metrics.agg(*[
         F.expr(f"max(if(metric = '{n}', {'whole' if n in whole or n in counted else 'real'}, null)) AS {n}")
         for n in BUSINESS_ORDER if n in plain or n in counted
@@ -411,15 +415,14 @@ def top_countries(df: DataFrame, size: int = TOP_COUNTRIES, values: DataFrame |
 
 # Flags -------------------------------------------------------------------------------------------
 
-def flags(df: DataFrame, settings: Settings | None = None, row_key: str = ROW,
-          order_by: str | None = None) -> DataFrame:
+def flags(df: DataFrame, settings: Settings | None = None, row_key: str = EXACT,
+          order_by: str | None = None, counted: DataFrame | None = None) -> DataFrame:
     """Structural observations, or one row that says there are none."""
     settings = settings or Settings()
-    df, columns, _ = _prepared(df, order_by)
+    columns = [c for c in df.columns if c != order_by]
     missing = [c for c in settings.columns if c not in columns]
     extra = [c for c in columns if c not in settings.columns]
-    predicates = {"no_customer": ref("CustomerID").isNull()} if "CustomerID" in columns else {}
-    counted = measure(df, columns, predicates, row_key=row_key)
+    counted = copies(df, row_key, order_by) if counted is None else counted
 
     def flag(name: str, severity: str, message: Column | str, note: str | None = None) -> Column:
         return F.struct(
@@ -428,7 +431,7 @@ def flags(df: DataFrame, settings: Settings | None = None, row_key: str = ROW,
             F.lit(note).cast("string").alias("note"))
 
     found = []
-    if predicates:
+    if "CustomerID" in columns:
         pct = F.when(F.col(ROWS) > 0, F.col("no_customer") / F.col(ROWS) * 100)
         found.append(F.when(pct > 20, flag(
             "HIGH_MISSING_CUSTOMER_ID", "WARNING",
@@ -448,7 +451,7 @@ def flags(df: DataFrame, settings: Settings | None = None, row_key: str = ROW,
 
 # Report ------------------------------------------------------------------------------------------
 
-def profile(df: DataFrame, settings: Settings | None = None, row_key: str = ROW, order_by: str | None = None,
+def profile(df: DataFrame, settings: Settings | None = None, row_key: str = EXACT, order_by: str | None = None,
             stage: Callable[[DataFrame, str], DataFrame] | None = None) -> dict[str, DataFrame]:
     """All sections by name. ``order_by`` names a position column (see ``load_csv(keep_order=True)``).
 
@@ -456,19 +459,19 @@ def profile(df: DataFrame, settings: Settings | None = None, row_key: str = ROW,
     is read once for each instead of once per section.
     """
     data = df.drop(order_by) if order_by else df
-    known, values = facts(data), value_counts(df, order_by=order_by)
+    known, values, counted = facts(data), value_counts(df, order_by=order_by), copies(data, row_key)
     if stage:
-        known, values = stage(known, "facts"), stage(values, "values")
+        known, values, counted = stage(known, "facts"), stage(values, "values"), stage(counted, "copies")
     sections = {
         "overview": overview(data, known),
         "columns": columns_profile(df, order_by, values),
-        "numeric": numeric_profile(data, known, values),
+        "numeric": numeric_profile(data, known, values, stage or stored),
         "missing_values": missing_summary(data, known),
         "missing_per_column": missing_per_column(data, known),
-        "duplicates": duplicates_profile(data, row_key),
+        "duplicates": duplicates_profile(data, row_key, counted=counted),
         "date_analysis": dates_profile(df, settings=settings, order_by=order_by),
         "business_analysis": business_profile(data, known, values),
-        "quality_flags": flags(data, settings, row_key),
+        "quality_flags": flags(data, settings, row_key, counted=counted),
     }
     if "Country" in data.columns:
         sections["top_countries"] = top_countries(data, values=values)

@@ -167,7 +167,7 @@ def _copies(df: DataFrame, row_key: str) -> DataFrame:
 
 @query
 def duplicates(spark, folder):
-    return _copies(clean(spark, folder), measure.ROW)
+    return _copies(clean(spark, folder), measure.EXACT)
 
 
 @query
@@ -255,6 +255,18 @@ def profile_numeric_prices(spark, folder):
     return profiling.numeric_profile(lines)
 
 
+@query
+def profile_numeric_tails(spark, folder):
+    """Medians of a long tail, of a column with outliers and infinities, and of one that is crowded near zero."""
+    order, price = F.col("l_orderkey"), F.col("l_extendedprice")
+    rest = order % 499
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select(
+        (price * price * price).alias("cubed"),
+        F.when(rest == 1, float("inf")).when(rest == 2, float("-inf")).when(rest == 3, 1e300).when(rest == 4, -1e300)
+        .otherwise(price).alias("outliers"), (1.0 / (1 + order)).alias("reciprocal"))
+    return profiling.medians(lines).withColumnRenamed("column", "name")
+
+
 @query
 def profile_missing(spark, folder):
     return profiling.missing_summary(clean(spark, folder))

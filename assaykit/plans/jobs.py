@@ -14,7 +14,7 @@ from assaykit.config import Settings
 from assaykit.functions.values import nan_to_null
 from assaykit.operators import transform as tf
 from assaykit.operators.checks import Check
-from assaykit.operators.measure import ROW
+from assaykit.operators.measure import EXACT
 from assaykit.operators.profiling import profile, profile_document
 from assaykit.operators.scoring import score
 from assaykit.operators.validation import run_isolated, summary
@@ -55,7 +55,7 @@ def _extract(spark: SparkSession, source: DataFrame | str, keep_order: bool = Fa
 
 
 def profile_job(spark: SparkSession, source: DataFrame | str, output: str | None = None,
-                dataset: str = DATASET, settings: Settings | None = None, row_key: str = ROW) -> str:
+                dataset: str = DATASET, settings: Settings | None = None, row_key: str = EXACT) -> str:
     """Profile a source and write the report; samples come in file order for a CSV path.
 
     CSV text is parsed once into columns; figures and distinct values are then stored for the
@@ -72,7 +72,7 @@ def profile_job(spark: SparkSession, source: DataFrame | str, output: str | None
 
 def validate_job(spark: SparkSession, source: DataFrame | str, output: str | None = None,
                  dataset: str = DATASET, checks: Sequence[Check] | None = None, by: Sequence[str] = (),
-                 settings: Settings | None = None, row_key: str = ROW) -> str:
+                 settings: Settings | None = None, row_key: str = EXACT) -> str:
     """Validate a source, or each of its batches, and write the quality report."""
     df = _extract(spark, source, settings=settings).df
     return run_isolated(
@@ -82,7 +82,7 @@ def validate_job(spark: SparkSession, source: DataFrame | str, output: str | Non
 
 def score_job(spark: SparkSession, source: DataFrame | str, output: str | None = None,
               dataset: str = DATASET, checks: Sequence[Check] | None = None, by: Sequence[str] = (),
-              settings: Settings | None = None, row_key: str = ROW) -> str:
+              settings: Settings | None = None, row_key: str = EXACT) -> str:
     """Validate and score, and write the score report."""
     df = _extract(spark, source, settings=settings).df
     output = output or f"{(settings or Settings.from_env()).reports_path}/health_score_latest.json"
@@ -93,7 +93,7 @@ def score_job(spark: SparkSession, source: DataFrame | str, output: str | None =
 
 def store_job(spark: SparkSession, source: DataFrame | str, store: HistoryStore,
               pipeline_name: str = "online_retail_quality_pipeline", checks: Sequence[Check] | None = None,
-              by: Sequence[str] = (), settings: Settings | None = None, row_key: str = ROW) -> DataFrame:
+              by: Sequence[str] = (), settings: Settings | None = None, row_key: str = EXACT) -> DataFrame:
     """Validate, score and store one run, or one run per batch if ``by`` is ``["run_id"]``."""
     started = datetime.now(timezone.utc)
     store.create()
@@ -125,7 +125,7 @@ def lineage_rows(spark: SparkSession, dataset: str, lineage_id: str, source: str
 def run_etl(spark: SparkSession, source: DataFrame | str, root: str,
             pipeline_name: str = "online_retail_etl", dataset: str = DATASET,
             checks: Sequence[Check] | None = None, settings: Settings | None = None,
-            row_key: str = ROW) -> EtlResult:
+            row_key: str = EXACT) -> EtlResult:
     """Extract, transform, load, validate, score, persist. Findings never fail a run, errors do.
 
     One pass over the source writes the staged snapshot and counts extracted rows, values that

@@ -24,7 +24,7 @@ def retail(faulty: bool = False) -> str:
         quantity = f"CASE WHEN l_orderkey % 499 = 1 THEN 0 ELSE {quantity} END"
         date = f"CASE WHEN l_orderkey % 499 = 2 THEN 'not-a-date' ELSE {date} END"
         price = f"CASE WHEN l_orderkey % 499 = 3 THEN -p_retailprice ELSE {price} END"
-    return f"""base AS (
+    return f"""base AS MATERIALIZED (
   SELECT l_orderkey,
     (CASE WHEN l_returnflag = 'R' THEN 'C' ELSE '' END) || CAST(l_orderkey AS VARCHAR) AS "InvoiceNo",
     CAST(l_partkey AS VARCHAR) AS "StockCode",
@@ -74,7 +74,7 @@ def metrics(source: str, columns: list[str], batch: bool) -> str:
     listed = ", ".join(_q(c) for c in columns)
     return f"""keyed AS (SELECT {listed}, {run} AS run_id FROM {source}),
 different AS (SELECT run_id, count(*) AS kept FROM (SELECT DISTINCT * FROM keyed) GROUP BY run_id),
-metrics AS (
+metrics AS MATERIALIZED (
   SELECT run_id, n, n - kept AS repeats, * EXCLUDE (run_id, n, kept) FROM (
     SELECT run_id, count(*) AS n, {nulls}, {rules} FROM keyed GROUP BY run_id) JOIN different USING (run_id))"""
 
@@ -158,7 +158,7 @@ def found(columns: list[str] = COLUMNS) -> str:
             f" {choose(1, True)} AS status, {choose(2, True)} AS severity, {choose(3)} AS message,"
             f" CAST({count} AS BIGINT) AS affected_rows, CAST({_pct('(' + count + ')')} AS DOUBLE)"
             " AS affected_percentage FROM metrics")
-    return "found AS (\n" + "\nUNION ALL ".join(selects) + ")"
+    return "found AS MATERIALIZED (\n" + "\nUNION ALL ".join(selects) + ")"
 
 
 SCORES = """weights AS (SELECT unnest(['completeness', 'validity', 'uniqueness', 'schema', 'business_rules']) AS dimension),
@@ -169,7 +169,7 @@ dimensions AS (SELECT run_id, dimension, round(sum(points) / count(*) * 20.0, 2)
   CAST(sum(points) AS VARCHAR) || '/' || count(*) || ' rule points earned.' AS details,
   string_agg(check_name || ':' || status || ':' || CAST(points AS VARCHAR), ',' ORDER BY check_order) AS included_checks
   FROM graded JOIN weights USING (dimension) GROUP BY run_id, dimension),
-scores AS (SELECT run_id, n AS total_rows, repeats AS duplicate_rows, health_score,
+scores AS MATERIALIZED (SELECT run_id, n AS total_rows, repeats AS duplicate_rows, health_score,
   CASE WHEN health_score >= 90 THEN 'Healthy' WHEN health_score >= 75 THEN 'Warning'
     WHEN health_score >= 50 THEN 'Poor' ELSE 'Critical' END AS health_label,
   CASE WHEN health_score >= 90 THEN 'Excellent' WHEN health_score >= 75 THEN 'Good'
@@ -228,6 +228,12 @@ DELTA = """SELECT run_id, pipeline_name, health_score, previous_score, score_del
   CASE WHEN score_delta > 0 THEN '↑' WHEN score_delta < 0 THEN '↓' WHEN score_delta = 0 THEN '→' END AS direction
   FROM (SELECT *, round(health_score - previous_score, 2) AS score_delta FROM (SELECT run_id, pipeline_name,
   health_score, lag(health_score) OVER (ORDER BY run_id) AS previous_score FROM runs))"""
+TAILS = "WITH tails AS (SELECT l_extendedprice * l_extendedprice * l_extendedprice AS cubed," \
+    " CASE WHEN l_orderkey % 499 = 1 THEN 'infinity'::double WHEN l_orderkey % 499 = 2 THEN '-infinity'::double" \
+    " WHEN l_orderkey % 499 = 3 THEN 1e300 WHEN l_orderkey % 499 = 4 THEN -1e300 ELSE l_extendedprice END AS outliers," \
+    " 1.0::double / (1 + l_orderkey) AS reciprocal FROM lineitem)\n" + "\nUNION ALL ".join(
+        f"SELECT '{c}' AS name, avg(v) AS median FROM (SELECT {c} AS v, row_number() OVER (ORDER BY {c}) AS r,"
+        f" count(*) OVER () AS n FROM tails) WHERE r IN ((n + 1) // 2, n // 2 + 1)" for c in ("cubed", "outliers", "reciprocal"))
 MONEY = "CAST(sum(CAST({c} AS DECIMAL(18,4))) AS DOUBLE)"
 PRODUCTS = f"""SELECT stock_code, max(description) AS description, {MONEY.format(c='quantity')} AS quantity,
   {MONEY.format(c='revenue')} AS revenue FROM snapshot GROUP BY stock_code ORDER BY revenue DESC, stock_code LIMIT 10"""
@@ -312,6 +318,7 @@ TWINS: dict[str, str] = {
     "profile_samples": FAULTY + _per_column(SAMPLES, COLUMNS),
     "profile_numeric": CLEAN + _numeric(["Quantity", "UnitPrice", "CustomerID"], "retail"),
     "profile_numeric_prices": _numeric(["l_extendedprice", "l_discount", "l_orderkey"], "lineitem"),
+    "profile_numeric_tails": TAILS,
     "profile_missing": CLEAN + f"""SELECT CAST(missing AS BIGINT) AS total_missing_cells,
           round(missing / (n * 8) * 100, 2) AS total_missing_percentage,
           CAST(affected AS BIGINT) AS columns_with_missing FROM (

@@ -133,8 +133,7 @@ class HistoryStore:
 
     def latest_results(self) -> DataFrame:
         """Findings of the newest run; only its partition is read."""
-        newest = self.runs().agg(F.max("run_id")).first()[0]
-        return history.results_of(self.results(), newest if newest is not None else 0)
+        return history.latest_results(self.results(), self.runs()).orderBy("result_id")
 
     def lineage(self) -> DataFrame:
         return self._read("lineage")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assaykit import results, score, validate
 from assaykit.operators import history, marts, profiling
-from assaykit.operators.measure import DIGEST, NONE, REPEATS, ROWS, measure
+from assaykit.operators.measure import DIGEST, EXACT, NONE, REPEATS, ROWS, measure
 from assaykit.operators.transform import to_snapshot, transform
 from assaykit.plans.catalog import QUERIES
 from assaykit.session import stored, workspace
@@ -81,7 +81,40 @@ def test_copies_are_merged_before_the_shuffle(skewed):
     assert re.search(r"partial_count\(1\)", text)
 
 
-@pytest.mark.parametrize("row_key", ["row", DIGEST])
+def test_rows_without_copies_are_not_shuffled_whole(spark):
+    df = spark.read.parquet(f"{FOLDER}/part.parquet")
+    found = measure(df, df.columns, {"x": F.col("p_size") < 9}, row_key=EXACT)
+    assert found.first().asDict() == {ROWS: df.count(), REPEATS: 0, "x": df.filter("p_size < 9").count()}
+    assert "p_name" not in plan(found)  # the counts alone are read; no second pass
+
+
+def test_only_rows_with_a_repeated_digest_are_shuffled_whole(spark):
+    df = retail(spark, FOLDER)
+    path = workspace(spark, "rows")
+    df.write.parquet(path)
+    df = spark.read.parquet(path)
+    found = measure(df, df.columns, {}, row_key=EXACT)
+    found.collect()
+    text = found._jdf.queryExecution().executedPlan().toString()
+    final = text[:text.index("+- == Initial Plan ==")] if "+- == Initial Plan ==" in text else text
+    assert "BroadcastHashJoin" in final and "LeftSemi" in final  # below the one exchange of whole rows
+    wide = [m.start() for m in re.finditer(r"Exchange hashpartitioning\([^)]*Description", final)]
+    assert len(wide) == 1 and final.index("LeftSemi") > wide[0]
+    assert found.first()[REPEATS] == 61
+
+
+@pytest.mark.parametrize("rows", [
+    [], [(1, "a", 0.0), (1, "a", -0.0), (None, "a", 1.0), (None, "a", 1.0), (None, "a", 1.0)],
+    [(None, None, None), (None, None, None), (1, None, None), (None, "1", None), (2, "x", float("nan")), (2, "x", float("nan"))]])
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_exact_equals_grouping_whole_rows(spark, rows, by):
+    df = spark.createDataFrame([(*r, g) for r in rows for g in (1, None, 2)], "a int, b string, c double, g int")
+    rules = {"x": F.col("a") > 1, "y.z": F.col("b").isNull()}
+    one, other = (sorted(map(str, measure(df, ["a", "b", "c"], rules, by, k).collect())) for k in (EXACT, "row"))
+    assert one == other
+
+
+@pytest.mark.parametrize("row_key", ["row", EXACT, DIGEST])
 def test_hot_row(skewed, row_key):
     df = skewed.drop("run_id")
     row = measure(df, df.columns, {"hot": F.col("StockCode") == "A"}, row_key=row_key).first()
@@ -115,6 +148,53 @@ def test_medians_of_skewed_columns(skewed):
         assert found[name] == skewed.agg(F.median(name)).first()[0]
 
 
+@pytest.fixture
+def sixteen_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_no_range_of_values_is_large(spark, sixteen_ranges):
+    """A power tail, two outliers, infinities, and one value with a third of all rows."""
+    i = F.col("id").cast("double")
+    df = spark.range(200_000).select(
+        F.pow(i / 1000, 9).alias("tail"),
+        F.when(F.col("id") == 0, 1e300).when(F.col("id") == 1, -1e300).otherwise(i).alias("outliers"),
+        F.when(F.col("id") % 3 == 0, float("inf")).when(F.col("id") % 3 == 1, float("-inf")).otherwise(i).alias("infinite"),
+        F.when(F.col("id") % 3 == 0, 0.5).otherwise(i).alias("hot"))
+    values = profiling.value_counts(df).selectExpr("column", "real AS v", "copies AS n")
+    sizes = [r["count"] for r in profiling.value_ranges(values).groupBy("part").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / 16
+    found = {r["column"]: r["median"] for r in profiling.medians(df).collect()}
+    assert found == {c: df.agg(F.median(c)).first()[0] for c in df.columns}
+
+
+def test_medians_of_odd_columns(spark):
+    df = spark.createDataFrame([(1, None, 1.0, True), (2, None, float("inf"), False), (2, None, float("-inf"), True)],
+                               "a int, none double, c double, d boolean")
+    assert {r["column"]: r["median"] for r in profiling.medians(df).collect()} == {"a": 2.0, "c": 1.0, "d": 1.0}
+    assert profiling.medians(df.filter("false")).collect() == []
+
+
+def test_distinct_counts_need_no_expand(spark):
+    text = plan(marts.kpi_summary(to_snapshot(transform(retail(spark, FOLDER)))))
+    assert "Expand" not in text
+
+
+def test_latest_results_read_one_partition(spark):
+    runs, found = QUERIES["all_runs"](spark, FOLDER), QUERIES["result_log"](spark, FOLDER)
+    path = workspace(spark, "found")
+    found.write.partitionBy("run_id").parquet(path)
+    latest = history.latest_results(spark.read.parquet(path), runs)
+    newest = runs.agg(F.max("run_id")).first()[0]
+    assert re.search(rf"PartitionFilters: \[[^]]*= {newest}\)", plan(latest)) and "Join" not in plan(latest)
+    assert {r.run_id for r in latest.collect()} == {newest}
+    assert history.latest_results(found, runs.filter("false")).collect() == []
+
+
 def test_shuffle_joins_give_the_same_rows(spark, no_broadcast):
     df = retail(spark, FOLDER, faulty=True)
     assert "SortMergeJoin" in plan(df) or "ShuffledHashJoin" in plan(df)
