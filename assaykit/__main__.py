@@ -17,22 +17,22 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("job", choices=["profile", "quality", "score", "store", "etl"])
     parser.add_argument("--source", default=settings.raw_data_path, help="CSV file, folder or pattern")
     parser.add_argument("--output", help="report path, or store root for store and etl")
-    parser.add_argument("--row-key", default="exact", choices=["exact", "row", "digest"])
+    parser.add_argument("--row-key", choices=["exact", "row", "digest"], help="how repeated rows are found; each job has its own default")
     args = parser.parse_args(argv)
     spark = get_spark(f"assaykit-{args.job}")
+    how = {"row_key": args.row_key} if args.row_key else {}
     root = args.output or f"{settings.reports_path}/store"
     try:
         if args.job == "etl":
-            outcome = jobs.run_etl(spark, args.source, root, settings=settings, row_key=args.row_key)
+            outcome = jobs.run_etl(spark, args.source, root, settings=settings, **how)
             print(outcome)
             return 0 if outcome.status == "SUCCESS" else 1
         if args.job == "store":
-            saved = jobs.store_job(spark, args.source, HistoryStore(spark, root), settings=settings,
-                                   row_key=args.row_key)
+            saved = jobs.store_job(spark, args.source, HistoryStore(spark, root), settings=settings, **how)
             saved.show(truncate=False)
             return 0
         run = {"profile": jobs.profile_job, "quality": jobs.validate_job, "score": jobs.score_job}[args.job]
-        print(run(spark, args.source, args.output, settings=settings, row_key=args.row_key))
+        print(run(spark, args.source, args.output, settings=settings, **how))
         return 0
     except (FileNotFoundError, ValueError) as error:
         print(f"error: {error}", file=sys.stderr)

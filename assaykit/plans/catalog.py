@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.config import Settings
-from assaykit.functions.dates import elapsed_seconds, iso_text
+from assaykit.functions.dates import elapsed_seconds, iso_text, parse_date
 from assaykit.functions.values import ref
 from assaykit.operators import history, marts, measure, profiling
 from assaykit.operators.checks import (
@@ -167,7 +167,13 @@ def _copies(df: DataFrame, row_key: str) -> DataFrame:
 
 @query
 def duplicates(spark, folder):
-    return _copies(clean(spark, folder), measure.EXACT)
+    return _copies(clean(spark, folder), measure.ROW)
+
+
+@query
+def duplicates_exact(spark, folder):
+    """The table in files: digests first, whole rows only where a digest repeats."""
+    return _copies(stored(clean(spark, folder), "retail"), measure.EXACT)
 
 
 @query
@@ -279,7 +285,7 @@ def profile_missing_columns(spark, folder):
 
 @query
 def profile_duplicates(spark, folder):
-    return profiling.duplicates_profile(clean(spark, folder))
+    return profiling.duplicates_profile(clean(spark, folder), measure.ROW)
 
 
 @query
@@ -287,6 +293,23 @@ def profile_dates(spark, folder):
     return profiling.dates_profile(faulty(spark, folder)).drop("error")
 
 
+# Layouts in which the query below writes one date column.
+LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ss", "M/d/yyyy H:mm", "MMM d yyyy", "d-MMM-yy", "MM/dd/yy hh:mm a", "EEE, dd MMM yyyy HH:mm:ss",
+           "yyyy.MM.dd", "yyyyMMdd'T'HHmmss")
+
+
+@query
+def mixed_dates(spark, folder):
+    """One text column in eight layouts: all of them are dates, and the right ones."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_shipdate", (F.col("l_orderkey") % 8).alias("layout"))
+    text = F.coalesce(*[F.when(F.col("layout") == i, F.date_format("l_shipdate", f)) for i, f in enumerate(LAYOUTS)])
+    parsed = lines.withColumn("ts", parse_date(text))
+    return parsed.groupBy("layout").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("ts").isNull()).alias("bad_dates"),
+        F.count_if(F.col("ts") != F.col("l_shipdate")).alias("wrong_dates"),
+        iso_text(F.min("ts")).alias("earliest"), iso_text(F.max("ts")).alias("latest"))
+
+
 @query
 def profile_daily_volume(spark, folder):
     days = profiling.daily_volume(clean(spark, folder))
@@ -305,12 +328,12 @@ def profile_top_countries(spark, folder):
 
 @query
 def profile_flags(spark, folder):
-    return profiling.flags(_drifted(clean(spark, folder)))
+    return profiling.flags(_drifted(clean(spark, folder)), row_key=measure.ROW)
 
 
 @query
 def profile_flags_clean(spark, folder):
-    return profiling.flags(clean(spark, folder))
+    return profiling.flags(clean(spark, folder), row_key=measure.ROW)
 
 
 # Transform and marts -----------------------------------------------------------------------------

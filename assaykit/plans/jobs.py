@@ -1,4 +1,8 @@
-"""Jobs from a source to its reports, stored history and published snapshot."""
+"""Jobs from a source to its reports, stored history and published snapshot.
+
+Jobs that have written their table as Parquet (profile, ETL) find repeated rows by digests first (``exact``). The others read a source
+that may be text or an expensive view, so their default is one pass over it (``row``).
+"""
 
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ from assaykit.config import Settings
 from assaykit.functions.values import nan_to_null
 from assaykit.operators import transform as tf
 from assaykit.operators.checks import Check
-from assaykit.operators.measure import EXACT
+from assaykit.operators.measure import EXACT, ROW
 from assaykit.operators.profiling import profile, profile_document
 from assaykit.operators.scoring import score
 from assaykit.operators.validation import run_isolated, summary
@@ -72,7 +76,7 @@ def profile_job(spark: SparkSession, source: DataFrame | str, output: str | None
 
 def validate_job(spark: SparkSession, source: DataFrame | str, output: str | None = None,
                  dataset: str = DATASET, checks: Sequence[Check] | None = None, by: Sequence[str] = (),
-                 settings: Settings | None = None, row_key: str = EXACT) -> str:
+                 settings: Settings | None = None, row_key: str = ROW) -> str:
     """Validate a source, or each of its batches, and write the quality report."""
     df = _extract(spark, source, settings=settings).df
     return run_isolated(
@@ -82,7 +86,7 @@ def validate_job(spark: SparkSession, source: DataFrame | str, output: str | Non
 
 def score_job(spark: SparkSession, source: DataFrame | str, output: str | None = None,
               dataset: str = DATASET, checks: Sequence[Check] | None = None, by: Sequence[str] = (),
-              settings: Settings | None = None, row_key: str = EXACT) -> str:
+              settings: Settings | None = None, row_key: str = ROW) -> str:
     """Validate and score, and write the score report."""
     df = _extract(spark, source, settings=settings).df
     output = output or f"{(settings or Settings.from_env()).reports_path}/health_score_latest.json"
@@ -93,7 +97,7 @@ def score_job(spark: SparkSession, source: DataFrame | str, output: str | None =
 
 def store_job(spark: SparkSession, source: DataFrame | str, store: HistoryStore,
               pipeline_name: str = "online_retail_quality_pipeline", checks: Sequence[Check] | None = None,
-              by: Sequence[str] = (), settings: Settings | None = None, row_key: str = EXACT) -> DataFrame:
+              by: Sequence[str] = (), settings: Settings | None = None, row_key: str = ROW) -> DataFrame:
     """Validate, score and store one run, or one run per batch if ``by`` is ``["run_id"]``."""
     started = datetime.now(timezone.utc)
     store.create()

@@ -283,6 +283,7 @@ TWINS: dict[str, str] = {
         " round(count(*) FILTER (WHERE {c} IS NULL) / count(*) * 100, 2) AS missing_percentage FROM retail", COLUMNS),
     "validity_counts": CHECKED_FAULTY + f"SELECT n AS total_rows, {', '.join(RULES)} FROM metrics",
     "duplicates": CHECKED + "SELECT n AS total_rows, repeats AS duplicate_rows FROM metrics",
+    "duplicates_exact": CHECKED + "SELECT n AS total_rows, repeats AS duplicate_rows FROM metrics",
     "duplicates_digest": CHECKED + "SELECT n AS total_rows, repeats AS duplicate_rows FROM metrics",
     "adjustments": CLEAN + f"""SELECT "Country" AS country, count(*) AS adjustment_rows FROM retail
         WHERE {ADJUSTED} GROUP BY 1""",
@@ -338,6 +339,9 @@ TWINS: dict[str, str] = {
           round(avg(rows), 1) AS mean_transactions_per_day, count(*) AS total_trading_days FROM (
           SELECT CAST(strptime("InvoiceDate", '%Y-%m-%dT%H:%M:%S') AS TIMESTAMP) AS ts, count(*) AS rows FROM retail
           WHERE regexp_matches("InvoiceDate", {DATE}) GROUP BY 1)""",
+    "mixed_dates": """SELECT l_orderkey % 8 AS layout, count(*) AS rows, CAST(0 AS BIGINT) AS bad_dates,
+          CAST(0 AS BIGINT) AS wrong_dates, strftime(min(l_shipdate), '%Y-%m-%dT%H:%M:%S') AS earliest,
+          strftime(max(l_shipdate), '%Y-%m-%dT%H:%M:%S') AS latest FROM lineitem GROUP BY 1""",
     "profile_daily_volume": CLEAN + """SELECT substr("InvoiceDate", 1, 10) AS day, count(*) AS rows
           FROM retail GROUP BY 1""",
     "profile_business": FAULTY + f"""SELECT count(DISTINCT "CustomerID") AS unique_customers,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaykit import dataset_info, load_csv, load_excel, load_parquet
-from assaykit.functions.dates import elapsed_seconds, parse_date, parse_instant
+from assaykit.functions.dates import date_shape, elapsed_seconds, parse_date, parse_instant
 from assaykit.functions.values import exact_sum, same_family, text_literal
 from assaykit.operators import profiling
 from assaykit.sources.readers import POSITION, extract_csv
@@ -122,7 +122,21 @@ def test_mixed_dates_match_pandas(spark):
     values = ["12/1/2010 8:26", "13/1/2010 8:26", "1/13/2010", "12/1/2010 8:26:05", "2010-12-01T08:26:00",
               "2010-12-01 08:26", "2010-12-01", "2010-12", "2010", "not-a-date", "12-01-2010 8:26", "2010/12/01 8:26",
               "20101201", " 12/1/2010 8:26 ", "2010-12-01T08:26:00.123456", "13/13/2010", "2/30/2010",
-              "2010-12-1 8:26:1", "12/1/2010 24:00", "536365", "123456-1", ""]
+              "2010-12-1 8:26:1", "12/1/2010 24:00", "536365", "123456-1", "",
+              "Dec 1 2010", "December 1, 2010", "1 Dec 2010", "1-Dec-2010", "1-Dec-10", "Dec-01-2010", "2010 Dec 1", "2010-Dec-01",
+              "Dec 2010", "2010 Dec", "Wed, 01 Dec 2010 08:26:00", "Wednesday, December 1, 2010 8:26 AM", "12/1/2010 8:26 AM",
+              "12/1/2010 12:05 AM", "12/1/2010 12:05 PM", "12/1/2010 8:26:05PM", "12/1/2010 8 PM", "12/1/2010 13:05 PM",
+              "12/1/2010 0:05 AM", "12/1/10", "12/1/10 8:26", "1/13/10", "13/1/10", "31/12/99", "75/12/01", "10-12-01", "32-1-2",
+              "12.01.2010", "13.01.2010", "1.12.10", "2010.12.01", "01.12.2010 08:26", "20101201 08:26", "20101201T0826",
+              "20101201T082605", "20101201082605", "8:26 12/1/2010", "08:26:05 Dec 1 2010", "Dec 1st 2010", "Sept 3 2010", "Sep. 3 2010",
+              "2010/13/01", "12/1/2010T08:26", "12/1/2010 8:26 a.m.", "12/1/2010 8:26 p", "1Dec2010", "01DEC2010", "Dec1 2010",
+              "May 2010", "31 Feb 2010", "Foo 1 2010", "12/1/2010 8:26:05.25", "Dec 1 2010 8:26:05.5 PM", "2010-12-01 8:26 PM",
+              "00/1/2010", "12/1/99", "1/1/69", "Mon Dec 1 2010", "1 December", "12/2010", "2010/12", "12-2010", "Dec 1 10", "1 Dec 99",
+              "99 Dec 1", "10 Dec 01", "2/30/10", "12 1 2010", "2010 12 1", "12,1,2010", "1st of Dec 2010", "12/1/2010 at 8:26",
+              "12/1/2010 8:26:61", "8 PM", "Dec", "Wed", "12", "3.10.2", "Dec 32 2010", "32 Dec 2010", "Dec 0 2010", "June 5, 2011 1:02pm",
+              "THU 10 MAR 2011", "Sat Mar 12 09:15:00 2011", "2011-Mar-12 9:15 am", "July 4 '11x"]
+    near = pd.Timestamp.now().year % 100
+    values += [f"12/1/{(near + k) % 100:02}" for k in (-51, -50, -49, 0, 48, 49, 50, 51)]
     df = spark.createDataFrame([(v,) for v in values], "s string")
     found = {r.s: r.t for r in df.select("s", parse_date(F.col("s")).alias("t")).collect()}
     with warnings.catch_warnings():
@@ -132,10 +146,32 @@ def test_mixed_dates_match_pandas(spark):
             assert found[v] == (None if pd.isna(expected) else expected.to_pydatetime()), v
 
 
+def test_generated_layouts_match_pandas(spark):
+    """Every join of a date layout, a time layout and their order, for dates in all months."""
+    days = [pd.Timestamp(2009, m, d, h, 5, 9) for m, d, h in zip(range(1, 13), (1, 13, 31, 2, 28, 12, 30, 3, 11, 25, 9, 22), range(1, 24, 2))]
+    dates = ["%b %d %Y", "%d %B %Y", "%B %d, %Y", "%d-%b-%y", "%m.%d.%Y", "%Y %b %d", "%a %d %b %Y", "%m/%d/%y", "%Y.%m.%d"]
+    times = ["%I:%M %p", "%H:%M", "%H:%M:%S", "%I:%M:%S%p", "%I %p"]
+    values = [at.strftime(f"{d} {t}" if d != "%Y.%m.%d" or "p" not in t else f"{t} {d}") for at in days for d in dates for t in times]
+    found = {r.s: r.t for r in spark.createDataFrame([(v,) for v in values], "s string").select("s", parse_date(F.col("s")).alias("t")).collect()}
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        expected = pd.to_datetime(pd.Series(values), errors="coerce", format="mixed")
+    wrong = [(v, found[v], e) for v, e in zip(values, expected) if found[v] != (None if pd.isna(e) else e.to_pydatetime())]
+    assert wrong == [] and expected.notna().mean() > 0.9
+
+
+def test_layouts_have_one_shape_each(spark):
+    groups = [["Dec 1 2010", "May 31 2011"], ["1/2/2010 8:26 AM", "12/31/2010 10:05 pm"], ["Wed 1 June 2011", "Sun 30 Dec 2012"], ["13/1/2010"],
+              ["1.2.10"], ["13.2.10"]]
+    rows = [(v, i) for i, g in enumerate(groups) for v in g]
+    shapes = spark.createDataFrame(rows, "s string, g int").select("g", date_shape(F.col("s")).alias("shape")).distinct().collect()
+    assert len(shapes) == len(groups) and len({r["shape"] for r in shapes}) == len(groups)
+
+
 def test_further_date_formats(spark):
-    df = spark.createDataFrame([("Dec 1 2010",)], "s string")
+    df = spark.createDataFrame([("2010|12|01",)], "s string")
     assert df.select(parse_date(F.col("s"))).first()[0] is None
-    assert df.select(parse_date(F.col("s"), extra_formats=["MMM d yyyy"])).first()[0].month == 12
+    assert df.select(parse_date(F.col("s"), extra_formats=["yyyy|MM|dd"])).first()[0].month == 12
 
 
 def test_instants(spark):
