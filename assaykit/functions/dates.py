@@ -139,8 +139,10 @@ def date_shape(column: Column, dtype: str = "string") -> Column:
         return F.when(column.isNotNull(), F.lit(dtype))
     text = F.trim(column.cast("string"))
     layout = F.upper(text)
-    for pattern, mark in ((MONTH, "b"), (WEEKDAY, "a"), (r"(?<=[\d ])[AP]\.?M(?![A-Z])", "p"), (r"\d{4}", "y"), (r"\d+", "d")):
+    for pattern, mark in ((MONTH, "b"), (WEEKDAY, "a"), (r"(?<=[\d ])[AP]\.?M(?![A-Z])", "p")):
         layout = F.regexp_replace(layout, pattern, mark)
+    layout = F.when(text.rlike("[A-SU-Za-su-z]"), layout).otherwise(text)  # a T between date and time is no word
+    layout = F.regexp_replace(F.regexp_replace(layout, r"\d{4}", "y"), r"\d+", "d")
     return F.when(text.rlike(BEGINS_WITH_DAY), F.concat(F.lit("day first "), layout)).otherwise(layout)
 
 

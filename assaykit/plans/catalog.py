@@ -303,7 +303,7 @@ def mixed_dates(spark, folder):
     """One text column in eight layouts: all of them are dates, and the right ones."""
     lines = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_shipdate", (F.col("l_orderkey") % 8).alias("layout"))
     text = F.coalesce(*[F.when(F.col("layout") == i, F.date_format("l_shipdate", f)) for i, f in enumerate(LAYOUTS)])
-    parsed = lines.withColumn("ts", parse_date(text))
+    parsed = lines.withColumn("text", text).withColumn("ts", parse_date(F.col("text")))
     return parsed.groupBy("layout").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("ts").isNull()).alias("bad_dates"),
         F.count_if(F.col("ts") != F.col("l_shipdate")).alias("wrong_dates"),
