@@ -99,7 +99,7 @@ class Finding:
 class Check:
     """A check. ``predicates(table)`` names row conditions, ``findings(table, counts)`` returns the
     rules over their counts. ``frame(df, by)`` is the alternative for a check that needs its own
-    plan: it returns finding rows with the ``by`` columns.
+    plan: it returns finding rows with the ``by`` columns, and may add ``finding_order`` and ``metadata``.
     """
 
     name: str

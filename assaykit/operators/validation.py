@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from assaykit.config import Settings
 from assaykit.functions.values import nan_to_null, ref, text_literal
 from assaykit.operators.checks import (
-    FINDING_TYPE, SORTABLE_FIELDS, Check, Counts, Finding, Outcome, Table, default_checks, finding_sql)
+    FINDING_FIELDS, FINDING_TYPE, SORTABLE_FIELDS, Check, Counts, Finding, Outcome, Table, default_checks, finding_sql)
 from assaykit.operators.measure import NONE, REPEATS, ROW, ROWS, measure
 
 RESULTS = "results"
@@ -30,12 +30,13 @@ def validate(
     by: Sequence[str] = (),
     settings: Settings | None = None,
     row_key: str = ROW,
-    broken: Mapping[str, BaseException] | None = None,
+    broken: Mapping[int, BaseException] | None = None,
 ) -> DataFrame:
     """Quality report: one row per ``by`` group (or one in all) with ``total_rows`` and ``results``.
 
-    Lazy, one scan. A check whose plan cannot be built, or that is named in ``broken``, becomes a
-    FAIL/CRITICAL finding; use :func:`run_isolated` to catch checks that fail while running.
+    Lazy, one scan (but see ``measure`` for ``exact``). Findings stand in the order of the checks, those of a check in its own order. A check
+    whose predicates, outcomes or frame cannot be planned, or whose position is in ``broken``, becomes one FAIL/CRITICAL finding
+    at its place; use :func:`run_isolated` to catch checks that fail while running.
     """
     settings = settings or Settings()
     checks = list(default_checks(settings) if checks is None else checks)
@@ -46,37 +47,54 @@ def validate(
     table = Table({c: types[c] for c in data_columns}, settings)
 
     predicates: dict[str, Column] = {}
-    findings: list[Finding] = []
-    frames: list[Check] = []
+    findings: dict[int, list[Finding]] = {}
+    frames: dict[int, DataFrame] = {}
     repeats = False
     for i, check in enumerate(checks):
         prefix = f"__{i}_"
-        if check.name in broken:
-            findings.append(crashed(check, broken[check.name]))
-            continue
-        if check.frame is not None:
-            frames.append(check)
+        if i in broken:
+            findings[i] = [crashed(check, broken[i])]
             continue
         try:
+            if check.frame is not None:
+                frames[i] = _frame_findings(check.frame(df, list(by)), by, f"__list_{i}")
+                continue
             wanted = {prefix + n: p for n, p in check.predicates(table).items()}
             made = list(check.findings(table, Counts(prefix)))
             df.select(*[p.alias(n) for n, p in wanted.items()])  # unknown columns surface here
         except Exception as error:
-            findings.append(crashed(check, error))
+            findings[i] = [crashed(check, error)]
             continue
         predicates.update(wanted)
-        findings.extend(made)
+        findings[i] = made
         repeats = repeats or check.needs_repeats
 
     counted = measure(df, data_columns, predicates, by, row_key if repeats else NONE)
-    listed = ", ".join(finding_sql(f) for f in findings)
-    report = counted.select(
-        *[ref(c) for c in by], ROWS, REPEATS,
-        F.expr(f"cast(array_compact(array({listed})) as array<{FINDING_TYPE}>)").alias(RESULTS),
-    )
-    for check in frames:
-        report = _add_frame(report, check, df, list(by))
-    return report
+    try:
+        listed = {i: _list_sql(made) for i, made in findings.items()}
+        counted.select(*map(F.expr, listed.values()))
+    except Exception:  # an outcome that cannot be planned: look at each check on its own
+        listed = {i: _planned(counted, checks[i], made) for i, made in findings.items()}
+    keys = [ref(c) for c in by]
+    if not frames:
+        together = F.flatten(F.array(*[F.expr(listed[i]) for i in sorted(listed)])) if listed else F.expr(_list_sql([]))
+        return counted.select(*keys, ROWS, REPEATS, together.alias(RESULTS))
+    report = counted.select(*keys, ROWS, REPEATS, *[F.expr(sql).alias(f"__list_{i}") for i, sql in listed.items()])
+    return _with_frames(report, frames, len(checks), list(by))
+
+
+def _list_sql(findings: Sequence[Finding]) -> str:
+    return f"cast(array_compact(array({', '.join(map(finding_sql, findings))})) as array<{FINDING_TYPE}>)"
+
+
+def _planned(counted: DataFrame, check: Check, findings: Sequence[Finding]) -> str:
+    """SQL of a check's findings, or of the finding that says why there is none."""
+    try:
+        sql = _list_sql(findings)
+        counted.select(F.expr(sql))
+        return sql
+    except Exception as error:
+        return _list_sql([crashed(check, error)])
 
 
 def _findings_of(lists: Column) -> Column:
@@ -87,32 +105,48 @@ def _findings_of(lists: Column) -> Column:
     ).cast(FINDING_TYPE))
 
 
-def _add_frame(report: DataFrame, check: Check, df: DataFrame, by: list[str]) -> DataFrame:
-    """Append the finding rows of a check that has a plan of its own.
+def _frame_findings(rows: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """The finding rows of a check with a plan of its own as one list per batch.
 
-    Both sides have one row per batch and meet by grouping, so a batch key may be null and a table
-    without batches needs no join of its two single rows.
+    A ``finding_order`` column orders them, else their fields do; a ``metadata`` map is kept. A map cannot be ordered, so
+    it travels as its entries.
     """
     keys = [ref(k) for k in by]
-    extra = check.frame(df, by).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(*[ref(n) for n in SORTABLE_FIELDS]))).alias("__list"))
-    both = report.unionByName(extra.select(*keys, _findings_of(F.col("__list")).alias("__more")), True)
-    merged = both.groupBy(*keys).agg(
-        *[F.any_value(c, True).alias(c) for c in (ROWS, REPEATS, RESULTS, "__more")])
-    found = F.concat(RESULTS, F.coalesce("__more", F.array().cast(f"array<{FINDING_TYPE}>")))
+    order = ref("finding_order").cast("bigint") if "finding_order" in rows.columns else F.lit(0).cast("bigint")
+    metadata = ref("metadata").cast("map<string,string>") if "metadata" in rows.columns else F.create_map().cast("map<string,string>")
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        order.alias("finding_order"), *[ref(n).cast(FINDING_FIELDS[n]).alias(n) for n in SORTABLE_FIELDS],
+        F.map_entries(F.coalesce(metadata, F.create_map().cast("map<string,string>"))).alias("metadata")))).alias(name))
+    return listed.select(*keys, F.transform(name, lambda x: F.struct(
+        *[x[n].alias(n) for n in SORTABLE_FIELDS], F.map_from_entries(x["metadata"]).alias("metadata")).cast(FINDING_TYPE)).alias(name))
+
+
+def _with_frames(report: DataFrame, frames: Mapping[int, DataFrame], checks: int, by: list[str]) -> DataFrame:
+    """All lists in the order of the checks.
+
+    Every side has one row per batch and they meet by grouping, so a batch key may be null and a table
+    without batches needs no join of single rows.
+    """
+    keys = [ref(k) for k in by]
+    both = report
+    for extra in frames.values():
+        both = both.unionByName(extra, True)
+    lists = [f"__list_{i}" for i in range(checks)]
+    merged = both.groupBy(*keys).agg(*[F.any_value(c, True).alias(c) for c in (ROWS, REPEATS, *lists)])
+    found = F.concat(*[F.coalesce(c, F.array().cast(f"array<{FINDING_TYPE}>")) for c in lists])
     return merged.filter(F.col(ROWS).isNotNull()).select(*keys, ROWS, REPEATS, found.alias(RESULTS))
 
 
 def diagnose(
     df: DataFrame, checks: Sequence[Check], by: Sequence[str] = (), settings: Settings | None = None
-) -> dict[str, BaseException]:
-    """Run each check on its own and return those that fail, with their error."""
-    failed: dict[str, BaseException] = {}
-    for check in checks:
+) -> dict[int, BaseException]:
+    """Run each check on its own and return the positions of those that fail, with their error."""
+    failed: dict[int, BaseException] = {}
+    for i, check in enumerate(checks):
         try:
             validate(df, [check], by, settings).write.format("noop").mode("overwrite").save()
         except Exception as error:
-            failed[check.name] = error
+            failed[i] = error
     return failed
 
 

@@ -217,3 +217,62 @@ def test_result_does_not_depend_on_partitions(table, sale):
     for other in (df.repartition(1), df.repartition(13, "Quantity"), df.orderBy(F.desc("InvoiceNo"))):
         for row_key in ("row", DIGEST):
             assert validate(other, row_key=row_key).first()[RESULTS] == expected
+
+
+def _frame_rows(df, by, **more):
+    fields = {"check_name": "own", "category": "validity", "status": "PASS", "severity": "INFO", "message": "m", **more}
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("affected_rows")).select(
+        *by, *[F.lit(v).alias(k) for k, v in fields.items()], "affected_rows", F.lit(0.0).alias("affected_percentage"))
+
+
+def _raises(*_):
+    raise ValueError("no rule file")
+
+
+def _outcome(**parts):
+    return lambda table, n: [Finding("own", "validity", (Outcome("WARNING", "LOW", "x %s", **{"args": ("1",), **parts}),))]
+
+
+BROKEN = {
+    "frame cannot be built": Check("Bad", "validity", frame=_raises),
+    "frame lacks a field": Check("Bad", "validity", frame=lambda df, by: _frame_rows(df, by).drop("severity")),
+    "frame fails while running": Check("Bad", "validity", frame=lambda df, by: _frame_rows(df, by).withColumn(
+        "message", F.raise_error(F.lit("gone")).cast("string"))),
+    "predicate names no column": Check("Bad", "validity", lambda t: {"x": F.col("nowhere") > 1}),
+    "predicate fails while running": Check("Bad", "validity", lambda t: {"x": F.col("InvoiceNo").cast("int") > 1},
+                                            lambda t, n: _outcome(args=(n["x"],))(t, n)),
+    "outcome names no count": Check("Bad", "validity", findings=_outcome(rows="nowhere")),
+    "outcome is no SQL": Check("Bad", "validity", findings=_outcome(args=("(((",))),
+    "outcome fails while running": Check("Bad", "validity", findings=_outcome(args=("1 div (total_rows - total_rows)",))),
+    "findings cannot be built": Check("Bad", "validity", findings=_raises),
+}
+
+
+@pytest.mark.parametrize("kind", BROKEN)
+@pytest.mark.parametrize("by", [[], ["run_id"]])
+def test_a_broken_check_is_one_finding_at_its_place(table, clean_rows, kind, by):
+    df = table(clean_rows).withColumn("InvoiceNo", F.concat(F.lit("C"), "InvoiceNo")).withColumn("run_id", F.lit(1))
+    df = df if by else df.drop("run_id")
+    own = Check("Own", "validity", frame=_frame_rows)
+    checks = [default_checks()[0], own, BROKEN[kind], default_checks()[-1], BROKEN[kind], own]
+    found = run_isolated(df, lambda report: results(report, by).orderBy("check_order").collect(), checks, by)
+    assert [r.check_name for r in found] == [
+        "column_presence", "unexpected_columns", "dtype_compatibility", "own", "Bad", "duplicate_rows", "Bad", "own"]
+    for bad in (found[4], found[6]):
+        assert (bad.status, bad.severity, bad.affected_rows, bad.affected_percentage) == ("FAIL", "CRITICAL", 2, 100.0)
+        assert bad.metadata["exception_type"] and bad.message.startswith("The check could not run: ")
+    assert {r.status for i, r in enumerate(found) if i not in (4, 6)} == {"PASS"}
+
+
+def test_frame_findings_keep_order_and_metadata(table, clean_rows):
+    def frame(df, by):
+        rows = [("zeta", 1, {"k": "v"}), ("alpha", 2, None), ("beta", 0, {"a": "1", "b": "2"})]
+        one = df.groupBy().agg(F.count(F.lit(1)).alias("affected_rows"))
+        return one.select("affected_rows", F.inline(F.array(*[F.struct(
+            F.lit(n).alias("check_name"), F.lit(i).alias("finding_order"),
+            F.create_map(*[F.lit(x) for kv in (m or {}).items() for x in kv]).cast("map<string,string>").alias("metadata")) for n, i, m in rows]))
+        ).select("*", *[F.lit(x).alias(c) for c, x in (("category", "validity"), ("status", "PASS"), ("severity", "INFO"), ("message", "m"))],
+                 F.lit(0.0).alias("affected_percentage"))
+    found = results(validate(table(clean_rows), [Check("Own", "validity", frame=frame), default_checks()[-1]])).orderBy("check_order").collect()
+    assert [(r.check_name, r.metadata) for r in found] == [
+        ("beta", {"a": "1", "b": "2"}), ("zeta", {"k": "v"}), ("alpha", {}), ("duplicate_rows", {})]
