@@ -21,6 +21,10 @@ from assaykit.session import stored
 
 SAMPLE_SIZE = 5
 TOP_COUNTRIES = 5
+# Flags in report order.
+FLAGS = ("HIGH_MISSING_CUSTOMER_ID", "DUPLICATE_ROWS_DETECTED", "MISSING_EXPECTED_COLUMNS", "UNEXPECTED_EXTRA_COLUMNS",
+         "NO_CRITICAL_FLAGS")
+NULLS_KEPT = {"ignoreNullFields": "false"}
 FIXED_WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "date": 4, "float": 4}
 
 
@@ -293,11 +297,12 @@ def missing_summary(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
         F.count_if(F.col("missing_count") > 0).alias("columns_with_missing"))
 
 
-def copies(df: DataFrame, row_key: str = EXACT, order_by: str | None = None) -> DataFrame:
+def copies(df: DataFrame, row_key: str = EXACT, order_by: str | None = None,
+           stage: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """One row: rows, repeated rows and rows without a customer, for the sections on copies and flags."""
     df, columns, _ = _prepared(df, order_by)
     predicates = {"no_customer": ref("CustomerID").isNull()} if "CustomerID" in columns else {}
-    return measure(df, columns, predicates, row_key=row_key)
+    return measure(df, columns, predicates, row_key=row_key, stage=stage)
 
 
 def duplicates_profile(df: DataFrame, row_key: str = EXACT, order_by: str | None = None,
@@ -459,7 +464,7 @@ def profile(df: DataFrame, settings: Settings | None = None, row_key: str = EXAC
     is read once for each instead of once per section.
     """
     data = df.drop(order_by) if order_by else df
-    known, values, counted = facts(data), value_counts(df, order_by=order_by), copies(data, row_key)
+    known, values, counted = facts(data), value_counts(df, order_by=order_by), copies(data, row_key, stage=stage or stored)
     if stage:
         known, values, counted = stage(known, "facts"), stage(values, "values"), stage(counted, "copies")
     sections = {
@@ -478,15 +483,33 @@ def profile(df: DataFrame, settings: Settings | None = None, row_key: str = EXAC
     return sections
 
 
+def _report_order(section: str, columns: Sequence[str]) -> Column:
+    """Where a record of a section stands in the report."""
+    if section in ("numeric", "missing_per_column"):
+        return F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("name"))
+    if section == "columns":
+        return F.col("position")
+    if section == "quality_flags":
+        return F.array_position(F.array(*[F.lit(f) for f in FLAGS]), F.col("flag"))
+    return F.struct(-F.col("rows"), "country") if section == "top_countries" else F.lit(0)
+
+
 def profile_document(sections: dict[str, DataFrame], dataset_name: str) -> DataFrame:
-    """One row with the whole profile as a JSON text; every section is a list of records."""
+    """One row with the whole profile as a JSON text.
+
+    Every section is a list of records in report order: columns as in the table, countries by rows, flags by kind. A figure
+    that does not exist is written as null.
+    """
     spark = next(iter(sections.values())).sparkSession
+    columns = [r["name"] for r in sections["columns"].orderBy("position").select("name").collect()] if "columns" in sections else []
     rows = None
     for i, (name, section) in enumerate(sections.items()):
-        body = section.select(F.to_json(F.struct(*[ref(c) for c in section.columns])).alias("body"))
-        listed = body.agg(F.array_sort(F.collect_list("body")).alias("bodies")).select(
-            F.lit(i).alias("i"),
-            F.concat(F.lit(f'"{name}":['), F.array_join("bodies", ","), F.lit("]")).alias("part"))
+        body = section.select(F.struct(
+            _report_order(name, columns).alias("place"),
+            F.to_json(F.struct(*[ref(c) for c in section.columns]), NULLS_KEPT).alias("body")).alias("record"))
+        listed = body.agg(F.array_sort(F.collect_list("record")).alias("records")).select(
+            F.lit(i).alias("i"), F.concat(
+                F.lit(f'"{name}":['), F.array_join(F.transform("records", lambda r: r["body"]), ","), F.lit("]")).alias("part"))
         rows = listed if rows is None else rows.unionByName(listed)
     head = spark.range(1).select(F.lit(-1).alias("i"), F.concat(
         F.lit('"dataset":'), F.to_json(F.struct(

@@ -12,6 +12,7 @@ from assaykit.functions.values import nan_to_null, ref, text_literal
 from assaykit.operators.checks import (
     FINDING_FIELDS, FINDING_TYPE, SORTABLE_FIELDS, Check, Counts, Finding, Outcome, Table, default_checks, finding_sql)
 from assaykit.operators.measure import NONE, REPEATS, ROW, ROWS, measure
+from assaykit.session import stored
 
 RESULTS = "results"
 
@@ -31,6 +32,7 @@ def validate(
     settings: Settings | None = None,
     row_key: str = ROW,
     broken: Mapping[int, BaseException] | None = None,
+    stage: Callable[[DataFrame, str], DataFrame] = stored,
 ) -> DataFrame:
     """Quality report: one row per ``by`` group (or one in all) with ``total_rows`` and ``results``.
 
@@ -69,7 +71,7 @@ def validate(
         findings[i] = made
         repeats = repeats or check.needs_repeats
 
-    counted = measure(df, data_columns, predicates, by, row_key if repeats else NONE)
+    counted = measure(df, data_columns, predicates, by, row_key if repeats else NONE, stage)
     try:
         listed = {i: _list_sql(made) for i, made in findings.items()}
         counted.select(*map(F.expr, listed.values()))
@@ -157,6 +159,7 @@ def run_isolated(
     by: Sequence[str] = (),
     settings: Settings | None = None,
     row_key: str = ROW,
+    stage: Callable[[DataFrame, str], DataFrame] = stored,
 ) -> object:
     """``action(report)``; if that fails, find the failing checks and act on a report that names them.
 
@@ -164,12 +167,12 @@ def run_isolated(
     """
     checks = list(default_checks(settings) if checks is None else checks)
     try:
-        return action(validate(df, checks, by, settings, row_key))
+        return action(validate(df, checks, by, settings, row_key, stage=stage))
     except Exception:
         failed = diagnose(df, checks, by, settings)
         if not failed:
             raise
-        return action(validate(df, checks, by, settings, row_key, failed))
+        return action(validate(df, checks, by, settings, row_key, failed, stage))
 
 
 def results(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:

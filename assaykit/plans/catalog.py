@@ -666,6 +666,78 @@ def stored_batches(spark, folder):
     return store.runs().select("run_id", "pipeline_name", "status", "rows_processed", "health_score")
 
 
+@query
+def compacted_batches(spark, folder):
+    """Months stored in three batches, put together, and some of them removed."""
+    store = HistoryStore(spark, workspace(spark, "history")).create()
+    reports = stored(monthly_reports(spark, folder).select("run_id", "total_rows", "health_score", "results"), "reports")
+    for i in range(3):
+        store.save_runs(reports.filter(F.col("run_id") % 3 == i))
+    store.compact()
+    store.delete_runs([r["run_id"] for r in store.runs().filter("run_id % 5 = 0").select("run_id").collect()])
+    return store.runs().join(history.results_per_run(store.results()), "run_id").select(
+        "run_id", "rows_processed", "health_score", "results_stored")
+
+
+# Report files, read back in their own order ------------------------------------------------------
+
+@query
+def profile_report(spark, folder):
+    path = jobs.profile_job(spark, clean(spark, folder), workspace(spark, "profile"), row_key=measure.ROW)
+    report = spark.read.schema(
+        "columns array<struct<name:string,null_count:double>>, numeric array<struct<name:string,median:double>>,"
+        " missing_per_column array<struct<name:string,missing_count:double>>,"
+        " top_countries array<struct<country:string,rows:double>>,"
+        " quality_flags array<struct<flag:string,note:string>>").json(path)
+
+    def part(section: str, name: str, value: str) -> DataFrame:
+        return report.select(F.posexplode(section).alias("position", "r")).select(
+            F.lit(section).alias("section"), F.col("position").cast("bigint").alias("position"), F.col(f"r.{name}").alias("name"),
+            F.expr(value).cast("double").alias("value"))
+
+    return (part("columns", "name", "r.null_count").unionByName(part("numeric", "name", "r.median"))
+            .unionByName(part("missing_per_column", "name", "r.missing_count"))
+            .unionByName(part("top_countries", "country", "r.rows"))
+            .unionByName(part("quality_flags", "flag", "if(r.note is null, 0, 1)")))
+
+
+@query
+def quality_report(spark, folder):
+    path = jobs.validate_job(spark, faulty(spark, folder), workspace(spark, "quality"))
+    report = spark.read.schema(
+        "dataset_name string, duration_seconds double, total_rows bigint, summary struct<total_checks:bigint,failed:bigint>,"
+        " results array<struct<check_name:string,status:string,affected_rows:bigint,affected_pct:double,affected_percentage:double>>").json(path)
+    return report.select(
+        "dataset_name", (F.col("duration_seconds") > 0).cast("bigint").alias("timed"), "total_rows", "summary.total_checks", "summary.failed",
+        F.posexplode("results").alias("position", "r")).select(
+        "*", "r.*").withColumn("position", F.col("position").cast("bigint")).drop("r")
+
+
+@query
+def score_report(spark, folder):
+    path = jobs.score_job(spark, faulty(spark, folder), workspace(spark, "score"))
+    report = spark.read.schema(
+        "score double, status string, failure_reason string, dataset_name string,"
+        " category_scores map<string,struct<score:double,max_score:double,details:string>>").json(path)
+    return report.select("dataset_name", F.col("score").alias("health_score"), "status", "failure_reason",
+                         F.explode("category_scores").alias("dimension", "d")).select("*", "d.*").drop("d")
+
+
+@query
+def lineage_sidecar(spark, folder):
+    """The sidecar beside the published snapshot."""
+    store, _ = _etl(spark, folder)
+    output = store.lineage().filter("stage = 'load'").first()["path"]
+    report = spark.read.schema(
+        "dataset_name string, extraction struct<rows_extracted:bigint>, transformation struct<audit_log:map<string,string>>,"
+        " load struct<output_path:string>").json(f"{output}.lineage.json")
+    audit = F.col("transformation.audit_log")
+    return report.select(
+        "dataset_name", "extraction.rows_extracted", audit["rows_in"].cast("bigint").alias("rows_in"),
+        audit["rows_out"].cast("bigint").alias("rows_out"), audit["columns_added"].alias("columns_added"),
+        (F.col("load.output_path") == output).cast("bigint").alias("beside_its_output"))
+
+
 @query
 def csv_scan(spark, folder):
     """The table written as CSV and read with inferred types: values survive the round trip."""

@@ -22,7 +22,7 @@ from assaykit.operators.measure import EXACT, ROW
 from assaykit.operators.profiling import profile, profile_document
 from assaykit.operators.scoring import score
 from assaykit.operators.validation import run_isolated, summary
-from assaykit.session import stored
+from assaykit.session import Staging
 from assaykit.sources.readers import POSITION, Extraction, extract_csv
 from assaykit.sources.sinks import (
     quality_document, score_document, stamp, write_json, write_lineage_sidecar)
@@ -65,34 +65,37 @@ def profile_job(spark: SparkSession, source: DataFrame | str, output: str | None
     CSV text is parsed once into columns; figures and distinct values are then stored for the
     sections that share them.
     """
-    extraction = _extract(spark, source, keep_order=True, settings=settings)
-    df = extraction.df
-    order = POSITION if POSITION in df.columns else None
-    if order:
-        df = stored(df, "profile-source")
-    sections = profile(df, settings, row_key, order, stored)
-    return write_json(profile_document(sections, dataset), output, "profile")
+    with Staging(spark) as stage:
+        extraction = _extract(spark, source, keep_order=True, settings=settings)
+        df = extraction.df
+        order = POSITION if POSITION in df.columns else None
+        if order:
+            df = stage(df, "profile-source")
+        sections = profile(df, settings, row_key, order, stage)
+        return write_json(profile_document(sections, dataset), output, "profile")
 
 
 def validate_job(spark: SparkSession, source: DataFrame | str, output: str | None = None,
                  dataset: str = DATASET, checks: Sequence[Check] | None = None, by: Sequence[str] = (),
                  settings: Settings | None = None, row_key: str = ROW) -> str:
-    """Validate a source, or each of its batches, and write the quality report."""
-    df = _extract(spark, source, settings=settings).df
-    return run_isolated(
-        df, lambda report: write_json(quality_document(report, dataset), output, "quality"),
-        checks, by, settings, row_key)
+    """Validate a source, or each of its batches, and write the quality report with the seconds that the checks took."""
+    with Staging(spark) as stage:
+        df = _extract(spark, source, settings=settings).df
+        timer = perf_counter()
+        report = run_isolated(df, lambda r: stage(r, "quality"), checks, by, settings, row_key, stage)
+        return write_json(quality_document(report, dataset, round(perf_counter() - timer, 4)), output, "quality")
 
 
 def score_job(spark: SparkSession, source: DataFrame | str, output: str | None = None,
               dataset: str = DATASET, checks: Sequence[Check] | None = None, by: Sequence[str] = (),
               settings: Settings | None = None, row_key: str = ROW) -> str:
     """Validate and score, and write the score report."""
-    df = _extract(spark, source, settings=settings).df
     output = output or f"{(settings or Settings.from_env()).reports_path}/health_score_latest.json"
-    return run_isolated(
-        df, lambda report: write_json(score_document(score(report, settings), dataset), output),
-        checks, by, settings, row_key)
+    with Staging(spark) as stage:
+        df = _extract(spark, source, settings=settings).df
+        return run_isolated(
+            df, lambda report: write_json(score_document(score(report, settings), dataset), output),
+            checks, by, settings, row_key, stage)
 
 
 def store_job(spark: SparkSession, source: DataFrame | str, store: HistoryStore,
@@ -101,9 +104,12 @@ def store_job(spark: SparkSession, source: DataFrame | str, store: HistoryStore,
     """Validate, score and store one run, or one run per batch if ``by`` is ``["run_id"]``."""
     started = datetime.now(timezone.utc)
     store.create()
-    df = _extract(spark, source, settings=settings).df
-    report = run_isolated(df, lambda r: store.stage(r, "quality"), checks, by, settings, row_key)
-    return store.save_runs(score(report, settings), pipeline_name, started, datetime.now(timezone.utc))
+    try:
+        df = _extract(spark, source, settings=settings).df
+        report = run_isolated(df, lambda r: store.stage(r, "quality"), checks, by, settings, row_key, store.stage)
+        return store.save_runs(score(report, settings), pipeline_name, started, datetime.now(timezone.utc))
+    finally:
+        store.clear()
 
 
 def lineage_rows(spark: SparkSession, dataset: str, lineage_id: str, source: str, extracted: int,
@@ -134,12 +140,12 @@ def run_etl(spark: SparkSession, source: DataFrame | str, root: str,
 
     One pass over the source writes the staged snapshot and counts extracted rows, values that
     cannot be transformed and missing values that cannot be stored. The checks then read the
-    staged Parquet. The snapshot becomes current when the run row is written, so a failure at any
-    stage leaves the old one in place.
+    staged Parquet. The snapshot becomes current when the run is committed, so a failure at any
+    stage leaves the old one in place; what the failed run had written is deleted.
     """
     started, timer = datetime.now(timezone.utc), perf_counter()
     counts = {"extracted": 0, "transformed": 0, "loaded": 0}
-    stage = "EXTRACT"
+    stage, store, path = "EXTRACT", None, None
     try:
         extraction = _extract(spark, source, settings=settings)
         counts["extracted"] = extraction.rows or 0
@@ -156,7 +162,8 @@ def run_etl(spark: SparkSession, source: DataFrame | str, root: str,
         stage = "LOAD"
         store = HistoryStore(spark, root).create()
         run_id = store.next_run_id()
-        path, sent = store.stage_snapshot(transformed, run_id)
+        path = store.snapshot_path(run_id)
+        sent = store.stage_snapshot(transformed, path)
         found = seen.get
         counts["extracted"] = found["rows"]
         message = tf.problem_message(found)
@@ -174,7 +181,7 @@ def run_etl(spark: SparkSession, source: DataFrame | str, root: str,
             frame = tf.from_snapshot(staged, dict(transformed.dtypes)).select(*transformed.columns)
         else:  # further source columns are validated but not stored
             frame = tf.transform(raw, settings, tf.number_kinds(raw))
-        report = run_isolated(frame, lambda r: store.stage(r, "quality"), checks, (), settings, row_key)
+        report = run_isolated(frame, lambda r: store.stage(r, "quality"), checks, (), settings, row_key, store.stage)
 
         stage = "SCORE"
         scored = score(report, settings)
@@ -184,19 +191,22 @@ def run_etl(spark: SparkSession, source: DataFrame | str, root: str,
                  "columns_added": "IsCancellation, Revenue", "rows_removed": 0}
         lineage = lineage_rows(spark, dataset, stamp(), extraction.source, counts["extracted"], extracted_at,
                                audit, counts["transformed"], transformed_at, path, counts["loaded"], loaded_at)
-        store.record_lineage(lineage)
         write_lineage_sidecar(lineage, path)
-        saved = store.save_runs(scored.withColumn("run_id", F.lit(run_id).cast("bigint")), pipeline_name,
-                                started, datetime.now(timezone.utc), "SUCCESS", (path, counts["loaded"]))
-
-        outcome = saved.first()
-        totals = summary(report).first()
+        totals, health_score = summary(report).first(), scored.first()["health_score"]
+        store.save_runs(scored.withColumn("run_id", F.lit(run_id).cast("bigint")), pipeline_name, started,
+                        datetime.now(timezone.utc), "SUCCESS", (path, counts["loaded"]), lineage)  # the last step that can fail
+        path = None
         return EtlResult(
             pipeline_name, "SUCCESS", started, datetime.now(timezone.utc), round(perf_counter() - timer, 4),
-            counts["extracted"], counts["transformed"], counts["loaded"], outcome["health_score"],
+            counts["extracted"], counts["transformed"], counts["loaded"], health_score,
             totals["failed"], totals["warnings"], run_id)
     except Exception as error:
         return EtlResult(
             pipeline_name, "FAILED", started, datetime.now(timezone.utc), round(perf_counter() - timer, 4),
             counts["extracted"], counts["transformed"], counts["loaded"], error_stage=stage,
             error_message=str(error))
+    finally:
+        if store is not None:
+            store.clear()
+            if path is not None:
+                store.discard_snapshot(path)

@@ -457,6 +457,27 @@ TWINS: dict[str, str] = {
     "lineage_log": CLEAN + """SELECT 'Online Retail' AS dataset_name,
           unnest(['extraction', 'transformation', 'load']) AS stage, n AS rows FROM (SELECT count(*) AS n FROM retail)""",
     "stored_batches": HISTORY + """SELECT run_id, pipeline_name, status, rows_processed, health_score FROM runs""",
+    "compacted_batches": HISTORY + """SELECT run_id, rows_processed, health_score, results_stored FROM runs
+          JOIN (SELECT run_id, count(*) AS results_stored FROM found GROUP BY run_id) USING (run_id) WHERE run_id % 5 <> 0""",
+    "profile_report": CHECKED + "\nUNION ALL ".join([
+        *(f"SELECT 'columns' AS section, CAST({i} AS BIGINT) AS position, '{c}' AS name, CAST({_q('null_' + c)} AS DOUBLE) AS value"
+          " FROM metrics" for i, c in enumerate(COLUMNS)),
+        *(f"SELECT 'numeric', {i}, '{c}', round(median({_q(c)})::double, 4) FROM retail"
+          for i, c in enumerate(("Quantity", "UnitPrice", "CustomerID"))),
+        *(f"SELECT 'missing_per_column', {i}, '{c}', CAST({_q('null_' + c)} AS DOUBLE) FROM metrics"
+          for i, c in enumerate(("Description", "CustomerID"))),
+        """SELECT 'top_countries', row_number() OVER (ORDER BY n DESC, country) - 1, country, CAST(n AS DOUBLE)
+          FROM (SELECT "Country" AS country, count(*) AS n FROM retail GROUP BY 1 ORDER BY n DESC, country LIMIT 5)""",
+        "SELECT 'quality_flags', 0, 'HIGH_MISSING_CUSTOMER_ID', 1.0 FROM metrics",
+        "SELECT 'quality_flags', 1, 'DUPLICATE_ROWS_DETECTED', 0.0 FROM metrics"]),
+    "quality_report": CHECKED_FAULTY + """SELECT 'Online Retail' AS dataset_name, CAST(1 AS BIGINT) AS timed, n AS total_rows,
+          (SELECT count(*) FROM found) AS total_checks, (SELECT count(*) FROM found WHERE status = 'FAIL') AS failed,
+          check_order AS position, check_name, status, affected_rows, affected_percentage AS affected_pct, affected_percentage
+          FROM found, metrics""",
+    "score_report": CHECKED_FAULTY + """SELECT 'Online Retail' AS dataset_name, health_score, health_label AS status,
+          NULL::VARCHAR AS failure_reason, dimension, score, max_score, details FROM dimensions, scores""",
+    "lineage_sidecar": CLEAN + """SELECT 'Online Retail' AS dataset_name, n AS rows_extracted, n AS rows_in, n AS rows_out,
+          'IsCancellation, Revenue' AS columns_added, CAST(1 AS BIGINT) AS beside_its_output FROM (SELECT count(*) AS n FROM retail)""",
     "csv_scan": CLEAN + """SELECT "Country" AS country, count(*) AS rows, CAST(sum("Quantity") AS BIGINT) AS quantity,
           count("CustomerID") AS with_customer, count("Description") AS with_description,
           min("InvoiceDate") AS first_date,

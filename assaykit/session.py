@@ -53,3 +53,42 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     path = workspace(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.parquet(path)
+
+
+def files_of(spark: SparkSession, path: str):
+    """File system and path object of a location."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, target = files_of(spark, path)
+    files.delete(target, True)
+
+
+class Staging:
+    """Ledger of what a job writes on its way: all of it is deleted when the block ends, also if it fails.
+
+    Used as ``with Staging(spark) as stage``; ``stage(rows, name)`` is :func:`stored` with an entry in the ledger. Results that still
+    read from it must be written or collected within the block.
+    """
+
+    def __init__(self, spark: SparkSession, base: str | None = None) -> None:
+        self.spark, self.base, self.paths = spark, base, []
+
+    def path(self, name: str) -> str:
+        path = f"{self.base}/{name}-{uuid.uuid4().hex}" if self.base else workspace(self.spark, name)
+        self.paths.append(path)
+        return path
+
+    def __call__(self, rows: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
+        rows.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *_) -> None:
+        while self.paths:
+            delete(self.spark, self.paths.pop())

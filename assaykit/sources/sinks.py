@@ -12,6 +12,7 @@ from assaykit.functions.values import ref
 from assaykit.operators.validation import RESULTS, summary
 
 INSERT_BATCH = 10_000
+NULLS_KEPT = {"ignoreNullFields": "false"}
 
 
 def stamp() -> str:
@@ -43,7 +44,7 @@ def quality_document(report: DataFrame, dataset_name: str, duration_seconds: flo
         "total_rows",
         F.struct("total_checks", "passed", "warnings", "failed", "info").alias("summary"),
         listed.alias("results"),
-    )).alias("value"))
+    ), NULLS_KEPT).alias("value"))
 
 
 def score_document(scored: DataFrame, dataset_name: str) -> DataFrame:
@@ -63,7 +64,7 @@ def score_document(scored: DataFrame, dataset_name: str) -> DataFrame:
         "failure_reason",
         F.struct(F.lit(1.0).alias("PASS"), F.lit(1.0).alias("INFO"), F.lit(0.5).alias("WARNING"),
                  F.lit(0.0).alias("FAIL")).alias("scoring_rules"),
-    )).alias("value"))
+    ), NULLS_KEPT).alias("value"))
 
 
 def lineage_document(lineage: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def lineage_document(lineage: DataFrame) -> DataFrame:
         stage("transformation", F.col("audit").alias("audit_log")),
         stage("load", F.col("path").alias("output_path")),
     )
-    return records.select(F.to_json(F.struct(*records.columns)).alias("value"))
+    return records.select(F.to_json(F.struct(*records.columns), NULLS_KEPT).alias("value"))
 
 
 def write_lineage_sidecar(lineage: DataFrame, output_path: str | None) -> str:

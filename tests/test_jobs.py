@@ -1,9 +1,11 @@
 import json
+import uuid
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from assaykit import HistoryStore, load_csv, transform
+from assaykit import HistoryStore, load_csv, session, transform
 from assaykit.__main__ import main
 from assaykit.operators import marts
 from assaykit.operators.transform import (
@@ -118,6 +120,47 @@ def test_late_failure_keeps_the_old_snapshot(spark, csv, root, monkeypatch, stag
     assert store.runs().count() == 1 and store.snapshot().agg(F.max("quantity")).first()[0] == 6.0
 
 
+def files_below(folder):
+    return sorted(str(p.relative_to(folder)) for p in Path(folder).rglob("*") if p.is_file() and not p.name.startswith("."))
+
+
+@pytest.mark.parametrize("target", ["run_isolated", "score", "stamp", "summary", "write_lineage_sidecar"])
+def test_a_failed_run_leaves_nothing(spark, csv, root, monkeypatch, target):
+    assert jobs.run_etl(spark, csv(), root).status == "SUCCESS"
+    before = files_below(root)
+    assert not any("_staged" in f for f in before)
+    monkeypatch.setattr(jobs, target, lambda *args, **kwargs: 1 / 0)
+    assert jobs.run_etl(spark, csv({"Quantity": "600"}), root).status == "FAILED"
+    assert jobs.run_etl(spark, csv({"UnitPrice": ""}), root).error_stage == "LOAD"
+    assert files_below(root) == before
+
+
+def test_a_failed_commit_leaves_nothing(spark, csv, root, monkeypatch):
+    assert jobs.run_etl(spark, csv(), root).status == "SUCCESS"
+    before = files_below(root)
+    write = HistoryStore._write
+
+    def stop(self, rows, name, attempt, runs):
+        write(self, rows, name, attempt, runs)
+        if name == "runs":
+            raise RuntimeError("stopped")
+    monkeypatch.setattr(HistoryStore, "_write", stop)
+    assert jobs.run_etl(spark, csv(), root).error_stage == "PERSIST"
+    assert files_below(root) == before
+
+
+def test_working_folders_are_empty_afterwards(spark, csv, tmp_path, monkeypatch):
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(session, "workspace", lambda spark, name: f"{shared}/{name}-{uuid.uuid4().hex}")
+    for job in (jobs.profile_job, jobs.validate_job, jobs.score_job):
+        job(spark, csv(), str(tmp_path / "report.json"), row_key="exact")
+        assert shared.exists() and files_below(shared) == []
+    monkeypatch.setattr(jobs, "write_json", lambda *args: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        jobs.profile_job(spark, csv(), str(tmp_path / "report.json"))
+    assert files_below(shared) == []
+
+
 def test_new_snapshot_replaces_the_old_one(spark, csv, root):
     jobs.run_etl(spark, csv(), root)
     result = jobs.run_etl(spark, csv(rows=ROWS[:1]), root)
@@ -134,7 +177,8 @@ def test_no_snapshot_yet(spark, root):
 
 def test_lost_rows_are_noticed(spark, csv, root):
     store = HistoryStore(spark, root).create()
-    path, counts = store.stage_snapshot(transform(load_csv(spark, csv())), 1)
+    path = store.snapshot_path(1)
+    counts = store.stage_snapshot(transform(load_csv(spark, csv())), path)
     with pytest.raises(IntegrityError, match="expected 3, loaded 2"):
         store.verify_snapshot(path, {**counts, "rows_loaded": 3})
 
@@ -163,13 +207,19 @@ def test_reports(spark, csv, tmp_path):
 
     quality = read(jobs.validate_job(spark, source, str(tmp_path / "q.json"), "Retail"))
     assert quality["summary"] == {"total_checks": 16, "passed": 15, "warnings": 1, "failed": 0, "info": 0}
+    assert quality["duration_seconds"] > 0 and [r["check_name"] for r in quality["results"]][:2] == ["column_presence", "unexpected_columns"]
     price = next(r for r in quality["results"] if r["check_name"] == "unit_price_validity")
     assert price["affected_pct"] == price["affected_percentage"] == 50.0
     scored = read(jobs.score_job(spark, source, str(tmp_path / "s.json"), "Retail"))
     assert (scored["score"], scored["status"], scored["dataset_name"]) == (96.67, "Healthy", "Retail")
     assert scored["category_scores"]["validity"]["details"] == "2.5/3 rule points earned."
     profiled = read(jobs.profile_job(spark, source, str(tmp_path / "p.json"), "Retail"))
-    assert profiled["columns"][0]["sample_values"] == ["536365", "C536366"] or len(profiled["columns"]) == 8
+    assert profiled["columns"][0]["sample_values"] == ["536365", "C536366"]
+    assert [c["name"] for c in profiled["columns"]] == NAMES
+    assert [c["name"] for c in profiled["numeric"]] == ["Quantity", "UnitPrice", "CustomerID"]
+    assert profiled["numeric"][2]["std"] == 0.0 and "error" in profiled["date_analysis"][0]
+    one = read(jobs.profile_job(spark, csv(rows=ROWS[:1]), str(tmp_path / "one.json"), "Retail"))
+    assert one["numeric"][0]["std"] is None
 
 
 def test_store_job(spark, csv, root, table, sale):

@@ -14,7 +14,8 @@ from assaykit.session import stored, workspace
 from assaykit.sources.retail import retail
 
 FOLDER = "/root/testdata/sf0.001"
-EAGER = {"etl_snapshot", "etl_run", "lineage_log", "stored_batches", "csv_scan"}
+EAGER = {"etl_snapshot", "etl_run", "lineage_log", "stored_batches", "csv_scan", "compacted_batches",
+         "profile_report", "quality_report", "score_report", "lineage_sidecar"}
 
 
 def plan(df):
