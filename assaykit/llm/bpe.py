@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from assaykit.llm.common import mapped, texts
-from assaykit.llm.tokens import KEPT, Pieces, ids_of
+from assaykit.llm.tokens import Pieces, ids_of
 
 LONGEST = 128
 #: Words per recursive query, ids per decoding query, and text worked on at once in bytes; they bound the memory of a task.
@@ -55,11 +55,11 @@ _LOADED: dict[tuple[str, str], "Codec"] = {}
 
 
 class Codec:
-    """The tables of one rank file in a DuckDB of this process, and the ids of words seen before."""
+    """The tables of one rank file in a DuckDB of this process, and the ids of pieces seen before."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern, self.known = ranks, regex.compile(pattern), {}
-        self.bytes = [ranks[bytes([i])] for i in range(256)]
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.pieces = Pieces(self.encode)
         pairs = [(ranks[b[:k]], ranks[b[k:]], i) for b, i in ranks.items() for k in range(1, len(b))
                  if b[:k] in ranks and b[k:] in ranks]
@@ -81,22 +81,24 @@ class Codec:
             self.db.unregister(name)
 
     def encode(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece; ``self.pieces`` remembers them, so words are contracted once for each new piece."""
         words = [self.pattern.findall(x) for x in pieces]
-        new = sorted({w for row in words for w in row} - self.known.keys())
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = sorted({w for row in words for w in row})
+        new = list(dict.fromkeys(w for row in words for w in row))
         raw = [w.encode() for w in new]
+        known = {}
         short = [i for i, w in enumerate(raw) if len(w) <= LONGEST]
         for k in range(0, len(short), WORDS):
             part = short[k:k + WORDS]
-            tokens = pa.array([[self.bytes[c] for c in raw[i]] for i in part], pa.list_(pa.int32()))
-            out = self.query(ENCODE, "begin", {"word": pa.array(range(len(part)), pa.int32()), "tokens": tokens})
-            for i, ids in zip(part, out.column("tokens").to_pylist()):
-                self.known[new[i]] = np.array(ids, np.int32).tobytes()
-        long = {new[i]: np.array(contract([self.bytes[c] for c in w], self.ranks, raw[i]), np.int32).tobytes()
-                for i, w in enumerate(raw) if len(w) > LONGEST}
-        return [b"".join(self.known[w] if w in self.known else long[w] for w in row) for row in words]
+            ends = np.cumsum([0, *(len(raw[i]) for i in part)]).astype(np.int32)
+            tokens = self.bytes[np.frombuffer(b"".join(raw[i] for i in part), np.uint8)]
+            out = self.query(ENCODE, "begin", {"word": pa.array(np.arange(len(part), dtype=np.int32)),
+                                               "tokens": pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))})
+            lists = out.column("tokens").combine_chunks()
+            ends, ids = (lists.offsets.to_numpy() * 4).tolist(), lists.values.to_numpy(zero_copy_only=False).tobytes()
+            known.update((new[i], ids[a:b]) for i, a, b in zip(part, ends[:-1], ends[1:]))
+        known.update((new[i], np.array(contract([int(self.bytes[c]) for c in w], self.ranks, w), np.int32).tobytes())
+                     for i, w in enumerate(raw) if len(w) > LONGEST)
+        return [known[row[0]] if len(row) == 1 else b"".join(map(known.__getitem__, row)) for row in words]
 
     def decode(self, lists: list[np.ndarray]) -> list[bytes]:
         """Bytes of each list of ids, queried in parts of at most ``IDS`` ids."""

@@ -2,11 +2,14 @@
 
 A byte-level pre-tokenizer always begins a new piece at a space that follows a character other than white space. So a
 text may be cut there, and equal pieces get equal ids. Texts in which white space stands before a space are encoded whole.
+It also begins a new piece where a mark other than an apostrophe follows a letter, so the marks that end a word are cut off, and a word
+is met once whatever follows it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -16,30 +19,47 @@ from assaykit.llm.common import flat
 
 #: White space (as in Unicode's property of that name) before a space.
 UNEVEN = r"[\s\x0b\x{85}\p{Z}] "
-#: Pieces kept per worker process; beyond that the memory is emptied and filled anew.
+#: Pieces kept per worker process, in two generations: when the younger is full it becomes the older, and the older is dropped. A piece that
+#: is met again moves to the younger one, so frequent pieces stay.
 KEPT = 400_000
 LONGEST_KEPT = 64
+MARKS = punctuation.replace("'", "")
 
 
 class Pieces:
     """Remembers the ids of pieces; ``encode`` gives those of new ones."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known = encode, {}
+        self.encode, self.known, self.older = encode, {}, {}
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece as 32-bit integers in a row."""
-        found = list(map(self.known.get, pieces))
-        new = [i for i, x in enumerate(found) if x is None]
-        if new:
-            if len(self.known) + len(new) > KEPT:
-                self.known.clear()
-            for i, ids in zip(new, self.encode([pieces[i] for i in new])):
-                found[i] = ids
-                if len(pieces[i]) <= LONGEST_KEPT:
-                    self.known[pieces[i]] = ids
+        words, ends = [], {}
+        for i, piece in enumerate(pieces):
+            word = piece.rstrip(MARKS)
+            if len(word) < len(piece) and word and word[-1].isalpha():
+                ends[i] = piece[len(word):]
+            else:
+                word = piece
+            words.append(word)
+        found = self.each(words)
+        for i, ids in zip(ends, self.each(list(ends.values()))):
+            found[i] += ids
         return found
 
+    def each(self, pieces: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, pieces))
+        missed = dict.fromkeys(p for p, ids in zip(pieces, found) if ids is None)
+        if not missed:
+            return found
+        now = {p: ids for p in missed if (ids := self.older.get(p)) is not None}
+        new = [p for p in missed if p not in now]
+        now.update(zip(new, self.encode(new) if new else ()))
+        if len(self.known) + len(now) > KEPT // 2:
+            self.known, self.older = {}, self.known
+        self.known.update((p, ids) for p, ids in now.items() if len(p) <= LONGEST_KEPT)
+        return [now[p] if ids is None else ids for p, ids in zip(pieces, found)]
+
 
 def ids_of(column: pa.Array, pieces: Pieces) -> pa.ListArray:
     """The ids of each text."""
