@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ def pieces(path: str) -> Pieces:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _LOADED[path] = Pieces(lambda new: [np.array(x.ids, np.int32).tobytes()
+        _LOADED[path] = Pieces(lambda new: [array("i", x.ids).tobytes()
                                             for x in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
     return _LOADED[path]
 
