@@ -1,11 +1,15 @@
 """Personal data in whole texts, with DataFrame and SQL functions only.
 
 Base kinds are e-mail and IP addresses, card numbers and phone numbers by their patterns and checks. More spans come from
-candidates: generators of high recall propose overlapping spans, boosted trees judge each by its format and context, and a span is
-added if its calibrated probability reaches ``precision`` and no base span overlaps it. The trees learn from base spans
-against matches of the base patterns and candidates that are none, on at most ``most`` documents. What decides a base
-span (a plus sign, the check digit) is no feature, so lookalikes in the same surroundings are found. Fitted trees are SQL
-expressions, so a text is read once and nothing is shuffled.
+candidates: generators of high recall propose overlapping spans (spelled addresses, numbers and phone numbers without a plus sign, national
+identifiers and account numbers, secrets), boosted trees judge each by its format and context, and a span is added if its calibrated
+probability reaches ``precision`` and no base span overlaps it (but a secret may hold base spans).
+
+Labels to learn from are votes that no tree sees as such: a candidate is right if it overlaps a base span, passes its kind's check
+(``mod 97`` of an account number, the number ranges of an identifier, both signs of an address spelled out), or stands behind a word that announces
+it and has the digits for it. The trees learn on at most ``most`` different texts, chosen by hash; isotonic regression per kind turns their scores into
+probabilities, counted over the candidates of all documents (at most 101 rows a kind reach the driver). Fitted trees are SQL
+expressions, so a text is read once more and nothing but these counts is shuffled. Equal texts get equal spans.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans, repeated rows have the same ones, other columns are
 left out. Patterns do not go back over what they have read, so long runs take time in proportion to their length.
@@ -37,18 +41,21 @@ CANDIDATES = {
     "maybe_phone": r"(?<![0-9A-Za-z])(?:\([0-9]{2,5}\)[ ]?)?[0-9]{2,5}(?:[ ./-][0-9]{2,5}){1,5}(?![0-9A-Za-z])",
     "maybe_number": r"(?<![0-9A-Za-z])[0-9]{6,19}(?![0-9A-Za-z])",
     "maybe_email": rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]{{1,64}}+ ?(?:\(at\)|\[at\]| at |@) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z]{{2,12}})++",
-    "maybe_id": r"(?<![0-9A-Za-z])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7})(?![0-9A-Za-z])",
+    "maybe_id": r"(?<![0-9A-Za-z])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])",
+    "maybe_secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+",
 }
 BEFORE, AFTER = 24, 8
 CONTEXT = r"(?i)(?:phone|tel|call|fax|mobile|mail|contact|card|visa|credit|account|iban|ssn|address|reach|write)\W{0,4}\w{0,8}\W{0,3}$"
 SECRET = r"(?i)(?:pass\w*|token|key|secret|hash|id|version|v|no|nr)\W{0,4}\w{0,40}$"
+ANNOUNCED = r"(?i)(?:phone|tel|call|fax|mobile|mail|contact|reach|write)\W{0,4}$"
+SECRET_NAME = r"(?i)(?:pass(?:word|wd|phrase)?|token|secret|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s{0,2}[:=]\s{0,2}[\"']?$"
 FEATURES = ("digits", "length", "spaces", "hyphens", "dots", "brackets", "letters", "groups", "longest", "at", "left", "right", "context",
             "secret")
 
 
 #: What a text must contain for any match of a pattern; texts without it are not searched.
 NEEDS = {"email": "at", "ip": "digit", "card": "digit", "phone": "plus", "maybe_phone": "digit", "maybe_number": "digit",
-         "maybe_email": "spelled", "maybe_id": "digit"}
+         "maybe_email": "spelled", "maybe_id": "digit", "maybe_secret": "digit"}
 
 
 def with_matches(docs: DataFrame, patterns: dict[str, str], prefix: str) -> DataFrame:
@@ -58,7 +65,7 @@ def with_matches(docs: DataFrame, patterns: dict[str, str], prefix: str) -> Data
     """
     text = F.col("text")
     needs = {"at": text.contains("@"), "plus": text.contains("+"), "digit": F.col("has_digit"),
-             "spelled": text.contains("@") | text.contains("(at)") | text.contains("[at]") | text.contains(" dot ")}
+             "spelled": text.contains("@") | text.contains("(at)") | text.contains("[at]") | text.contains(" at ")}
     none = F.array().cast("array<string>")
     docs = docs.withColumns({f"_{name}": F.when(needs[NEEDS[name]], F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
                              .otherwise(none) for name, pattern in patterns.items()})
@@ -119,11 +126,39 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
+def before_of(span: Column, text: Column) -> Column:
+    from_ = F.greatest(span["start"] - BEFORE, F.lit(0))
+    return F.substring(text, from_ + 1, span["start"] - from_)
+
+
+def account_number(text: Column) -> Column:
+    """Whether the remainder by 97 is 1, the first four characters moved to the end and letters read as 10 to 35."""
+    plain = F.replace(text, F.lit(" "), F.lit(""))
+    moved = F.split(F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4)), "")
+    value = lambda c: F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(F.filter(moved, lambda c: c != ""), F.lit(0),
+                       lambda acc, c: (F.when(c.rlike("[0-9]"), acc * 10).otherwise(acc * 100) + value(c)) % 97)
+    return F.length(plain).between(15, 34) & (rest == 1)
+
+
+def vote(kind: str, span: Column, text: Column) -> Column:
+    """Whether the check of a generator's kind, or the word before it together with its digits, says that a span is right."""
+    s, before = span["text"], before_of(span, text)
+    n = F.length(digits(s))
+    if kind == "maybe_email":
+        return s.rlike(r"@|\(at\)|\[at\]") | (s.rlike(" at ") & s.rlike(r" dot |\(dot\)|\[dot\]")) | before.rlike(ANNOUNCED)
+    if kind == "maybe_id":
+        ranges = s.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
+        return F.when(s.rlike("^[0-9]"), ranges).otherwise(account_number(s))
+    if kind == "maybe_secret":
+        return before.rlike(SECRET_NAME) & (n >= 2) & s.rlike("[A-Za-z]")
+    return before.rlike(ANNOUNCED) & n.between(7, 15)
+
+
 def features(span: Column, text: Column) -> Column:
     """Array of FEATURES of a span, without a plus sign before it or a check digit in it."""
     s = span["text"]
-    from_ = F.greatest(span["start"] - BEFORE, F.lit(0))
-    before = F.regexp_replace(F.substring(text, from_ + 1, span["start"] - from_), r"[ (+]+$", " ")
+    before = F.regexp_replace(before_of(span, text), r"[ (+]+$", " ")
     after = F.substring(text, span["end"] + 1, F.lit(AFTER))
     parts = F.regexp_extract_all(s, F.lit("[0-9]+"), F.lit(0))
     values = (
@@ -136,11 +171,11 @@ def features(span: Column, text: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Adds ``candidates``: generator, span and features of every proposed span."""
+    """Adds ``candidates``: generator, span, features and vote of every proposed span."""
     def proposed(name: str) -> Column:
         return F.transform(f"of_{name}", lambda x: F.struct(
             F.lit(name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"),
-            features(x, F.col("text")).alias("f")))
+            features(x, F.col("text")).alias("f"), vote(name, x, F.col("text")).alias("vote")))
 
     docs = with_matches(docs, CANDIDATES, "of_")
     return docs.withColumn("candidates", F.concat(*map(proposed, CANDIDATES))).drop(*(f"of_{n}" for n in CANDIDATES))
@@ -150,29 +185,48 @@ def base_spans() -> Column:
     return F.concat(*(F.col(k) for k in KINDS))
 
 
-def fitted(docs: DataFrame, most: int, precision: float) -> tuple[list, float]:
-    """Trees, and the least score whose precision on spans that they have not seen reaches the target (2 if none does)."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """A row for each proposed span: its kind, label and features."""
+    rows = candidates(with_base(docs)).withColumn("base", base_spans())
+    # digits within a secret may pass for a number, which says nothing about the secret
+    right = F.col("c.vote") | ((F.col("c.kind") != "maybe_secret") & overlaps(F.col("c"), F.col("base")))
+    return (rows.select(F.explode("candidates").alias("c"), "base")
+            .select("c.kind", right.cast("double").alias("label"),
+                    F.pmod(F.xxhash64("c.text"), F.lit(2)).alias("side"),
+                    *(F.col("c.f")[i].alias(name) for i, name in enumerate(FEATURES))))
+
+
+def thresholds(steps: list, precision: float) -> dict[str, float]:
+    """For each kind the least score whose calibrated probability reaches the target; 2 where none does.
+
+    Isotonic regression over the steps of the score, ``steps`` being (kind, step, right, all).
+    """
+    out = {}
+    for kind in CANDIDATES:
+        pools: list[list[float]] = []  # first step, right, all; shares do not fall
+        for row in sorted((r for r in steps if r.kind == kind), key=lambda r: r.step):
+            pools.append([row.step, row.good, row.n])
+            while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+                _, good, n = pools.pop()
+                pools[-1][1:] = [pools[-1][1] + good, pools[-1][2] + n]
+        out[kind] = next((first / 100 for first, good, n in pools if good >= precision * n), 2.0)
+    return out
+
+
+def fitted(docs: DataFrame, most: int, precision: float) -> tuple[list, dict[str, float]]:
+    """Trees, and for each kind the least score that is accepted, calibrated on spans that the trees have not seen."""
     total = docs.count()
     share = min(1.0, most / total) if total else 1.0
     chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = candidates(with_base(chosen)).withColumn("base", base_spans())
-    spans = stored(rows.select(F.explode("candidates").alias("c"), "base")
-                   .select(overlaps(F.col("c"), F.col("base")).cast("double").alias("label"), F.xxhash64("c.text").alias("side"),
-                           *(F.col("c.f")[i].alias(name) for i, name in enumerate(FEATURES))), "spans")
-    trees = boosted.fit(spans.where("pmod(side, 2) = 0").select("label", *FEATURES), FEATURES, rounds=10)
+    chosen = chosen.groupBy(F.xxhash64("text").alias("doc_id")).agg(F.any_value("text").alias("text"))  # different texts
+    spans = stored(labelled(chosen), "spans")
+    trees = boosted.fit(spans.where("side = 0").select("label", *FEATURES), FEATURES, rounds=10)
     if not trees:
-        return [], 2.0
+        return [], {}
     raw = boosted.probability(trees, lambda i: F.col(FEATURES[i]))
-    steps = (spans.where("pmod(side, 2) = 1").groupBy(F.floor(raw * 100).alias("step"))
-             .agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy(F.desc("step")).collect())  # at most 101 rows
-    good, n, threshold = 0.0, 0, 2.0
-    for row in steps:
-        good, n = good + row.good, n + row.n
-        if row.good >= precision * (row.n + 1):
-            threshold = row.step / 100
-        else:
-            break
-    return trees, threshold
+    steps = (labelled(docs).where("side = 1").groupBy("kind", F.floor(raw * 100).cast("int").alias("step"))
+             .agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect())  # at most 101 rows a kind
+    return trees, thresholds(steps, precision)
 
 
 def listed(spans: Column) -> Column:
@@ -180,7 +234,7 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def spans_of(docs: DataFrame, trees: list, threshold: float) -> DataFrame:
+def spans_of(docs: DataFrame, trees: list, least: dict[str, float]) -> DataFrame:
     """doc_id, base and added spans as arrays of (start, rank, end, kind), and text."""
     def ranked(rank: int, kind: str) -> Column:
         return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"),
@@ -194,7 +248,11 @@ def spans_of(docs: DataFrame, trees: list, threshold: float) -> DataFrame:
     judged = candidates(base).withColumn("judged", F.transform("candidates", lambda x: F.struct(
         x["start"].alias("start"), (len(KINDS) + F.array_position(F.array(*map(F.lit, names)), x["kind"]).cast("int")).alias("rank"),
         x["end"].alias("end"), x["kind"].alias("kind"), score(x).alias("score"))))
-    taken = F.filter("judged", lambda x: (x["score"] >= threshold) & ~overlaps(x, F.col("base")))
+    accepted = F.create_map(*(F.lit(v) for kind in names for v in (kind, least[kind])))
+    # a secret may hold a base span, but no added span cuts into one or lies within one
+    clashing = lambda x: F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & ~(
+        (x["kind"] == "maybe_secret") & (x["start"] <= y["start"]) & (y["end"] <= x["end"]) & (y["end"] - y["start"] < x["end"] - x["start"])))
+    taken = F.filter("judged", lambda x: (F.floor(x["score"] * 100) >= F.round(accepted[x["kind"]] * 100)) & ~clashing(x))
     judged = judged.withColumn("taken", taken)
     # of overlapping proposals the longest stays, then the first generator's
     better = lambda x: F.exists("taken", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & (
@@ -207,8 +265,8 @@ def spans_of(docs: DataFrame, trees: list, threshold: float) -> DataFrame:
 def find(docs: DataFrame, most: int = MOST, precision: float = PRECISION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and added (arrays of start, rank, end and kind) of every row."""
     docs = texts(docs, id_col, text_col)
-    trees, threshold = fitted(docs, most, precision)
-    return spans_of(docs, trees, threshold).select("doc_id", *KINDS, "base", "added")
+    trees, least = fitted(docs, most, precision)
+    return spans_of(docs, trees, least).select("doc_id", *KINDS, "base", "added")
 
 
 def digest(spans: DataFrame) -> DataFrame:
@@ -221,8 +279,8 @@ def digest(spans: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, spans: Callable[[DataFrame], DataFrame] = find, mark: str = "[{}]") -> DataFrame:
     """doc_id and text with every span replaced by its kind."""
     given = texts(docs)
-    trees, threshold = fitted(given, MOST, PRECISION)
-    rows = spans_of(given, trees, threshold).select("doc_id", "text", F.array_sort(F.concat("base", "added")).alias("spans"))
+    trees, least = fitted(given, MOST, PRECISION)
+    rows = spans_of(given, trees, least).select("doc_id", "text", F.array_sort(F.concat("base", "added")).alias("spans"))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     before, after = mark.split("{}")
     done = F.aggregate("spans", begin, lambda acc, x: F.when(x["start"] >= acc["at"], F.struct(
