@@ -7,7 +7,7 @@ folder and reads it back for the next stage. All stages but the last return the
 * line_dedup: repeated runs of lines of fifty or more words go wherever they stand later; documents that consist of nothing else go.
 * ngram_join: of documents linked by a similarity of at least 0.8 of their five-word shingles one stays, that of the smallest id.
 * decontamination: documents that hold a benchmark passage go.
-* bpe: token ids of what is left, and whether they decode to the text they came from.
+* bpe: number and SHA-256 of the token ids of what is left, and SHA-256 of the bytes that they decode to.
 """
 
 from __future__ import annotations
