@@ -16,6 +16,8 @@ ROOT = str(Path(__file__).resolve().parents[2])
 #: Text that is worked on at once in a task, in bytes; one longer text makes a slice of its own.
 SLICE_BYTES = 4 << 20
 NO_ID = -(1 << 63)
+#: Most bits of a bitmap that sifts keys, whatever their number: 16 MB.
+BITS = 1 << 27
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,6 +102,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
+    """Which of ``bits`` remainders occur among the keys (column lsh): at most bits / 63 numbers come to the driver."""
+    bit = F.pmod("lsh", F.lit(bits))
+    words = (keys.select(F.floor(bit / 63).cast("long").alias("word"), F.pmod(bit, F.lit(63)).cast("int").alias("bit"))
+             .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")).toArrow())
+    number, mask = (words.column(c).to_numpy() for c in ("word", "mask"))
+    out = np.zeros(bits // 8 + 8, np.uint8)
+    for i in range(63):
+        at = number[(mask >> i) & 1 == 1] * 63 + i
+        np.bitwise_or.at(out, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+    return out
+
+
+def passing(keys: np.ndarray, sift: np.ndarray, count: int = BITS) -> np.ndarray:
+    """Which keys may be among those of a bitmap of ``count`` bits: all that are, and some others."""
+    bits = keys % count
+    return sift[bits >> 3] & (128 >> (bits & 7)).astype(np.uint8) != 0
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

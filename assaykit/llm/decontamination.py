@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import NO_ID, flat, mapped, mix, slices, text_key, texts
+from assaykit.llm.common import NO_ID, bitmap, flat, mapped, mix, passing, slices, text_key, texts
 from assaykit.session import stored
 
 #: Walks, keys of each walk, and steps sampled for a key; together they set the recall (see the tests).
@@ -36,8 +36,6 @@ GRAM = 5
 WALKED = 1 << 20
 MAX_EDIT = 0.1
 SHORTEST = 32
-#: Bits of the bitmap that sifts the keys of windows, whatever the number of items: 16 MB.
-BITS = 1 << 27
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[9, 10, 11, 12, 13]] = 32
 _PLAIN[65:91] += 32
@@ -133,24 +131,6 @@ def may_hold(region: set[bytes], item: list[bytes], most: int) -> bool:
     return sum(x in region for x in item) >= len(item) - GRAM * most
 
 
-def bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Which of ``bits`` remainders occur among the keys: at most bits / 63 numbers come to the driver."""
-    bit = F.pmod("lsh", F.lit(bits))
-    words = (keys.select(F.floor(bit / 63).cast("long").alias("word"), F.pmod(bit, F.lit(63)).cast("int").alias("bit"))
-             .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")).toArrow())
-    number, mask = (words.column(c).to_numpy() for c in ("word", "mask"))
-    out = np.zeros(bits // 8 + 8, np.uint8)
-    for i in range(63):
-        at = number[(mask >> i) & 1 == 1] * 63 + i
-        np.bitwise_or.at(out, at >> 3, (128 >> (at & 7)).astype(np.uint8))
-    return out
-
-
-def passing(keys: np.ndarray, sift: np.ndarray) -> np.ndarray:
-    bits = keys % BITS
-    return sift[bits >> 3] & (128 >> (bits & 7)).astype(np.uint8) != 0
-
-
 def item_keys(items: DataFrame, width: int) -> DataFrame:
     """item, shift and lsh of every window of every item."""
     def work(part: pa.RecordBatch) -> pa.RecordBatch:

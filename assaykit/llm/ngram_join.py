@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import NO_ID, flat, mapped, mix, slices, text_key, texts
+from assaykit.llm.common import BITS, NO_ID, bitmap, flat, mapped, mix, passing, slices, text_key, texts
 from assaykit.session import stored
 
 PARTS = 8
@@ -247,6 +247,22 @@ def open_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
             .select("node", "leader", "n", "n_leader", "sketch", "leader_sketch").mapInArrow(run, "node long, leader long"))
 
 
+def among(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """key, text_key and text of the rows that are probably chosen, so that other texts are not shuffled.
+
+    The bitmap has about 64 bits for a chosen row, ``BITS`` at most; with more rows it lets more others pass, and the join that
+    follows rules them out.
+    """
+    bits = min(BITS, max(1 << 16, 64 * chosen.count()))
+    place = F.xxhash64("key", "text_key").alias("lsh")
+    sift = bitmap(chosen.select(place), bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["key", "text_key", "text"]).filter(pa.array(passing(batch.column("lsh").to_numpy(), sift, bits)))
+    return docs.select("key", "text_key", "text", place).mapInArrow(run, "key long, text_key long, text string")
+
+
 def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (node, leader) whose overlaps, counted fragment by fragment and summed, make a link.
 
@@ -254,7 +270,7 @@ def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, perc
     """
     wanted = pairs.select("node").union(pairs.select("leader")).distinct()
     chosen = stored(nodes.join(wanted, "node", "left_semi").select("node", "first.key", "first.text_key"), "chosen")
-    held = stored(segments(docs.join(chosen, ["key", "text_key"]).select("node", "text"), words), "segments")
+    held = stored(segments(among(docs, chosen).join(chosen, ["key", "text_key"]).select("node", "text"), words), "segments")
     left = held.select("node", "part", F.col("n").alias("n_node"), F.col("grams").alias("own"))
     right = held.select(F.col("node").alias("leader"), "part", F.col("n").alias("n_leader"), F.col("grams").alias("other"))
     parts = (pairs.join(right, "leader").join(left, ["node", "part"])
