@@ -177,6 +177,17 @@ def test_members_that_miss_their_leader_still_meet(spark, monkeypatch, block_byt
     assert len({label[i] for i in range(1, 41)}) == 4
 
 
+def test_only_chosen_texts_are_shuffled_for_counting(spark):
+    """Every chosen row passes, few others do, and nothing passes where nothing is chosen."""
+    docs = spark.range(3000).selectExpr("id AS key", "id * 7 AS text_key", "concat('text ', id) AS text")
+    chosen = docs.where("key % 50 = 0").selectExpr("key AS node", "key", "text_key")
+    found = {r.key: r.text for r in ngram_join.among(docs, chosen).collect()}
+    assert {k: t for k, t in found.items() if k % 50 == 0} == {k: f"text {k}" for k in range(0, 3000, 50)}
+    assert len(found) < 200
+    assert ngram_join.among(docs, chosen.limit(0)).count() == 0
+    assert ngram_join.among(docs.limit(0), chosen).count() == 0
+
+
 def test_sketches_differ_by_no_more_than_the_sets():
     """Also those of sizes of two widths; the bound is close where sets differ as little as linked ones."""
     rng = np.random.default_rng(5)
