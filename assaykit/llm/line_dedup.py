@@ -115,8 +115,10 @@ def repeated(docs: DataFrame, min_words: int) -> DataFrame:
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns, the text without repeated runs, and removed_lines and n_lines (those that are not blank).
 
-    Blank lines within a removed run go with it; other blank lines stay.
+    Blank lines within a removed run go with it; other blank lines stay. Columns of the input that are named like the added
+    ones, in whatever case, are replaced by them.
     """
+    docs = docs.select(*(docs[c] for c in docs.columns if c.lower() not in ("removed_lines", "n_lines")))
     given = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"),
                                                  text_key("text").alias("text_key"), "text")
     runs = repeated(given, min_words).toDF("_runs_key", "_runs_text", "_runs")

@@ -201,6 +201,18 @@ def test_sketches_differ_by_no_more_than_the_sets():
         assert 0.8 * apart <= np.bitwise_count(a ^ b).sum() <= apart
 
 
+def test_line_dedup_with_clashing_columns_repeats_and_no_rows(spark):
+    """Names of added columns replace those of the input; rows with the same id and text are one document."""
+    line = prose(60, 5).replace("\n", " ")
+    given = [(1, line, "x", 9), (1, line, "x", 9), (2, f"a\n{line}", "y", 8), (3, f"{line}\nb\n{line}", None, 7), (4, None, "z", 6)]
+    df = spark.createDataFrame(given, "doc_id long, text string, Removed_Lines string, n_lines int")
+    out = line_dedup.dedup(df)
+    assert out.columns == ["doc_id", "text", "removed_lines", "n_lines"]
+    assert order(tuple(r) for r in out.collect()) == order(
+        [(1, line, 0, 1), (1, line, 0, 1), (2, "a", 1, 2), (3, "b", 2, 3), (4, None, 0, 0)])
+    assert line_dedup.dedup(df.limit(0)).collect() == []
+
+
 def test_line_dedup(spark):
     passage = "\n".join(prose(30, s) for s in (1, 2))
     given = [(1, f"first\n{passage}\nlast"), (2, f"other\n\n{passage}\ntail"), (3, prose(49, 5)), (4, prose(49, 5)), (5, None), (6, "")]
