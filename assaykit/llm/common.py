@@ -18,6 +18,7 @@ SLICE_BYTES = 4 << 20
 NO_ID = -(1 << 63)
 #: Most bits of a bitmap that sifts keys, whatever their number: 16 MB.
 BITS = 1 << 27
+_BIT = (128 >> np.arange(8)).astype(np.uint8)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,8 +118,8 @@ def bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
 
 def passing(keys: np.ndarray, sift: np.ndarray, count: int = BITS) -> np.ndarray:
     """Which keys may be among those of a bitmap of ``count`` bits: all that are, and some others."""
-    bits = keys % count
-    return sift[bits >> 3] & (128 >> (bits & 7)).astype(np.uint8) != 0
+    bits = keys & (count - 1) if count & (count - 1) == 0 else keys % count
+    return sift[bits >> 3] & _BIT[bits & 7] != 0
 
 
 def partitions(spark: SparkSession) -> int:

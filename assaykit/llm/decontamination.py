@@ -27,13 +27,13 @@ from assaykit.llm.common import NO_ID, bitmap, flat, mapped, mix, passing, slice
 from assaykit.session import stored
 
 #: Walks, keys of each walk, and steps sampled for a key; together they set the recall (see the tests).
-WALKS, KEYS, SAMPLED = 4, 8, 14
+WALKS, KEYS, SAMPLED = 4, 8, 14  # 16 sampled steps at most, as they are packed into two words
 #: Most bytes of a window and most bytes between the begins of two.
 WIDTH, STRIDE = 32, 16
 #: Bytes of the n-grams that rule out parts of texts before distances.
 GRAM = 5
 #: Text whose windows are walked at once in a task, in bytes.
-WALKED = 1 << 20
+WALKED = 1 << 18
 MAX_EDIT = 0.1
 SHORTEST = 32
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -52,23 +52,31 @@ class Walks:
                         for _ in range(WALKS)]
 
     def keys(self, buffer: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Keys of the windows that begin there, one row for each walk and sample."""
-        out = np.zeros((WALKS * KEYS, len(begins)), np.uint64)
-        padded = np.concatenate([buffer, np.zeros(1, np.uint8)])
-        ends = begins + self.width
+        """Keys of the windows that begin there, one row for each walk and sample.
+
+        Windows are laid out one after the other with zeros behind, which a walk past the end of its window reads. The bytes of a
+        key's steps are packed into two words.
+        """
+        count, room = len(begins), self.width + self.steps
+        laid = np.zeros((count, room), np.uint8)
+        if count:
+            laid[:, :self.width] = np.lib.stride_tricks.sliding_window_view(buffer, self.width)[begins]
+        laid, first = laid.ravel(), np.arange(count, dtype=np.int64) * room
+        out = np.empty((WALKS * KEYS, count), np.uint64)
         for w in range(WALKS):
-            of = {step: [k for k in range(KEYS) if step in self.sampled[w][k]] for step in range(self.steps)}
-            at = begins.copy()
+            read = np.zeros((KEYS, count, 16), np.uint8)
+            of = {step: [(k, steps.index(step)) for k, steps in enumerate(self.sampled[w]) if step in steps]
+                  for step in range(self.steps)}
+            at = first.copy()
             for step in range(self.steps):
-                inside = at < ends
-                seen = np.where(inside, padded[at], 0)
-                added = seen.astype(np.uint64) + np.uint64(1) if of[step] else None
-                for k in of[step]:
-                    row = out[w * KEYS + k]
-                    row *= np.uint64(0x100000001B3)
-                    row += added
-                at += self.moves[w, step][seen] & inside
-        return mix(out + np.arange(1, len(out) + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15))
+                seen = laid.take(at)
+                for k, place in of[step]:
+                    read[k, :, place] = seen
+                at += self.moves[w, step].take(seen)
+            for k, (low, high) in enumerate(np.moveaxis(read.view(np.uint64), 2, 1)):
+                tag = np.uint64(w * KEYS + k + 1)
+                out[w * KEYS + k] = mix(low * np.uint64(0x9E3779B97F4A7C15) + tag) + high
+        return mix(out)
 
 
 def plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
