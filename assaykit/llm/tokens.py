@@ -2,7 +2,7 @@
 
 A byte-level pre-tokenizer always begins a new piece at a space that follows a character other than white space. So a
 text may be cut there, and equal pieces get equal ids. Texts in which white space stands before a space are encoded whole.
-It also begins a new piece where a mark other than an apostrophe follows a letter, so the marks that end a word are cut off, and a word
+It also begins a new piece where a mark other than an apostrophe follows a letter (here: a Latin or Cyrillic one), so the marks that end a word are cut off, and a word
 is met once whatever follows it.
 """
 
@@ -24,6 +24,8 @@ UNEVEN = r"[\s\x0b\x{85}\p{Z}] "
 KEPT = 400_000
 LONGEST_KEPT = 64
 MARKS = punctuation.replace("'", "")
+#: Letters that every version of Unicode has as such; behind others nothing is cut off.
+LETTER_LAST = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2AF}\x{410}-\x{44F}]$"
 
 
 class Pieces:
@@ -34,20 +36,6 @@ class Pieces:
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece as 32-bit integers in a row."""
-        words, ends = [], {}
-        for i, piece in enumerate(pieces):
-            word = piece.rstrip(MARKS)
-            if len(word) < len(piece) and word and word[-1].isalpha():
-                ends[i] = piece[len(word):]
-            else:
-                word = piece
-            words.append(word)
-        found = self.each(words)
-        for i, ids in zip(ends, self.each(list(ends.values()))):
-            found[i] += ids
-        return found
-
-    def each(self, pieces: list[str]) -> list[bytes]:
         found = list(map(self.known.get, pieces))
         missed = dict.fromkeys(p for p, ids in zip(pieces, found) if ids is None)
         if not missed:
@@ -61,25 +49,43 @@ class Pieces:
         return [now[p] if ids is None else ids for p, ids in zip(pieces, found)]
 
 
+def ends_cut(pieces: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """The pieces without the marks that end a word, which ones had some, and those marks."""
+    pieces = flat(pieces)
+    words = pc.utf8_rtrim(pieces, MARKS)
+    behind = (pc.binary_length(pieces).to_numpy() - pc.binary_length(words).to_numpy()).astype(np.int64)
+    cut = (behind > 0) & pc.match_substring_regex(words, LETTER_LAST).to_numpy(zero_copy_only=False)
+    ends, behind = np.frombuffer(pieces.buffers()[1], np.int32)[1:len(pieces) + 1][cut], behind[cut]
+    total = np.cumsum(np.concatenate([[0], behind]))
+    raw = np.frombuffer(pieces.buffers()[2], np.uint8)[np.repeat(ends - total[1:], behind) + np.arange(total[-1])] \
+        if len(ends) else np.zeros(0, np.uint8)
+    marks = pa.StringArray.from_buffers(len(ends), pa.py_buffer(total.astype(np.int32)), pa.py_buffer(raw))
+    return pc.if_else(pa.array(cut), words, pieces), cut, marks
+
+
 def ids_of(column: pa.Array, pieces: Pieces) -> pa.ListArray:
     """The ids of each text."""
     column = flat(column)
     uneven = pc.match_substring_regex(column, UNEVEN)
-    even = pc.if_else(uneven, "", column)
-    lists = pc.split_pattern(even, " ")
+    lists = pc.split_pattern(pc.if_else(uneven, "", column), " ")
     offsets = lists.offsets.to_numpy().astype(np.int64)
-    encoded = lists.flatten().dictionary_encode()
     first = offsets[:-1]
-    begins = encoded.dictionary.take(encoded.indices.take(pa.array(first))).to_pylist()
-    for i in np.flatnonzero(uneven.to_numpy(zero_copy_only=False)):
-        begins[i] = column[int(i)].as_py()
-    later = encoded.dictionary.to_pylist()
-    rows = pieces([f" {x}" for x in later]) + pieces(begins)
+    encoded = lists.flatten().dictionary_encode()
+    later = pc.binary_join_element_wise("", encoded.dictionary, " ")
+    begins = pc.if_else(uneven, column, encoded.dictionary.take(encoded.indices.take(pa.array(first))))
+    words, cut, marks = ends_cut(pa.concat_arrays([later, begins]))
+    words, marks = words.dictionary_encode(), marks.dictionary_encode()
+    rows = [b"", *pieces(words.dictionary.to_pylist()), *pieces(marks.dictionary.to_pylist())]
     lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
     table = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32),
                                      pa.array(np.frombuffer(b"".join(rows), np.int32)))
-    which = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    halves = np.zeros((len(cut), 2), np.int64)  # row of each piece's word and of the marks behind it, 0 without any
+    halves[:, 0] = 1 + words.indices.to_numpy()
+    halves[cut, 1] = 1 + len(words.dictionary) + marks.indices.to_numpy()
+    which = encoded.indices.to_numpy().astype(np.int64)
     which[first] = len(later) + np.arange(len(column))
-    values = table.take(pa.array(which)).flatten()
-    ends = np.cumsum(np.concatenate([[0], np.add.reduceat(lengths[which], first)])).astype(np.int32)
-    return pa.ListArray.from_arrays(ends, values)
+    sizes = lengths[halves].sum(axis=1)
+    whole = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32),
+                                     table.take(pa.array(halves.ravel())).flatten())
+    ends = np.cumsum(np.concatenate([[0], np.add.reduceat(sizes[which], first)])).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, whole.take(pa.array(which)).flatten())
