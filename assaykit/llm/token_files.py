@@ -10,6 +10,7 @@ A null or empty text has only the end id. Repeated rows are repeated, other colu
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 
@@ -24,6 +25,8 @@ from assaykit.llm.tokens import Pieces, ids_of
 from assaykit.session import stored
 
 ROWS = "doc_id long, row long, ids array<int>"
+#: A piece that may be joined with others, and how many are.
+SINGLE, JOINED = re.compile(r" ?\S+"), 32
 _LOADED: dict[str, Pieces] = {}
 
 
@@ -35,11 +38,45 @@ def pieces(path: str) -> Pieces:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _LOADED[path] = Pieces(lambda new: [array("i", x.ids).tobytes()
-                                            for x in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+        _LOADED[path] = Pieces(Encoder(tokenizer))
     return _LOADED[path]
 
 
+class Encoder:
+    """Ids of each of some pieces. Those without white space inside are encoded ``JOINED`` at a time, with line ends between.
+
+    A line end between them is a token of its own, so the ids are cut there. If there are not as many of these tokens as line ends, the
+    tokenizer treats line ends in another way, and the pieces are encoded one by one.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.end = self.ids(["\n"])[0]
+
+    def ids(self, rows: list[str]) -> list[array]:
+        return [array("i", x.ids) for x in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        single = [bool(SINGLE.fullmatch(x)) for x in pieces]
+        joined = self.joined([x for x, s in zip(pieces, single) if s])
+        if joined is None:
+            return [x.tobytes() for x in self.ids(pieces)]
+        others = iter([x.tobytes() for x in self.ids([x for x, s in zip(pieces, single) if not s])])
+        found = iter(joined)
+        return [next(found if s else others) for s in single]
+
+    def joined(self, words: list[str]) -> list[bytes] | None:
+        if not words:
+            return []
+        rows = self.ids(["\n".join(words[k:k + JOINED]) + "\n" for k in range(0, len(words), JOINED)])
+        raw = b"".join(x.tobytes() for x in rows)
+        ends = np.flatnonzero(np.frombuffer(raw, np.int32) == self.end[0])
+        if len(self.end) != 1 or len(ends) != len(words):
+            return None
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        return [raw[a:b] for a, b in zip((4 * begins).tolist(), (4 * ends).tolist())]
+
+
 def write(docs: DataFrame, to: str, path: str, end_id: int = 2, stripe_bytes: int = 8 << 20, index_rows: int = 1000,
           id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of every whole text, each with ``end_id`` behind, as ORC below ``to``.

@@ -35,18 +35,20 @@ class Pieces:
         self.encode, self.known, self.older = encode, {}, {}
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece as 32-bit integers in a row."""
+        """Ids of each piece, all of them different, as 32-bit integers in a row."""
         found = list(map(self.known.get, pieces))
-        missed = dict.fromkeys(p for p, ids in zip(pieces, found) if ids is None)
+        missed = [i for i, ids in enumerate(found) if ids is None]
         if not missed:
             return found
-        now = {p: ids for p in missed if (ids := self.older.get(p)) is not None}
-        new = [p for p in missed if p not in now]
-        now.update(zip(new, self.encode(new) if new else ()))
-        if len(self.known) + len(now) > KEPT // 2:
+        for i in missed:
+            found[i] = self.older.get(pieces[i])
+        new = [i for i in missed if found[i] is None]
+        for i, ids in zip(new, self.encode([pieces[i] for i in new]) if new else ()):
+            found[i] = ids
+        if len(self.known) + len(missed) > KEPT // 2:
             self.known, self.older = {}, self.known
-        self.known.update((p, ids) for p, ids in now.items() if len(p) <= LONGEST_KEPT)
-        return [now[p] if ids is None else ids for p, ids in zip(pieces, found)]
+        self.known.update((pieces[i], found[i]) for i in missed if len(pieces[i]) <= LONGEST_KEPT)
+        return found
 
 
 def ends_cut(pieces: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:

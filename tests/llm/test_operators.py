@@ -329,3 +329,17 @@ def test_language(spark):
     assert nothing.collect() == []
     unlabelled = language.identify(rows, docs.select("doc_id", F.lit(None).cast("string").alias("label"), "text")).collect()
     assert len(unlabelled) == len(found) and {(r.lang, r.posterior) for r in unlabelled} == {(None, None)}
+
+
+def test_pieces_encoded_together_have_the_ids_of_each():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    pieces = ["", " ", " a", "a", "a\nb", " x\t", "\tx", " a b", " \x1cx", "'s", " 's", " )", ".\n", "\n", "\n\n", "<|endoftext|>", " été",
+              " 12", " 中文", "́", *(f" word{i}" for i in range(100))]
+    encode = token_files.Encoder(tokenizer)
+    alone = [np.array(tokenizer.encode(x, add_special_tokens=False).ids, np.int32).tobytes() for x in pieces]
+    assert encode(pieces) == alone
+    encode.end = [-1]  # line ends that can't be found: one by one
+    assert encode(pieces) == alone
