@@ -230,3 +230,19 @@ def test_workspace_is_below_the_shared_folder(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     first, second = workspace(spark, "x"), workspace(spark, "x")
     assert first.startswith(base) and first != second
+
+
+def test_tasks_of_the_retail_join_hold_a_bounded_number_of_lines(spark, monkeypatch, no_broadcast):
+    before = sorted(map(str, QUERIES["batch_scores"](spark, FOLDER).collect()))
+    monkeypatch.setattr("assaykit.sources.retail.LINES_A_TASK", 100)
+    df = retail(spark, FOLDER)
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    wanted = lines.count() // 100
+    assert plan(df).count(f", {wanted}), REPARTITION_BY_NUM") == 2  # lines and buyers, by order
+    keys = lines.repartition(wanted, "l_orderkey").groupBy(F.spark_partition_id()).count()
+    assert keys.agg(F.max("count")).first()[0] < 300
+    assert sorted(map(str, QUERIES["batch_scores"](spark, FOLDER).collect())) == before
+
+
+def test_a_small_retail_join_is_left_to_spark(spark):
+    assert "REPARTITION" not in plan(retail(spark, FOLDER))
