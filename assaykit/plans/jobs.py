@@ -62,15 +62,13 @@ def profile_job(spark: SparkSession, source: DataFrame | str, output: str | None
                 dataset: str = DATASET, settings: Settings | None = None, row_key: str = EXACT) -> str:
     """Profile a source and write the report; samples come in file order for a CSV path.
 
-    CSV text is parsed once into columns; figures and distinct values are then stored for the
-    sections that share them.
+    The source is worked out once and written as columns, whether it is text or a view with joins: three passes read it. Figures
+    and distinct values are then stored for the sections that share them.
     """
     with Staging(spark) as stage:
         extraction = _extract(spark, source, keep_order=True, settings=settings)
-        df = extraction.df
+        df = stage(extraction.df, "profile-source")
         order = POSITION if POSITION in df.columns else None
-        if order:
-            df = stage(df, "profile-source")
         sections = profile(df, settings, row_key, order, stage)
         return write_json(profile_document(sections, dataset), output, "profile")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assaykit.operators import profiling as P
 from assaykit.operators.profiling import profile, profile_document
+from assaykit.plans import jobs
 
 
 @pytest.fixture
@@ -173,3 +174,26 @@ def test_document(sample):
     assert report["dataset"]["name"] == "Sample"
     assert report["overview"][0]["rows"] == 5 and len(report["columns"]) == 8
     assert report["duplicates"] == [{"duplicate_row_count": 1, "duplicate_percentage": 20.0, "unique_rows": 4}]
+
+
+@pytest.mark.parametrize("order_by", [None, "at"])
+def test_dates_are_the_same_from_rows_and_from_distinct_values(spark, order_by):
+    texts = ["2010-12-01T08:26:00", "2010-12-01T08:26:00", "2010-12-02T09:00:00", "12/1/2010 8:26", "never", None, None]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "InvoiceDate string, at int")
+    df = df if order_by else df.drop("at")
+    values = P.value_counts(df, ["InvoiceDate"], order_by)
+    one, other = (P.daily_volume(df, order_by=order_by, values=v).collect() for v in (None, values))
+    assert sorted(map(str, one)) == sorted(map(str, other)) and sum(r["rows"] for r in other) == 7
+    assert P.dates_profile(df, order_by=order_by, values=values).first() == P.dates_profile(df, order_by=order_by).first()
+
+
+def test_the_report_works_its_source_out_once(spark, table, clean_rows, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(text):
+        seen.add(1)
+        return text
+
+    df = table(clean_rows).withColumn("Country", F.udf(note, "string").asNondeterministic()("Country"))
+    jobs.profile_job(spark, df, str(tmp_path / "profile"))
+    assert seen.value == len(clean_rows)
