@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from assaykit.llm.common import mapped, texts
+from assaykit.llm.common import LOADED, mapped, texts
 from assaykit.llm.tokens import Pieces, ids_of
 
 LONGEST = 128
@@ -51,7 +51,8 @@ SELECT unhex(string_agg(hex, '' ORDER BY position)) AS bytes, count(*) AS found
 FROM (SELECT part, unnest(range(len(ids))) AS position, unnest(ids) AS id FROM given) JOIN vocabulary USING (id)
 GROUP BY part ORDER BY part
 """
-_LOADED: dict[tuple[str, str], "Codec"] = {}
+#: Pieces whose ids a worker remembers; it also holds the tables.
+KEPT = 200_000
 
 
 class Codec:
@@ -60,7 +61,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.pieces = Pieces(self.encode)
+        self.pieces = Pieces(self.encode, KEPT)
         pairs = [(ranks[b[:k]], ranks[b[k:]], i) for b, i in ranks.items() for k in range(1, len(b))
                  if b[:k] in ranks and b[k:] in ranks]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
@@ -147,12 +148,12 @@ def contract(tokens: list[int], ranks: dict[bytes, int], raw: bytes) -> list[int
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """One per worker process and vocabulary."""
-    if (path, pattern) not in _LOADED:
+    """One per worker process and vocabulary, until the process works for another operator."""
+    if (path, pattern) not in LOADED:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
-        _LOADED[path, pattern] = Codec(ranks, pattern)
-    return _LOADED[path, pattern]
+        LOADED[path, pattern] = Codec(ranks, pattern)
+    return LOADED[path, pattern]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,7 +161,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = ids_of(batch.column("text"), codec(path, pattern).pieces)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
-    return mapped(texts(docs, id_col, text_col), work, "doc_id long, ids array<int>", limit=TEXT_BYTES)
+    return mapped(texts(docs, id_col, text_col), work, "doc_id long, ids array<int>", limit=TEXT_BYTES, keeps=True)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -169,7 +170,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"),
                                            pa.array(codec(path, pattern).decode(arrays(batch.column("ids"))), pa.binary())],
                                           names=["doc_id", "ids", "bytes"])
-    return mapped(encoded.select("doc_id", "ids"), work, "doc_id long, ids array<int>, bytes binary", by="ids", limit=TEXT_BYTES)
+    return mapped(encoded.select("doc_id", "ids"), work, "doc_id long, ids array<int>, bytes binary", by="ids", limit=TEXT_BYTES, keeps=True)
 
 
 def digest(doc_id: pa.Array, lists: pa.ListArray, tables: Codec) -> pa.RecordBatch:
@@ -190,7 +191,7 @@ def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by a space), decoded_sha256 (of the decoded bytes)."""
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         return digest(batch.column("doc_id"), batch.column("ids"), codec(path, pattern))
-    return mapped(encoded.select("doc_id", "ids"), work, DIGESTS, by="ids", limit=TEXT_BYTES)
+    return mapped(encoded.select("doc_id", "ids"), work, DIGESTS, by="ids", limit=TEXT_BYTES, keeps=True)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,7 +199,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         tables = codec(path, pattern)
         return digest(batch.column("doc_id"), ids_of(batch.column("text"), tables.pieces), tables)
-    return mapped(texts(docs, id_col, text_col), work, DIGESTS, limit=TEXT_BYTES)
+    return mapped(texts(docs, id_col, text_col), work, DIGESTS, limit=TEXT_BYTES, keeps=True)
 
 
 def arrays(lists: pa.ListArray) -> list[np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -18,6 +19,8 @@ SLICE_BYTES = 4 << 20
 NO_ID = -(1 << 63)
 #: Most bits of a bitmap that sifts keys, whatever their number: 16 MB.
 BITS = 1 << 27
+#: Tables that a worker process keeps from one task to the next of the operator that made them.
+LOADED: dict = {}
 _BIT = (128 >> np.arange(8)).astype(np.uint8)
 
 
@@ -46,10 +49,24 @@ def text_key(text: str | Column) -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
+def release() -> None:
+    """Drop the tables of this process. A function of the module, as the closure that is sent to a worker has globals of its own."""
+    if LOADED:
+        LOADED.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def mapped(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, by: str = "text",
-           limit: int = SLICE_BYTES) -> DataFrame:
-    """``work`` on slices of at most ``limit`` bytes of column ``by``."""
+           limit: int = SLICE_BYTES, keeps: bool = False) -> DataFrame:
+    """``work`` on slices of at most ``limit`` bytes of column ``by``.
+
+    Spark takes worker processes in turn, also for the next operator of a pipeline. Unless ``work`` keeps tables in ``LOADED``, those of an
+    earlier operator are dropped first.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release()
         for part in slices(batches, by, limit):
             out = work(part)
             if out is not None:

@@ -93,3 +93,25 @@ def test_ids_are_those_of_the_library(kept):
         ids = library.encode_ordinary(given[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(given[r.doc_id].encode()).hexdigest()
+
+
+def test_tables_of_an_earlier_operator_are_dropped_by_the_worker(spark):
+    """Spark gives the same worker processes to the next operator; one that does not keep tables frees those it finds."""
+    import pyarrow as pa
+
+    from assaykit.llm.common import importable, mapped
+
+    importable(spark)
+
+    def fill(part):
+        from assaykit.llm import common
+        common.LOADED["tables"] = "x"
+        return pa.RecordBatch.from_arrays([pa.array([len(common.LOADED)] * part.num_rows)], names=["n"])
+
+    def look(part):
+        from assaykit.llm import common
+        return pa.RecordBatch.from_arrays([pa.array([len(common.LOADED)] * part.num_rows)], names=["n"])
+
+    rows = spark.range(8).repartition(4).selectExpr("cast(id as string) AS text")
+    assert {r.n for r in mapped(rows, fill, "n long", keeps=True).collect()} == {1}
+    assert {r.n for r in mapped(rows, look, "n long").collect()} == {0}
