@@ -246,3 +246,28 @@ def test_tasks_of_the_retail_join_hold_a_bounded_number_of_lines(spark, monkeypa
 
 def test_a_small_retail_join_is_left_to_spark(spark):
     assert "REPARTITION" not in plan(retail(spark, FOLDER))
+
+
+def test_whole_rows_of_a_large_table_are_grouped_where_they_were_dealt(spark, monkeypatch, no_broadcast):
+    """The grouping's tasks follow the number of lines, not the session's partitions, and it adds no shuffle of its own."""
+    def wide(df):
+        return re.findall(r"Exchange hashpartitioning\(([^)]*), (\d+)\), (\w+)", plan(df))
+
+    names = ("batch_scores", "quality_results_transformed", "duplicates", "critical_gate")
+    before = {n: sorted(map(str, QUERIES[n](spark, FOLDER).collect())) for n in names}
+    monkeypatch.setattr("assaykit.sources.retail.LINES_A_TASK", 100)
+    wanted = str(spark.read.parquet(f"{FOLDER}/lineitem.parquet").count() // 100)
+    for n in names:
+        found = wide(QUERIES[n](spark, FOLDER))
+        assert [(count, how) for keys, count, how in found if "InvoiceNo" in keys] == [(wanted, "REPARTITION_BY_NUM")], n
+        assert sorted(map(str, QUERIES[n](spark, FOLDER).collect())) == before[n]
+
+
+def test_a_join_with_many_parts_is_dealt(spark, monkeypatch, no_broadcast):
+    monkeypatch.setattr("assaykit.sources.retail.LINES_A_TASK", 100)
+    before = sorted(map(str, retail(spark, FOLDER).collect()))
+    monkeypatch.setattr("assaykit.sources.retail.PARTS_LEFT", 100)
+    df = retail(spark, FOLDER)
+    wanted = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count() // 100
+    assert plan(df).count(f", {wanted}), REPARTITION_BY_NUM") == 4  # lines and buyers, by order; then with the parts, by part
+    assert sorted(map(str, df.collect())) == before
