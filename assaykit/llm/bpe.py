@@ -1,8 +1,9 @@
 """Byte-level BPE: recursive DuckDB queries inside each task turn words into ids, ordered aggregation turns ids back.
 
-Every task loads the merge table into a DuckDB of its own. The state of the recursion is the tokens of each word that
-still changes; a step lays them out as token-position rows, joins neighbours with the merge table and contracts each
-word's leftmost pair of least rank, until no word has one. Words are the matches of the pre-tokenizer pattern.
+Every task loads the merge table into a DuckDB of its own. The state of the recursion is the tokens of each word, without those
+that it had before. A step takes the words that changed last, lays their tokens out as token-position rows, joins neighbours with
+the merge table and contracts each word's leftmost pair of least rank, until no word has one. Words are the matches of the
+pre-tokenizer pattern.
 
 Null and empty texts have no ids and decode to nothing. Repeated rows give repeated rows, a null id stays null, other
 columns are left out. Words of more than ``LONGEST`` bytes would need as many steps of the recursion as they have bytes;
@@ -27,16 +28,14 @@ from assaykit.llm.tokens import Pieces, ids_of
 
 LONGEST = 128
 #: Words per recursive query, ids per decoding query, and text worked on at once in bytes; they bound the memory of a task.
-WORDS, IDS, TEXT_BYTES = 5_000, 1 << 17, 1 << 20
+WORDS, IDS, TEXT_BYTES = 20_000, 1 << 17, 1 << 20
 
 # A key is rank * 65536 + position, so that its minimum is the leftmost pair of least rank. Ranks are token ids.
 ENCODE = """
-WITH RECURSIVE state(word, tokens, step) AS (
-    SELECT word, tokens, 0 FROM begin
+WITH RECURSIVE state(word, tokens) USING KEY (word) AS (
+    SELECT word, tokens FROM begin
     UNION ALL
-    SELECT s.word,
-           s.tokens[:best.key % 65536 - 1] || [(best.key // 65536)::INTEGER] || s.tokens[best.key % 65536 + 2:],
-           s.step + 1
+    SELECT s.word, s.tokens[:best.key % 65536 - 1] || [(best.key // 65536)::INTEGER] || s.tokens[best.key % 65536 + 2:]
     FROM state s JOIN (
         SELECT pair.word, min(m.id::BIGINT * 65536 + pair.position) AS key
         FROM (SELECT word, unnest(range(1, len(tokens))) AS position, unnest(tokens[:-2]) AS l, unnest(tokens[2:]) AS r
@@ -44,7 +43,7 @@ WITH RECURSIVE state(word, tokens, step) AS (
         JOIN merges m ON m.l = pair.l AND m.r = pair.r
         GROUP BY pair.word) best ON s.word = best.word
 )
-SELECT arg_max(tokens, step) AS tokens FROM state GROUP BY word ORDER BY word
+SELECT tokens FROM state ORDER BY word
 """
 DECODE = """
 SELECT unhex(string_agg(hex, '' ORDER BY position)) AS bytes, count(*) AS found
@@ -52,7 +51,7 @@ FROM (SELECT part, unnest(range(len(ids))) AS position, unnest(ids) AS id FROM g
 GROUP BY part ORDER BY part
 """
 #: Pieces whose ids a worker remembers; it also holds the tables.
-KEPT = 200_000
+KEPT = 400_000
 
 
 class Codec:

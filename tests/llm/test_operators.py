@@ -343,3 +343,15 @@ def test_pieces_encoded_together_have_the_ids_of_each():
     assert encode(pieces) == alone
     encode.end = [-1]  # line ends that can't be found: one by one
     assert encode(pieces) == alone
+
+
+def test_bpe_recursion_keeps_each_word_once():
+    tables = bpe.codec(RANKS, P.PATTERN)
+    words = [" therefore", "x", " Überraschung", "aaaaaaaaaaaaaaaa", " the"]
+    raw = [w.encode() for w in words]
+    begin = {"word": pa.array(range(len(words)), pa.int32()),
+             "tokens": pa.array([[tables.ranks[bytes([b])] for b in w] for w in raw], pa.list_(pa.int32()))}
+    held = tables.query(bpe.ENCODE.rstrip().replace("SELECT tokens FROM state ORDER BY word", "SELECT count(*) AS n FROM state"), "begin", begin)
+    assert held.column_names == ["n"] and held.column("n").to_pylist() == [len(words)]
+    found = tables.query(bpe.ENCODE, "begin", begin).column("tokens").to_pylist()
+    assert found == [bpe.contract([tables.ranks[bytes([b])] for b in w], tables.ranks, w) for w in raw]
