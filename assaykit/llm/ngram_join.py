@@ -40,6 +40,8 @@ PARTS = 8
 #: Rows of one group held at a time in a task; a longer group is passed on as it comes.
 HELD = 1 << 16
 SEEN = 1 << 20
+#: Text whose n-grams are laid out at once, in bytes.
+TEXT_BYTES = 1 << 20
 #: Sketches of a block, in bytes; a task holds two blocks of a ball.
 BLOCK_BYTES = 2 << 20
 
@@ -139,7 +141,7 @@ def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TEXT_BYTES):
             nodes, sizes, offered, sketches = [], [], [], []
             for grams in ngrams(part.column("text"), words):
                 node = int(mix(np.array([mix(grams).sum(dtype=np.uint64) + np.uint64(len(grams))]))[0]) if len(grams) else None
@@ -222,7 +224,7 @@ def segments(docs: DataFrame, words: int) -> DataFrame:
             [pa.array(nodes, pa.int64()), pa.array(parts, pa.int32()), pa.array(sizes, pa.int64()),
              pa.ListArray.from_arrays(ends, pa.array(np.concatenate(held) if held else np.zeros(0, np.int64)))],
             names=["node", "part", "n", "grams"])
-    return mapped(docs, work, "node long, part int, n long, grams array<long>").dropDuplicates(["node", "part"])
+    return mapped(docs, work, "node long, part int, n long, grams array<long>", limit=TEXT_BYTES).dropDuplicates(["node", "part"])
 
 
 def open_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:

@@ -26,6 +26,8 @@ from assaykit.session import stored
 MOST = 12_000
 FEATURES = ("words", "length", "different", "again", "capitals", "symbols", "glued", "bars", "bangs", "digits", "stops", "lines",
             "repeated_lines", "short")
+#: Text worked on at once, in bytes; it bounds the memory of a task.
+TEXT_BYTES = 1 << 20
 #: Probabilities are kept this far from 0 and 1.
 EDGE = 1e-4
 
@@ -66,7 +68,7 @@ def evidence(docs: DataFrame, trees: list, text_col: str) -> DataFrame:
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]
                           + [T.StructField("_f", T.StructType([T.StructField(f, T.DoubleType()) for f in FEATURES]))])
     p = boosted.probability(trees, lambda i: F.col("_f")[FEATURES[i]])
-    return (mapped(docs, work, schema, by=text_col)
+    return (mapped(docs, work, schema, by=text_col, limit=TEXT_BYTES)
             .withColumn("_p", F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), p))).drop("_f"))
 
 
@@ -79,7 +81,7 @@ def classifier(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col
                                           names=["label", *FEATURES])
 
     rows = texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id").select("label", "text")  # at most ``most`` ids
-    held = stored(mapped(rows, work, f"label double, {', '.join(f'{f} double' for f in FEATURES)}"), "labelled-features")
+    held = stored(mapped(rows, work, f"label double, {', '.join(f'{f} double' for f in FEATURES)}", limit=TEXT_BYTES), "labelled-features")
     share = held.agg(F.avg("label")).first()[0]
     return boosted.fit(held, FEATURES, rounds=20), share
 
@@ -124,7 +126,8 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
         return docs.select("*", known.alias("quality_evidence"), known.alias("quality_site"), known.alias("quality_score"),
                            F.lit(True).alias("quality_kept"))
     judged = evidence(docs, trees, text_col)
-    posterior = sites(judged, judged[host_col], judged[path_col])
+    # its size is known then, so that few sites are broadcast and texts are not shuffled
+    posterior = stored(sites(judged, judged[host_col], judged[path_col]), "sites")
     share = min(1 - EDGE, max(EDGE, share))
     joined = judged.join(posterior, judged[host_col].eqNullSafe(posterior["_host"]) & judged[path_col].eqNullSafe(posterior["_path"]))
     site = F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), F.col("_site")))

@@ -355,3 +355,10 @@ def test_bpe_recursion_keeps_each_word_once():
     assert held.column_names == ["n"] and held.column("n").to_pylist() == [len(words)]
     found = tables.query(bpe.ENCODE, "begin", begin).column("tokens").to_pylist()
     assert found == [bpe.contract([tables.ranks[bytes([b])] for b in w], tables.ranks, w) for w in raw]
+
+
+def test_texts_are_not_shuffled_to_meet_the_shares_of_their_sites(spark):
+    folder = "/root/testdata/sf0.001"
+    rows, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.good(rows, labels)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in found and "Exchange hashpartitioning" not in found
