@@ -271,3 +271,16 @@ def test_a_join_with_many_parts_is_dealt(spark, monkeypatch, no_broadcast):
     wanted = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count() // 100
     assert plan(df).count(f", {wanted}), REPARTITION_BY_NUM") == 4  # lines and buyers, by order; then with the parts, by part
     assert sorted(map(str, df.collect())) == before
+
+
+def test_a_join_with_many_customers_is_dealt(spark, monkeypatch, no_broadcast):
+    """Else a task holds as many orders as the session's number of shuffle partitions leaves it."""
+    monkeypatch.setattr("assaykit.sources.retail.LINES_A_TASK", 100)
+    before = sorted(map(str, retail(spark, FOLDER).collect()))
+    monkeypatch.setattr("assaykit.sources.retail.CUSTOMERS_LEFT", 10)
+    df = retail(spark, FOLDER)
+    wanted = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count() // 100
+    found = re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?, (\d+)\), (\w+)", plan(df))
+    for key in ("o_custkey", "c_custkey"):
+        assert (key, str(wanted), "REPARTITION_BY_NUM") in found
+    assert sorted(map(str, df.collect())) == before
