@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -54,24 +55,43 @@ def release() -> None:
     if LOADED:
         LOADED.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
-def mapped(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, by: str = "text",
-           limit: int = SLICE_BYTES, keeps: bool = False) -> DataFrame:
-    """``work`` on slices of at most ``limit`` bytes of column ``by``.
+def give_back() -> None:
+    """Return to the system what Arrow's pool and, where glibc is the C library, the allocator hold but don't use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
 
-    Spark takes worker processes in turn, also for the next operator of a pipeline. Unless ``work`` keeps tables in ``LOADED``, those of an
-    earlier operator are dropped first.
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable:
+    """``run`` in a worker that gives back, when its task ends, the memory of the batches that it has worked on.
+
+    Spark takes worker processes in turn, also for the next operator of a pipeline, and keeps more of them than have a task; those that
+    wait would hold on to it.
+    Unless ``run`` keeps tables in ``LOADED``, those of an earlier operator are dropped first.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keeps:
             release()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return bounded
+
+
+def mapped(rows: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, by: str = "text",
+           limit: int = SLICE_BYTES, keeps: bool = False) -> DataFrame:
+    """``work`` on slices of at most ``limit`` bytes of column ``by``; ``keeps`` as in :func:`released`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, by, limit):
             out = work(part)
             if out is not None:
                 yield out
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run, keeps), schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], by: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

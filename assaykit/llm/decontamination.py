@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import NO_ID, bitmap, flat, mapped, mix, passing, slices, text_key, texts
+from assaykit.llm.common import NO_ID, bitmap, flat, mapped, mix, passing, released, slices, text_key, texts
 from assaykit.session import stored
 
 #: Walks, keys of each walk, and steps sampled for a key; together they set the recall (see the tests).
@@ -166,7 +166,7 @@ def text_keys(docs: DataFrame, width: int, stride: int, sift: np.ndarray) -> Dat
                 [part.column("key").take(pa.array(found)), part.column("text_key").take(pa.array(found)),
                  pa.array((begins[at] - offsets[found]).astype(np.int32)), pa.array(keys[row, at])],
                 names=["key", "text_key", "begin", "lsh"])
-    return docs.mapInArrow(run, "key long, text_key long, begin int, lsh long")
+    return docs.mapInArrow(released(run), "key long, text_key long, begin int, lsh long")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT, shortest: int = SHORTEST,

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import BITS, NO_ID, bitmap, flat, mapped, mix, passing, slices, text_key, texts
+from assaykit.llm.common import BITS, NO_ID, bitmap, flat, mapped, mix, passing, released, slices, text_key, texts
 from assaykit.session import stored
 
 PARTS = 8
@@ -160,7 +160,7 @@ def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                  pa.array([None if x is None else x - (1 << 64) if x >> 63 else x for x in nodes], pa.int64()),
                  pa.ListArray.from_arrays(ends, pa.array(np.concatenate(offered))), pa.array(sketches, pa.binary())],
                 names=["doc_id", "text_key", "n", "node", "signatures", "sketch"])
-    return docs.mapInArrow(run, "doc_id long, text_key long, n long, node long, signatures array<long>, sketch binary")
+    return docs.mapInArrow(released(run), "doc_id long, text_key long, n long, node long, signatures array<long>, sketch binary")
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +246,7 @@ def open_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     sized = (pairs.join(sketches.select("node", "n"), "node").join(leaders.select("leader", "n_leader"), "leader")
              .where(100 * F.least("n", "n_leader") >= percent * F.greatest("n", "n_leader")))
     return (sized.select("node", "leader").join(sketches, "node").join(leaders, "leader")
-            .select("node", "leader", "n", "n_leader", "sketch", "leader_sketch").mapInArrow(run, "node long, leader long"))
+            .select("node", "leader", "n", "n_leader", "sketch", "leader_sketch").mapInArrow(released(run), "node long, leader long"))
 
 
 def among(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ def among(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.select(["key", "text_key", "text"]).filter(pa.array(passing(batch.column("lsh").to_numpy(), sift, bits)))
-    return docs.select("key", "text_key", "text", place).mapInArrow(run, "key long, text_key long, text string")
+    return docs.select("key", "text_key", "text", place).mapInArrow(released(run), "key long, text_key long, text string")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -375,7 +375,7 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_
     offered = found.where(F.size("signatures") > 0).select("node", F.explode("signatures").alias("signature"))
     members = stored(
         offered.repartition("signature").sortWithinPartitions("signature", "node").select("signature", "node")
-        .mapInArrow(groups, "group long, node long").distinct(), "groups")
+        .mapInArrow(released(groups), "group long, node long").distinct(), "groups")
     key = F.coalesce("doc_id", F.lit(NO_ID))
     place = F.struct(key.alias("key"), "text_key")
     nodes = stored(found.where("node is not null").groupBy("node")

@@ -3,7 +3,10 @@
 import base64
 import hashlib
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -362,3 +365,44 @@ def test_texts_are_not_shuffled_to_meet_the_shares_of_their_sites(spark):
     rows, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     found = quality.good(rows, labels)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in found and "Exchange hashpartitioning" not in found
+
+
+WAITING = """
+import re
+import pyarrow as pa
+import pyarrow.compute
+from assaykit.llm.common import mapped
+
+class Rows:
+    def mapInArrow(self, run, schema):
+        return run
+
+def anonymous():
+    with open("/proc/self/smaps_rollup") as lines:
+        return int(re.search(r"Pss_Anon:\\s+(\\d+)", lines.read())[1]) / 1024
+
+def batches():
+    for _ in range(3):
+        yield pa.RecordBatch.from_arrays([pyarrow.compute.binary_repeat(pa.array(["word "] * 8000), 1000)], names=["text"])
+
+left = []
+
+def work(part):
+    texts = part.column("text").to_pylist()
+    left.append(bytearray(3000))  # above the texts, so that their room is not at the heap's end
+    return pa.RecordBatch.from_arrays([pa.array([len(x) for x in texts])], names=["length"])
+
+run = mapped(Rows(), work, "length long", limit=64 << 20)
+for _ in run(iter([pa.RecordBatch.from_pydict({"text": ["x"]})])):
+    pass
+before = anonymous()
+rows = sum(out.num_rows for out in run(batches()))
+out = None
+print(rows, anonymous() - before)
+"""
+
+
+def test_a_worker_that_waits_holds_no_memory_of_its_last_batches():
+    found = subprocess.run([sys.executable, "-c", WAITING], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, check=True)
+    rows, more = found.stdout.split()
+    assert int(rows) == 24_000 and float(more) < 5  # MB
