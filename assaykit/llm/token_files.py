@@ -9,6 +9,7 @@ A null or empty text has only the end id. Repeated rows are repeated, other colu
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -16,29 +17,36 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaykit.llm.bpe import arrays
 from assaykit.llm.common import in_ranges, mapped, partitions, slices, texts
-from assaykit.llm.tokens import Pieces, ids_of
+from assaykit.llm.tokens import LETTER, LISTS, Columns, ids_of, lists_of
 from assaykit.session import stored
 
 ROWS = "doc_id long, row long, ids array<int>"
 #: A piece that may be joined with others, and how many are.
 SINGLE, JOINED = re.compile(r" ?\S+"), 32
-_LOADED: dict[str, Pieces] = {}
+#: A piece that GPT-2's pattern does not divide.
+WORD = f"^ ?{LETTER}+$"
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The character that stands for each byte in a byte-level vocabulary.
+CHARACTERS = dict(zip([*_SHOWN, *(b for b in range(256) if b not in _SHOWN)], [*_SHOWN, *range(256, 324)]))
+_LOADED: dict[str, tuple[Columns, bool]] = {}
 
 
-def pieces(path: str) -> Pieces:
-    """The tokenizer of one file, once per worker process; strings of special tokens are ordinary text."""
+def pieces(path: str) -> tuple[Columns, bool]:
+    """The tokenizer of one file, once per worker process, and whether texts may be cut at line ends; strings of special tokens are ordinary text."""
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _LOADED[path] = Pieces(Encoder(tokenizer))
+        encoder = Encoder(tokenizer)
+        _LOADED[path] = Columns(encoder.columns), encoder.lines
     return _LOADED[path]
 
 
@@ -47,14 +55,45 @@ class Encoder:
 
     A line end between them is a token of its own, so the ids are cut there. If there are not as many of these tokens as line ends, the
     tokenizer treats line ends in another way, and the pieces are encoded one by one.
+
+    If the tokenizer divides texts by GPT-2's pattern (``lines``: then a line end between other characters is a piece of its own), words of
+    letters go to its model as they are, without the pattern's search: by a tokenizer of the same model that only divides at line ends.
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-        self.end = self.ids(["\n"])[0]
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
-    def ids(self, rows: list[str]) -> list[array]:
-        return [array("i", x.ids) for x in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
+        self.tokenizer, pattern = tokenizer, tokenizer.pre_tokenizer
+        self.end = self.ids(["\n"])[0]
+        settings = json.loads(pattern.__getstate__()) if pattern else {}
+        self.lines = (tokenizer.normalizer is None and settings.get("type") == "ByteLevel" and settings.get("use_regex", True)
+                      and not settings.get("add_prefix_space", True)
+                      and all(x.special for x in tokenizer.get_added_tokens_decoder().values()))
+        self.model = Tokenizer(tokenizer.model)
+        self.model.pre_tokenizer = Split(chr(CHARACTERS[ord("\n")]), "isolated")
+
+    def ids(self, rows: list[str], tokenizer=None) -> list[array]:
+        return [array("i", x.ids) for x in (tokenizer or self.tokenizer).encode_batch_fast(rows, add_special_tokens=False)]
+
+    def columns(self, pieces: pa.Array) -> pa.ListArray:
+        """Ids of each piece, from and to Arrow."""
+        word = pc.match_substring_regex(pieces, WORD).to_numpy(zero_copy_only=False) & self.lines
+        found = pa.concat_arrays([self.words(pieces.filter(pa.array(word))), lists_of(self(pieces.filter(pa.array(~word)).to_pylist()))])
+        return found.take(pa.array(np.argsort(np.concatenate([np.flatnonzero(word), np.flatnonzero(~word)]))))
+
+    def words(self, words: pa.Array) -> pa.ListArray:
+        """Ids of words of letters, with line ends between."""
+        if not len(words):
+            return pa.array([], LISTS)
+        groups = pa.ListArray.from_arrays(pa.array([*range(0, len(words), JOINED), len(words)], pa.int32()), words)
+        rows = [f"{x}\n".encode().decode("latin-1").translate(CHARACTERS) for x in pc.binary_join(groups, "\n").to_pylist()]
+        ids = np.frombuffer(b"".join(x.tobytes() for x in self.ids(rows, self.model)), np.int32)
+        end = ids == self.end[0]
+        ends = np.flatnonzero(end)
+        if len(self.end) != 1 or len(ends) != len(words):
+            return lists_of(self(words.to_pylist()))
+        return pa.ListArray.from_arrays(np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int32), pa.array(ids[~end]))
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
         single = [bool(SINGLE.fullmatch(x)) for x in pieces]
@@ -90,7 +129,7 @@ def write(docs: DataFrame, to: str, path: str, end_id: int = 2, stripe_bytes: in
     def run(batches):
         row = 0
         for part in slices(batches, "text"):
-            ids = ids_of(part.column("text"), pieces(path))
+            ids = ids_of(part.column("text"), *pieces(path))
             ends, values = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy(zero_copy_only=False)
             ended = pa.ListArray.from_arrays((ends + np.arange(len(ends))).astype(np.int32),
                                              pa.array(np.insert(values, ends[1:], end_id).astype(np.int32)))

@@ -15,7 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from assaykit.llm import (bpe, decontamination, fingerprints, language, line_dedup, ngram_join, pii, quality, token_files, toxicity)
+from assaykit.llm import (bpe, decontamination, fingerprints, language, line_dedup, ngram_join, pii, quality, token_files, tokens, toxicity)
 from assaykit.session import workspace
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -348,6 +348,35 @@ def test_pieces_encoded_together_have_the_ids_of_each():
     assert encode(pieces) == alone
 
 
+def test_words_at_line_ends_are_encoded_once():
+    known, lines = token_files.pieces(P.path("byte_bpe_50k.json"))
+    asked = []
+
+    def encode(pieces):
+        asked.extend(pieces.to_pylist())
+        return known.encode(pieces)
+
+    memo, tk = tokens.Columns(encode), library()
+    texts = [f"{a} {b}.\n{a}, {b}\n{b} {a}" for a in WORDS for b in WORDS]
+    assert tokens.ids_of(pa.array(texts), memo, lines).to_pylist() == [tk.encode_ordinary(t) for t in texts]
+    assert sorted(asked) == sorted([*WORDS, *(" " + w for w in WORDS), "\n", ".", ","])
+    assert tokens.ids_of(pa.array(texts[::-1]), memo, lines).to_pylist() == [tk.encode_ordinary(t) for t in texts[::-1]]
+    assert len(asked) == 2 * len(WORDS) + 3  # nothing new
+
+
+@pytest.mark.parametrize("kept", [30, 10_000])
+def test_ids_of_odd_texts_are_those_of_the_library(kept):
+    known, lines = token_files.pieces(P.path("byte_bpe_50k.json"))
+    memo, tk, draw = tokens.Columns(known.encode, kept), library(), np.random.default_rng(kept)
+    atoms = ["a", "Word", "été", "ß", " ", "  ", "\n", "\n\n", " \n", "\n ", "\r\n", "\t", "\x85", "\xa0", "\u2028", "\x1c", ".", "...", "'", "'s", "12",
+             "中文", "\u0301", "ʰ", "ª", "Привет", "<|endoftext|>", "\x00", "😀", "_", "x.\nY", "x" * 70]
+    for k in range(60):
+        some = atoms + ["\x01", "\x01\n"] * (k % 6 == 0)
+        rows = ["".join(draw.choice(some) + draw.choice(["", " ", "\n"]) for _ in range(draw.integers(0, 14))) for _ in range(20)]
+        assert tokens.ids_of(pa.array(["cut\noff", *rows]).slice(1), memo, lines).to_pylist() == [tk.encode_ordinary(t) for t in rows]
+    assert len(memo.known[0]) + len(memo.older[0]) <= 2 * kept
+
+
 def test_bpe_recursion_keeps_each_word_once():
     tables = bpe.codec(RANKS, P.PATTERN)
     words = [" therefore", "x", " Überraschung", "aaaaaaaaaaaaaaaa", " the"]
